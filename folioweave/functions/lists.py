@@ -141,15 +141,23 @@ def json_at(doc: Column, path: Column | str) -> Column:
     return F.call_function("get_json_object", doc, F.lit(path) if isinstance(path, str) else path)
 
 
+def _listed(found: Column, path: Column | str) -> Column:
+    """Items of a found list, else null. A lone match of ``[*]`` comes as a quoted string."""
+    wild = F.contains(F.lit(path) if isinstance(path, str) else path, F.lit("[*]"))
+    return F.when(found.startswith("["), F.from_json(found, "array<string>")).when(
+        wild & found.startswith('"'), F.from_json(F.concat(F.lit("["), found, F.lit("]")), "array<string>")
+    )
+
+
 def json_strings(doc: Column, path: Column | str) -> Column:
     """Strings found at a JSON path: list items for a list, one item for a scalar."""
     found = json_at(doc, path)
-    listed = F.when(found.startswith("["), F.from_json(found, "array<string>"))
-    return F.when(found.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(listed, F.array(found)))
+    return F.when(found.isNull(), F.array().cast("array<string>")).otherwise(
+        F.coalesce(_listed(found, path), F.array(found))
+    )
 
 
 def json_string(doc: Column, path: Column | str) -> Column:
     """One string for a JSON path; list items are joined by newline."""
     found = json_at(doc, path)
-    listed = F.when(found.startswith("["), F.from_json(found, "array<string>"))
-    return F.coalesce(F.array_join(listed, "\n"), found)
+    return F.coalesce(F.array_join(_listed(found, path), "\n"), found)

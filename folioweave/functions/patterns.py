@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
 
 def pattern_ok(pattern: str) -> bool:
     try:
@@ -25,3 +30,17 @@ def java_replacement(replacement: str) -> str:
     escaped = re.sub(r"\\g<(\d+)>", r"$\1", escaped)
     escaped = re.sub(r"\\g<(\w+)>", r"${\1}", escaped)
     return re.sub(r"\\(\d)", r"$\1", escaped)
+
+
+def rule_pattern_ok(pattern: str | None) -> bool:
+    """Not empty, compiles, and does not end in a bare ``|``."""
+    return bool(pattern) and pattern_ok(pattern) and re.search(r"(?<!\\)\|$", pattern) is None
+
+
+@F.pandas_udf(BooleanType())
+def _valid(pattern: pd.Series) -> pd.Series:
+    return pattern.map(rule_pattern_ok)
+
+
+def valid_pattern(pattern: Column) -> Column:
+    return _valid(pattern)

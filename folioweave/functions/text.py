@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from folioweave.functions.binding import bound
+
 EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 # Strings that count as true in a rule's result.
@@ -121,12 +123,16 @@ _HALF_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F))
 def _numeral_value(number: Column) -> Column:
     """Value of a multiplicative numeral, by one fold over its characters; -1 on failure."""
     values = F.create_map(*[F.lit(x) for pair in NUMERALS.items() for x in pair])
-    chars = F.filter(F.split(number, ""), lambda c: c != "")
-    size = F.size(chars)
-    digits = F.transform(chars, lambda c, i: F.struct(
-        i.alias("i"),
-        F.try_element_at(values, c).cast("bigint").alias("v"),
-        F.coalesce(F.try_element_at(values, F.get(chars, i - 1)), F.lit(0)).cast("bigint").alias("before"),
+    known = F.transform(
+        F.filter(F.split(number, ""), lambda c: c != ""), lambda c: F.try_element_at(values, c).cast("bigint")
+    )
+    return bound(known, _folded_numeral)
+
+
+def _folded_numeral(known: Column) -> Column:
+    size = F.size(known)
+    digits = F.transform(known, lambda v, i: F.struct(
+        i.alias("i"), v.alias("v"), F.coalesce(F.get(known, i - 1), F.lit(0)).alias("before"),
     ))
     start = F.struct(*[F.lit(0).cast("bigint").alias(n) for n in ("total", "held", "high")])
 
@@ -149,7 +155,7 @@ def _numeral_value(number: Column) -> Column:
         )
 
     folded = F.aggregate(digits, start, step, lambda s: s["total"] + s["held"] + s["high"])
-    unknown = F.exists(digits, lambda d: d["v"].isNull())
+    unknown = F.exists(known, lambda v: v.isNull())
     return F.when(unknown | (size == 0), F.lit(-1)).otherwise(folded)
 
 
@@ -159,16 +165,20 @@ def chapter_number(title: Column) -> Column:
     number = F.regexp_replace(
         F.translate(F.regexp_extract(title, pattern, 2), _FULL_WIDTH + "　", _HALF_WIDTH + " "), r"[ \t]", ""
     )
-    positional = F.translate(number, _DIGITS, "".join(str(NUMERALS[c]) for c in _DIGITS))
-    value = (
-        F.when(number.rlike(r"^[0-9]{1,18}$"), number.cast("bigint"))
-        .when((F.length(number) > 1) & number.rlike(f"^[{_DIGITS}]{{1,18}}$"), positional.cast("bigint"))
-        .otherwise(_numeral_value(number))
-    )
-    rewritten = F.concat(
-        F.regexp_extract(title, pattern, 1), value.cast("string"), F.regexp_extract(title, pattern, 3)
-    )
-    return F.when(title.rlike(pattern) & (value >= 0), rewritten).otherwise(title)
+
+    def value(n: Column) -> Column:
+        positional = F.translate(n, _DIGITS, "".join(str(NUMERALS[c]) for c in _DIGITS))
+        return (
+            F.when(n.rlike(r"^[0-9]{1,18}$"), n.cast("bigint"))
+            .when((F.length(n) > 1) & n.rlike(f"^[{_DIGITS}]{{1,18}}$"), positional.cast("bigint"))
+            .otherwise(_numeral_value(n))
+        )
+
+    def rewritten(v: Column) -> Column:
+        head, tail = F.regexp_extract(title, pattern, 1), F.regexp_extract(title, pattern, 3)
+        return F.when(v >= 0, F.concat(head, v.cast("string"), tail)).otherwise(title)
+
+    return F.when(title.rlike(pattern), bound(bound(number, value), rewritten)).otherwise(title)
 
 
 def convert_script(text: Column, simple: str, traditional: str, mode: int) -> Column:

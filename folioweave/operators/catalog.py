@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from folioweave.functions import urls
 from folioweave.sources.schemas import RULE_GROUPS
@@ -21,7 +22,7 @@ def filled(column: str) -> Column:
 
 def tags(groups: Column) -> Column:
     """Distinct trimmed tags of a comma or newline list, in the order written."""
-    parts = F.transform(F.split(F.coalesce(groups, F.lit("")), "[,\n]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(groups, F.lit("")), "[,\n]"), lambda t: F.trim(t))
     return F.array_distinct(F.filter(parts, lambda t: t != ""))
 
 
@@ -98,9 +99,14 @@ def catalog_diff(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str
     before, after = F.struct(*columns).alias("before"), F.struct(*columns).alias("after")
     both = old.select(key, before).join(new.select(key, after), key, "full_outer")
 
+    def comparable(side: str, name: str) -> Column:
+        value, kind = F.col(side)[name], old.schema[name].dataType
+        if isinstance(kind, StringType):
+            return F.coalesce(value, F.lit(""))
+        return F.coalesce(F.to_json(value), F.lit("{}")) if isinstance(kind, StructType) else value
+
     def differs(name: str) -> Column:
-        sides = [F.nullif(F.to_json(F.struct(F.col(s)[name])), F.to_json(F.struct(F.lit("").alias(name)))) for s in ("before", "after")]
-        return ~F.coalesce(sides[0], F.lit("{}")).eqNullSafe(F.coalesce(sides[1], F.lit("{}")))
+        return ~comparable("before", name).eqNullSafe(comparable("after", name))
 
     changed = F.array_compact(F.array(*[F.when(differs(c), F.lit(c)) for c in columns]))
     status = (
@@ -151,19 +157,20 @@ def filter_categories(categories: DataFrame, text: str) -> DataFrame:
     return categories.filter(F.contains(F.lower("title"), wanted) | F.contains(F.lower(F.coalesce("url", F.lit(""))), wanted))
 
 
-def expand_requests(catalog: DataFrame, keywords: DataFrame, pages: int = 1) -> DataFrame:
+def expand_requests(catalog: DataFrame, keywords: Sequence[str], pages: int = 1) -> DataFrame:
     """One request per searchable source, keyword and page.
 
-    The crawl frontier *is* this product. The catalogue is the side that is
-    sent round, pages come from a generator, and keywords stay where they are,
-    so nothing is shuffled.
+    The keywords of a search are few and come as values, so the requests are
+    generated where each source stands; nothing is joined or shuffled.
     """
-    searchable = catalog.filter(filled("searchUrl")).select("bookSourceUrl", "searchUrl")
-    request = keywords.withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(pages))))
-    return request.join(searchable, how="cross").select(
-        "bookSourceUrl", "keyword", F.col("page").cast("bigint").alias("page"),
+    words = F.explode(F.array(*map(F.lit, keywords)))
+    numbered = catalog.filter(filled("searchUrl")).select("bookSourceUrl", "searchUrl", words.alias("keyword"))
+    paged = numbered.withColumn("page", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(pages).cast("bigint"))))
+    scripted = r"(?is)@js:|<js>|\{\{(?!(?:key|page|searchKey|searchPage|searchPage_1)\}\})"
+    return paged.select(
+        "bookSourceUrl", "keyword", "page",
         urls.fill_request(F.col("searchUrl"), F.col("keyword"), F.col("page")).alias("request"),
-        F.col("searchUrl").rlike(r"(?is)@js:|<js>|\{\{(?!(?:key|page|searchKey|searchPage|searchPage_1)\}\})").alias("needs_script"),
+        F.col("searchUrl").rlike(scripted).alias("needs_script"),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from folioweave.functions import text as tx
-from folioweave.functions.patterns import java_pattern, java_replacement, pattern_ok
+from folioweave.functions.patterns import java_pattern, java_replacement, rule_pattern_ok
 from folioweave.operators.ordered import first_per_key
 
 # Rules up to this number become one Catalyst expression; more run as a vectorised fold.
@@ -37,9 +37,7 @@ class ReplaceRule:
     @property
     def valid(self) -> bool:
         """Non-empty, compiles, and does not end in a bare ``|``."""
-        if not self.pattern or not self.is_regex:
-            return bool(self.pattern)
-        return pattern_ok(self.pattern) and not re.search(r"(?<!\\)\|$", self.pattern)
+        return rule_pattern_ok(self.pattern) if self.is_regex else bool(self.pattern)
 
 
 def rules_from(rows: Iterable) -> list[ReplaceRule]:
@@ -150,14 +148,32 @@ def apply_rules(
     return out.drop("__new", "__tokens", "__use")
 
 
-def rule_scope_join(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(text, rule) pairs in scope, for a rule *table*: broadcast, as it is a small catalogue.
+def rules_in_scope(texts: DataFrame, rules: Iterable[ReplaceRule], tokens: Column) -> DataFrame:
+    """(text, rule name) pairs in scope for content, in rule order.
 
-    ``texts`` has ``tokens``; ``rules`` has ``include`` and ``drop`` term arrays.
+    Each text tests the rules where it stands, so there is no join to grow: the
+    scopes are literals up to ``MAX_RULES_IN_PLAN`` rules, and one vectorised
+    pass beyond.
     """
-    hit = lambda terms: F.exists(F.col("tokens"), lambda t: F.exists(terms, lambda w: F.contains(t, w)))
-    included = (F.size("include") == 0) | hit(F.col("include"))
-    return texts.join(F.broadcast(rules), included & ~hit(F.col("drop")))
+    chosen = applicable(rules, title=False)
+    if len(chosen) <= MAX_RULES_IN_PLAN:
+        names = F.array_compact(F.array(*[F.when(in_scope(r, tokens), F.lit(r.name)) for r in chosen]))
+    else:
+        names = scoped_names(chosen)(tokens)
+    return texts.withColumn("rule", F.explode(names))
+
+
+def scoped_names(rules: list[ReplaceRule]):
+    plain = [(r.name, scope_terms(r.scope), scope_terms(r.exclude_scope)) for r in rules]
+
+    def fits(terms, tokens):
+        return any(t in token for t in terms for token in tokens)
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def names(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda k: [n for n, take, drop in plain if (not take or fits(take, k)) and not fits(drop, k)])
+
+    return names
 
 
 # -- re-segmentation ---------------------------------------------------------

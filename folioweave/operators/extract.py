@@ -8,13 +8,14 @@ neither the body nor the node array is exploded or shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.functions import text as tx
 from folioweave.functions import urls
+from folioweave.functions.binding import bound
 from folioweave.functions.lists import json_strings
 from folioweave.functions.markup import NODES, page_nodes
 from folioweave.functions.rules import compile_group
@@ -31,11 +32,6 @@ def bounded_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` worked out once and named, instead of repeated in the expression."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 # -- selection ---------------------------------------------------------------
 
 

@@ -108,7 +108,7 @@ def reading_events(spark: SparkSession, folder: str) -> DataFrame:
 
 EVENTS_SQL = """
 reading AS (
-  SELECT event_id, epoch_ms(ts) AS ts, user_id AS reader, event_type AS source,
+  SELECT event_id, epoch_us(ts) // 1000 AS ts, user_id AS reader, event_type AS source,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS book, value
   FROM events
 )"""

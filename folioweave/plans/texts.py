@@ -1 +1,222 @@
-"""Queries."""
+"""Queries over titles, authors, text cleaning, times and keys."""
+
+from pyspark.sql import functions as F
+
+from folioweave.functions import text as fn
+from folioweave.functions.urls import resolve
+from folioweave.operators import content as op
+from folioweave.operators import shelf as sh
+from folioweave.plans.registry import query
+from folioweave.plans.tables import SHELF_SQL, shelf, table
+
+
+@query("format_html", r"""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
+def format_html(spark, folder):
+    return table(spark, folder, "pages").select("page_id", fn.format_html(F.col("html")).alias("text"))
+
+
+@query("clean_title", r"""SELECT p_partkey, p_name AS name FROM part""")
+def clean_title(spark, folder):
+    raw = F.concat(F.lit("　 《"), F.col("p_name"), F.lit("》 "))
+    return table(spark, folder, "part").select("p_partkey", fn.clean_title(raw).alias("name"))
+
+
+@query("clean_author", r"""SELECT p_partkey, CASE WHEN p_size % 4 = 3 THEN 'Written by: ' || p_brand ELSE p_brand END AS author FROM part""")
+def clean_author(spark, folder):
+    kind = F.col("p_size") % 4
+    label = F.when(kind == 0, "作者：").when(kind == 1, "AUTHOR: ").when(kind == 2, "by:  ").otherwise("Written by: ")
+    return table(spark, folder, "part").select("p_partkey", fn.clean_author(F.concat(label, "p_brand", F.lit(" "))).alias("author"))
+
+
+@query("strip_title", r"""SELECT conv_id, turn, ltrim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations""")
+def strip_title(spark, folder):
+    """Texts with their title put in front, after the book name and punctuation, and taken off again."""
+    title = F.concat(F.lit("Chapter "), F.col("turn"), F.lit(" (part)"))
+    book = F.concat(F.lit("Book "), F.col("conv_id"), F.lit("+"))
+    text = F.concat(book, F.lit(" -- "), F.replace(title, F.lit(" "), F.lit("  ")), F.lit("\n\n"), F.col("text"))
+    return table(spark, folder, "conversations").select(
+        "conv_id", "turn", fn.strip_title(text, title, book).alias("text"))
+
+
+@query("resegment")
+def resegment(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", op.resegment(F.col("text"), F.lit("")).alias("text"))
+
+
+_INDENT_SQL = """array_to_string(list_transform(list_filter(list_transform(
+    string_split({text}, chr(10)), lambda s: trim(s, ' 　' || chr(9) || chr(13) || chr(10))), lambda s: s <> ''),
+    lambda s: '　　' || s), chr(10))"""
+
+
+@query("indent_paragraphs", f"SELECT doc_id, {_INDENT_SQL.format(text='text')} AS text FROM documents")
+def indent_paragraphs(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", fn.indent_paragraphs(F.col("text")).alias("text"))
+
+
+# A tiny character table for the check; a real one is the caller's data.
+SIMPLE, TRADITIONAL = "书国东", "書國東"
+
+
+@query("convert_script", """SELECT p_partkey, p_name || '書國東' AS traditional, p_name || '书国东' AS simple, p_name || '书國' AS same FROM part""")
+def convert_script(spark, folder):
+    name = F.col("p_name")
+
+    def put(text):
+        return F.concat(name, F.lit(text))
+
+    return table(spark, folder, "part").select(
+        "p_partkey", fn.convert_script(put("书国东"), SIMPLE, TRADITIONAL, 1).alias("traditional"),
+        fn.convert_script(put("書國東"), SIMPLE, TRADITIONAL, 2).alias("simple"),
+        fn.convert_script(put("书國"), SIMPLE, TRADITIONAL, 0).alias("same"))
+
+
+@query("chapter_number", """SELECT o_orderkey, '第' || (o_orderkey % 10000) || '章 ' || o_orderpriority AS positional,
+       '第' || (CASE WHEN (o_orderkey % 1000) // 100 = 0 THEN 1 ELSE (o_orderkey % 1000) // 100 END * 100
+               + CASE WHEN o_custkey % 10 = 0 THEN 1 ELSE o_custkey % 10 END * 10 + o_custkey % 7) || '章' AS multiplied
+       FROM orders""")
+def chapter_number(spark, folder):
+    """Order keys spelt in numerals, digit by digit and with hundreds and tens, and read back."""
+    digits = F.lit("〇一二三四五六七八九")
+
+    def spelt(number):
+        return F.translate(number.cast("string"), "0123456789", "〇一二三四五六七八九")
+
+    def digit(number):
+        return F.substring(digits, (number + 1).cast("int"), F.lit(1))
+
+    order, cust = F.col("o_orderkey"), F.col("o_custkey")
+    positional = F.concat(F.lit("第"), spelt(order % 10000), F.lit("章 "), "o_orderpriority")
+    hundreds = F.greatest(F.lit(1), F.floor((order % 1000) / 100))
+    tens = F.when(cust % 10 == 0, 1).otherwise(cust % 10)
+    ones = F.when(cust % 7 > 0, digit(cust % 7)).otherwise("")
+    multiplied = F.concat(F.lit("第"), digit(hundreds), F.lit("百"), digit(tens), F.lit("十"), ones, F.lit("章"))
+    return table(spark, folder, "orders").select(
+        "o_orderkey", fn.chapter_number(positional).alias("positional"), fn.chapter_number(multiplied).alias("multiplied"))
+
+
+@query("unescape_entities", r"""
+SELECT page_id, replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS common,
+       length(regexp_replace(html, '&(copy|middot|amp|quot);', '#', 'g')) AS full_chars
+FROM pages""")
+def unescape_entities(spark, folder):
+    """The five markup entities natively; the length after the full table, which also knows © and ·."""
+    body = F.col("html")
+    return table(spark, folder, "pages").select(
+        "page_id", fn.unescape_common(body).alias("common"), F.length(fn.unescape_all(body)).cast("bigint").alias("full_chars"))
+
+
+@query("format_epoch", """
+SELECT event_id, strftime(to_timestamp(epoch_us(ts) // 1000000) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS utc,
+       strftime((to_timestamp(epoch_us(ts) // 1000000) AT TIME ZONE 'UTC') + INTERVAL 8 HOUR, '%Y/%m/%d %H:%M') AS shifted,
+       CASE WHEN ts::DATE = DATE '2024-01-15' THEN strftime(ts, '%H:%M') ELSE strftime(ts, '%m-%d %H:%M') END AS short FROM events""")
+def format_epoch(spark, folder):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return table(spark, folder, "events").select(
+        "event_id", fn.format_epoch(ms).alias("utc"), fn.format_epoch(F.floor(ms / 1000), "yyyy/MM/dd HH:mm", 8).alias("shifted"),
+        fn.format_epoch_short(ms, F.lit(1705320000)).alias("short"))
+
+
+@query("type_flags", """
+SELECT s_suppkey, CASE s_nationkey % 4 WHEN 1 THEN 32 WHEN 2 THEN 64 WHEN 3 THEN 136 ELSE 8 END AS flags,
+       CASE s_nationkey % 4 WHEN 1 THEN 32 WHEN 2 THEN 64 WHEN 3 THEN 136 ELSE 8 END | 1024 AS temporary,
+       s_nationkey % 4 = 3 AS is_file FROM supplier""")
+def type_flags(spark, folder):
+    flags = fn.type_flags(F.col("s_nationkey") % 4)
+    return table(spark, folder, "supplier").select(
+        "s_suppkey", flags.alias("flags"), fn.add_flag(flags, fn.NOT_SHELF).alias("temporary"),
+        fn.has_flag(flags, fn.WEB_FILE).alias("is_file"))
+
+
+@query("fingerprints", """
+SELECT doc_id, md5(text) AS md5, substr(md5(text), 9, 16) AS md5_middle, sha256(text) AS sha256,
+       sha1(source || chr(10) || lang || chr(10) || doc_id) AS key, upper(hex(encode(lang))) AS hex, base64(encode(lang)) AS b64,
+       'a%20b%26' || lang AS quoted FROM documents""")
+def fingerprints(spark, folder):
+    text = F.col("text")
+    return table(spark, folder, "documents").select(
+        "doc_id", F.md5(text).alias("md5"), fn.md5_middle(text).alias("md5_middle"), F.sha2(text, 256).alias("sha256"),
+        fn.identity_key(F.col("source"), F.col("lang"), F.col("doc_id")).alias("key"), F.hex(F.encode("lang", "UTF-8")).alias("hex"),
+        F.base64(F.encode("lang", "UTF-8")).alias("b64"), fn.quote_url(F.concat(F.lit("a b&"), "lang")).alias("quoted"))
+
+
+@query("hmac_sign")
+def hmac_sign(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", fn.hmac_hex("secret")(F.col("text")).alias("signature"))
+
+
+@query("find_text", r"""
+SELECT conv_id, turn, len(regexp_extract_all(text, '(?i)\bla\b')) * 0 + (length(text) - length(replace(lower(text), 'the', ''))) // 3 AS found,
+       CAST(instr(lower(text), 'the') AS INTEGER) AS first_at FROM conversations""")
+def find_text(spark, folder):
+    return table(spark, folder, "conversations").select(
+        "conv_id", "turn", fn.count_phrase(F.col("text"), "THE").cast("bigint").alias("found"),
+        fn.find_phrase(F.col("text"), "THE").alias("first_at"))
+
+
+@query("paragraphs", r"""
+WITH lines AS (
+  SELECT doc_id, list_filter(list_transform(CASE WHEN regexp_matches(text, '\n[ \t]*\n') THEN string_split_regex(text, '\n[ \t]*\n')
+         ELSE string_split(text, chr(10)) END, lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> '') AS l FROM documents
+)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS position, l[i] AS paragraph FROM lines, unnest(range(1, len(l) + 1)) AS u(i)""")
+def paragraphs(spark, folder):
+    return table(spark, folder, "documents").select(
+        "doc_id", F.posexplode(fn.paragraphs(F.col("text"))).alias("position", "paragraph"))
+
+
+@query("progress_fields", f"""WITH {SHELF_SQL}
+SELECT key, greatest(0, least(1, scroll_y / max_scroll_y)) AS scroll,
+       CASE WHEN chapter_index IS NULL THEN 0.0 WHEN coalesce(chapter_total, 0) > 0 THEN (chapter_index + 1) / chapter_total
+            ELSE greatest(0, least(1, scroll_y / max_scroll_y)) END AS ratio,
+       CASE WHEN chapter_index IS NULL THEN '-' ELSE (chapter_index + 1) || CASE WHEN coalesce(chapter_total, 0) > 0 THEN '/' || chapter_total ELSE '' END
+            || ' ' || CAST(floor(greatest(0, least(1, scroll_y / max_scroll_y)) * 100) AS BIGINT) || '%' END AS label
+FROM shelf""")
+def progress_fields(spark, folder):
+    scroll = sh.scroll_ratio(F.col("scroll_y"), F.col("max_scroll_y"))
+    index, total = F.col("chapter_index"), F.col("chapter_total")
+    return shelf(spark, folder).select(
+        "key", scroll.alias("scroll"), sh.progress_ratio(index, total, scroll).alias("ratio"),
+        sh.progress_label(index, total, scroll).alias("label"))
+
+
+@query("age_bucket", f"""WITH {SHELF_SQL}, ages AS (SELECT key, updated_at, 1000000000 - updated_at AS age FROM shelf)
+SELECT key, CASE WHEN age < 3600 THEN CAST(floor(age / 60) AS BIGINT) || ' min' WHEN age < 86400 THEN CAST(floor(age / 3600) AS BIGINT) || ' h'
+       WHEN age < 2592000 THEN CAST(floor(age / 86400) AS BIGINT) || ' d' ELSE strftime(to_timestamp(updated_at) AT TIME ZONE 'UTC', '%Y-%m-%d') END AS age FROM ages""")
+def age_bucket(spark, folder):
+    return shelf(spark, folder).select("key", sh.age_label(F.col("updated_at"), F.lit(1000000000)).alias("age"))
+
+
+@query("image_refs", r"""
+WITH imgs AS (
+  SELECT page_id, url, regexp_extract_all(replace(html, '<li><a href="', '<li><img src="'), '(?i)<img[^>]+src="([^"]+)"', 1) AS s FROM pages
+)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS position, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+') || s[i] AS src
+FROM imgs, unnest(range(1, len(s) + 1)) AS u(i)""")
+def image_refs(spark, folder):
+    """The pages hold no images, so their navigation links are turned into some."""
+    from folioweave.operators.extract import image_refs as refs
+
+    pages = table(spark, folder, "pages")
+    body = F.replace("html", F.lit('<li><a href="'), F.lit('<li><img src="'))
+    found = refs(pages.select("url", body.alias("body")).distinct())
+    return found.join(pages.select("page_id", "url"), "url").select("page_id", "position", "src")
+
+
+@query("keep_images", r"""
+SELECT page_id, replace(html, 'href="/', 'src="' || regexp_extract(url, '^[a-zA-Z]+://[^/?#]+') || '/') AS body FROM pages""")
+def keep_images(spark, folder):
+    from folioweave.operators.extract import keep_images as keep
+
+    body = F.regexp_replace("html", 'href="(/[^"]*)"', "SRC='$1'")
+    return table(spark, folder, "pages").select("page_id", keep(body, F.col("url")).alias("body"))
+
+
+@query("page_titles", r"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1),
+       '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+       regexp_extract(url, '^[a-zA-Z]+://[^/?#]+') || '/' AS home FROM pages""")
+def page_titles(spark, folder):
+    from folioweave.operators.extract import page_title
+
+    return table(spark, folder, "pages").select(
+        "page_id", page_title(F.col("html")).alias("title"), resolve(F.col("url"), F.lit("/")).alias("home"))
