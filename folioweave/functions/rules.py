@@ -277,23 +277,25 @@ def _part(source: str, strings: bool) -> dict:
         mode, body = "auto", source
     css = body[:5].upper() == "@CSS:"
     op, pieces = _split_alternatives(body[5:] if css else body)
-    alts = []
-    for piece in pieces:
-        if mode == "xpath":
-            alts.append(xpath_alt(piece))
-        elif mode == "json":
-            alts.append(_alt(path=json_path(piece)))
-        else:
-            alt = html_alt("@CSS:" + piece if css else piece, strings)
-            if mode == "auto":
-                try:
-                    alt["path"] = json_path(piece)
-                except Unsupported:
-                    alt["path"] = None
-            alts.append(alt)
+    alts = [_alternative("@CSS:" + p if css else p, mode, strings) for p in pieces]
     return {"kind": "rule", "text": None, "mode": mode, "op": op, "alts": alts}
 
 
+def _alternative(source: str, mode: str, strings: bool) -> dict:
+    """One alternative of a rule; what cannot be read finds nothing, and says so in ``refused``."""
+    try:
+        if mode == "xpath":
+            return xpath_alt(source)
+        if mode == "json":
+            return _alt(path=json_path(source))
+        alt = html_alt(source, strings)
+    except Unsupported as error:
+        return {**_alt([_plain_step([])], "text"), "refused": str(error)}
+    if mode == "auto" and ".." not in source and "?(" not in source:
+        alt["path"] = json_path(source)
+    return alt
+
+
 def _fixed(kind: str, text: str) -> dict:
     return {"kind": kind, "text": text, "mode": None, "op": None, "alts": []}
 
@@ -366,6 +368,8 @@ def compile_rule(source: str | None, elements: bool = False, stored: dict[str, s
             rule["parts"] = [_part(body.strip(), not elements)]
     except Unsupported as error:
         return {**_EMPTY, "unsupported": str(error)}
+    refused = [alt["refused"] for part in rule["parts"] for alt in part["alts"] if "refused" in alt]
+    rule["unsupported"] = "; ".join(refused) or None
     return rule
 
 

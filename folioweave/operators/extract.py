@@ -8,6 +8,7 @@ neither the body nor the node array is exploded or shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from folioweave.functions import urls
 from folioweave.functions.binding import bound
 from folioweave.functions.lists import json_strings
 from folioweave.functions.markup import NODES, page_nodes
+from folioweave.functions.patterns import java_pattern
 from folioweave.functions.rules import compile_group
 
 # A catalogue of up to this many rule sets is sent to every executor; a larger one is joined by shuffle.
@@ -495,3 +497,34 @@ def image_refs(pages: DataFrame) -> DataFrame:
     return pages.select("url", F.posexplode(found).alias("position", "src")).withColumn(
         "src", urls.resolve(F.col("url"), F.col("src"))
     )
+
+
+# -- sources by address ------------------------------------------------------
+
+_ANCHORED_HOST = re.compile(r"^\^?https?\??://((?:[\w-]|\\\.)+)(?:/|\\/|$)")
+
+
+def pages_by_pattern(pages: DataFrame, patterns: Sequence[tuple[str, str]]) -> DataFrame:
+    """(page, source) pairs where the source's pattern is found in the page's URL.
+
+    A pattern anchored at a host joins by that host first. The others are a
+    short list, tested on each page where it stands. No page meets the whole
+    catalogue.
+    """
+    anchored, loose = [], []
+    for source, pattern in patterns:
+        host = _ANCHORED_HOST.match(pattern) if pattern.startswith("^") else None
+        (anchored if host else loose).append((source, pattern, host[1].replace("\\", "") if host else None))
+    found = F.array_compact(F.array(*[
+        F.when(F.col("url").rlike(java_pattern(p)), F.lit(s)) for s, p, _ in loose
+    ])) if loose else F.array().cast(_STRINGS)
+    rows = pages.withColumn("source", F.explode(found))
+    if not anchored:
+        return rows
+    hosts = pages.sparkSession.createDataFrame(
+        [(s, java_pattern(p), h) for s, p, h in anchored], "source string, __pattern string, __host string"
+    )
+    by_host = pages.withColumn("__host", urls.authority(F.col("url"))).join(bounded_broadcast(hosts), "__host")
+    fitting = by_host.filter(F.regexp_like(F.col("url"), F.col("__pattern"))).select(*pages.columns, "source")
+    return rows.unionByName(fitting)
+

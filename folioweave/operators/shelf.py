@@ -14,9 +14,10 @@ def latest_state(events: DataFrame, keys: list[str], *fields: str, ts: str = "ts
     Ties in time go to the higher ``event_id``. Minimum and maximum combine
     map-side, so a hot key costs one row per task.
     """
+    held = [f for f in fields if f != "event_id"]
     return (
         events.groupBy(*keys)
-        .agg(F.min(ts).alias("added_at"), F.max(F.struct(ts, "event_id", *fields)).alias("last"))
+        .agg(F.min(ts).alias("added_at"), F.max(F.struct(ts, "event_id", *held)).alias("last"))
         .select(*keys, "added_at", F.col(f"last.{ts}").alias("updated_at"), *[F.col(f"last.{f}") for f in fields])
     )
 
