@@ -17,7 +17,7 @@ import re
 from functools import cache
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,10 +42,10 @@ ENDS = {
 P_FENCE = BLOCKS - {"p"} | {"li", "td", "th", "dd", "body"}
 
 _TOKEN = re.compile(
-    r"<!--.*?-->|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>"
-    r"|<(?P<raw>script|style)\b(?P<rawattrs>[^>]*)>(?P<rawtext>.*?)</(?P=raw)\s*>"
-    r"|</(?P<close>[a-zA-Z][^\s>/]*)[^>]*>"
-    r"|<(?P<open>[a-zA-Z][^\s>/]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?-->|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>"
+    r"|<(script|style)\b([^>]*)>(.*?)</\2\s*>"
+    r"|</([a-zA-Z][^\s>/]*)[^>]*>"
+    r"|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -54,98 +54,155 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)
 def _attributes(source: str) -> dict[str, str]:
     found = {}
     for name, double, single, bare in _ATTR.findall(source):
-        found.setdefault(name.lower(), unescape(double or single or bare))
+        value = double or single or bare
+        found.setdefault(name.lower(), unescape(value) if "&" in value else value)
     return found
 
 
-def parse_nodes(markup: str) -> list[dict]:
-    """Nodes of one page; node 0 is the page itself."""
-    nodes: list[dict] = []
-    open_nodes: list[int] = []
-    kids: dict[int, list[int]] = {}
-
-    def add(tag, attrs, text, begin, end):
-        up = open_nodes[-1] if open_nodes else -1
-        i = len(nodes)
-        nodes.append({"i": i, "up": up, "last": i, "tag": tag, "attrs": attrs, "text": text, "own": None,
-                      "begin": begin, "end": end})
-        kids.setdefault(up, []).append(i)
-        return i
-
-    def close_to(depth, end):
-        while len(open_nodes) > depth:
-            node = nodes[open_nodes.pop()]
-            node["last"], node["end"] = len(nodes) - 1, end
-
-    def end_open(tags, fence, at):
-        for depth in range(len(open_nodes) - 1, 0, -1):
-            tag = nodes[open_nodes[depth]]["tag"]
-            if tag in tags:
-                return close_to(depth, at)
-            if tag in fence:
-                return None
-
-    def add_text(text, at):
-        if text.strip():
-            add("#text", None, text, at, at + len(text))
-
-    open_nodes.append(add("#page", {}, None, 0, len(markup)))
-    at = 0
-    for token in _TOKEN.finditer(markup):
-        begin, end = token.span()
-        add_text(unescape(markup[at:begin]), begin)
-        at = end
-        if token["cdata"]:
-            add_text(token["cdata"], begin)
-        elif token["raw"]:
-            i = add(token["raw"].lower(), _attributes(token["rawattrs"]), None, begin, end)
-            open_nodes.append(i)
-            if token["rawtext"].strip():
-                add("#raw", None, token["rawtext"], begin, end)
-            close_to(len(open_nodes) - 1, end)
-        elif token["close"]:
-            tag = token["close"].lower()
+class NodeTable:
+    """Nodes of pages, one list per column; node numbers count from 0 within a page."""
+
+    def __init__(self) -> None:
+        self.starts = [0]
+        self.up, self.last, self.tag, self.attrs, self.text, self.own = [], [], [], [], [], []
+        self.begin, self.end = [], []
+        self.nth, self.nth_last, self.nth_type, self.nth_type_last = [], [], [], []
+
+    def add_page(self, markup: str) -> None:
+        base = self.starts[-1]
+        open_nodes: list[int] = []
+        children: dict[int, int] = {}
+        of_tag: dict[tuple[int, str], int] = {}
+
+        def add(tag, attrs, text, begin, end):
+            up = open_nodes[-1] if open_nodes else -1
+            i = len(self.up) - base
+            self.up.append(up)
+            self.last.append(i)
+            self.tag.append(tag)
+            self.attrs.append(attrs)
+            self.text.append(text)
+            self.own.append("" if text is None else None)
+            self.begin.append(begin)
+            self.end.append(end)
+            if text is None and up >= 0:
+                children[up] = nth = children.get(up, 0) + 1
+                of_tag[up, tag] = nth_type = of_tag.get((up, tag), 0) + 1
+                self.nth.append(nth)
+                self.nth_type.append(nth_type)
+            else:
+                self.nth.append(None)
+                self.nth_type.append(None)
+                if text is not None:
+                    self.own[base + up] += text
+            return i
+
+        def close_to(depth, end):
+            while len(open_nodes) > depth:
+                i = base + open_nodes.pop()
+                self.last[i], self.end[i] = len(self.up) - base - 1, end
+
+        def end_open(tags, fence, at):
             for depth in range(len(open_nodes) - 1, 0, -1):
-                if nodes[open_nodes[depth]]["tag"] == tag:
-                    close_to(depth + 1, begin)
-                    close_to(depth, end)
-                    break
-        elif token["open"]:
-            tag = token["open"].lower()
-            if tag in ENDS:
-                end_open(*ENDS[tag], begin)
-            if tag in BLOCKS:
-                end_open({"p"}, P_FENCE, begin)
-            i = add(tag, _attributes(token["attrs"]), None, begin, end)
-            if tag not in VOID and not token["attrs"].rstrip().endswith("/"):
-                open_nodes.append(i)
-    add_text(unescape(markup[at:]), len(markup))
-    close_to(0, len(markup))
-    _number(nodes, kids)
-    return nodes
+                tag = self.tag[base + open_nodes[depth]]
+                if tag in tags:
+                    return close_to(depth, at)
+                if tag in fence:
+                    return None
+
+        def add_text(text, at):
+            if text and not text.isspace():
+                add("#text", None, unescape(text) if "&" in text else text, at, at + len(text))
+
+        open_nodes.append(add("#page", {}, None, 0, len(markup)))
+        at = 0
+        for token in _TOKEN.finditer(markup):
+            begin, end = token.span()
+            if begin > at:
+                add_text(markup[at:begin], at)
+            at = end
+            cdata, raw, raw_attrs, raw_text, closed, opened, attrs = token.groups()
+            if opened:
+                tag = opened.lower()
+                if tag in ENDS:
+                    end_open(*ENDS[tag], begin)
+                if tag in BLOCKS:
+                    end_open(_P, P_FENCE, begin)
+                i = add(tag, _attributes(attrs) if attrs else {}, None, begin, end)
+                if tag not in VOID and not attrs.endswith("/"):
+                    open_nodes.append(i)
+            elif closed:
+                tag = closed.lower()
+                for depth in range(len(open_nodes) - 1, 0, -1):
+                    if self.tag[base + open_nodes[depth]] == tag:
+                        close_to(depth + 1, begin)
+                        close_to(depth, end)
+                        break
+            elif raw:
+                open_nodes.append(add(raw.lower(), _attributes(raw_attrs), None, begin, end))
+                if raw_text and not raw_text.isspace():
+                    add("#raw", None, raw_text, begin, end)
+                close_to(len(open_nodes) - 1, end)
+            elif cdata:
+                add("#text", None, cdata, begin, end)
+        add_text(markup[at:], at)
+        close_to(0, len(markup))
+        for i in range(base, len(self.up)):
+            up, nth = self.up[i], self.nth[i]
+            self.nth_last.append(None if nth is None else children[up] - nth + 1)
+            self.nth_type_last.append(None if nth is None else of_tag[up, self.tag[i]] - self.nth_type[i] + 1)
+        self.starts.append(len(self.up))
+
+    def columns(self) -> dict[str, list]:
+        sizes = zip(self.starts, self.starts[1:])
+        return {
+            "i": [i for start, stop in sizes for i in range(stop - start)], "up": self.up, "last": self.last, "tag": self.tag,
+            "attrs": self.attrs, "text": self.text, "own": self.own, "begin": self.begin, "end": self.end, "nth": self.nth,
+            "nth_last": self.nth_last, "nth_type": self.nth_type, "nth_type_last": self.nth_type_last,
+        }
+
+    def to_arrow(self, missing: list[bool]) -> pa.Array:
+        """A list of nodes per page; null where a page is ``missing``."""
+        int32, string = pa.int32(), pa.string()
+        columns = self.columns()
+        pairs = [a or {} for a in columns.pop("attrs")]
+        offsets = [0]
+        for attrs in pairs:
+            offsets.append(offsets[-1] + len(attrs))
+        attr_map = pa.MapArray.from_arrays(
+            pa.array(offsets, int32), pa.array([k for a in pairs for k in a], string), pa.array([v for a in pairs for v in a.values()], string)
+        )
+        arrays = {n: pa.array(c, string if n in ("tag", "text", "own") else int32) for n, c in columns.items()}
+        arrays["attrs"] = attr_map
+        order = ["i", "up", "last", "tag", "attrs", *list(columns)[4:]]
+        nodes = pa.StructArray.from_arrays([arrays[n] for n in order], names=order)
+        starts = [None if gone else at for at, gone in zip(self.starts, missing)] + [self.starts[-1]]
+        return pa.ListArray.from_arrays(pa.array(starts, int32), nodes)
+
+
+_P = {"p"}
 
 
-def _number(nodes: list[dict], kids: dict[int, list[int]]) -> None:
-    """Direct text of elements, and positions among siblings, all and of the same tag."""
-    for up, children in kids.items():
-        elements = [c for c in children if not nodes[c]["tag"].startswith("#")]
-        if up >= 0:
-            nodes[up]["own"] = "".join(nodes[c]["text"] for c in children if nodes[c]["tag"] in ("#text", "#raw"))
-        of_tag: dict[str, list[int]] = {}
-        for c in elements:
-            of_tag.setdefault(nodes[c]["tag"], []).append(c)
-        for group, first, last in [(elements, "nth", "nth_last"), *[(g, "nth_type", "nth_type_last") for g in of_tag.values()]]:
-            for k, c in enumerate(group):
-                nodes[c][first], nodes[c][last] = k + 1, len(group) - k
+def parse_nodes(markup: str) -> list[dict]:
+    """Nodes of one page as dictionaries; node 0 is the page itself."""
+    table = NodeTable()
+    table.add_page(markup)
+    columns = table.columns()
+    return [dict(zip(columns, values)) for values in zip(*columns.values())]
 
 
 @cache
 def _nodes_udf():
-    blank = dict.fromkeys(("nth", "nth_last", "nth_type", "nth_type_last"))
-
-    @F.pandas_udf(NODES)
-    def nodes(body: pd.Series) -> pd.Series:
-        return body.map(lambda m: [{**blank, **n} for n in parse_nodes(m)], na_action="ignore")
+    @F.arrow_udf(NODES)
+    def nodes(body: pa.Array) -> pa.Array:
+        table, missing = NodeTable(), []
+        for markup in body.to_pylist():
+            missing.append(markup is None)
+            if markup is None:
+                table.starts.append(table.starts[-1])
+            else:
+                table.add_page(markup)
+        return table.to_arrow(missing)
 
     return nodes
 

@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioweave.functions import text as tx
 from folioweave.functions import urls
@@ -294,6 +297,18 @@ def compile_stage(catalog: DataFrame, key: str, group: str | Column, list_field:
     return catalog.select(F.col(key).alias("origin"), compile_group(list_field, rules).alias("rules"))
 
 
+def rule_errors(compiled: DataFrame) -> DataFrame:
+    """Rules that cannot run, and why: ``origin``, ``field``, ``message``."""
+    fields = F.concat(
+        F.array(F.struct(F.lit("list").alias("name"), F.col("rules.list.unsupported").alias("message"))),
+        F.transform("rules.fields", lambda f: F.struct(f["name"].alias("name"), f["rule"]["unsupported"].alias("message"))),
+    )
+    return (
+        compiled.select("origin", F.explode(fields).alias("e"))
+        .select("origin", F.col("e.name").alias("field"), "e.message").filter(F.col("message").isNotNull())
+    )
+
+
 def parsed_pages(pages: DataFrame) -> DataFrame:
     """Pages with a body, their nodes, and whether the body is JSON."""
     with_kind = pages.filter(F.length("body") > 0).withColumn("is_json", urls.is_json(F.col("body")))
@@ -307,9 +322,23 @@ def extract_records(pages: DataFrame, compiled: DataFrame, keep: Sequence[str] =
     ``compiled``: ``origin``, ``rules``. Without a list rule the page itself is
     the only element. A list rule with ``-`` turns the order.
     """
-    variables = F.col("variables") if "variables" in pages.columns else F.lit(None).cast("map<string,string>")
-    page = Page(F.col("body"), F.coalesce(F.col("nodes"), F.array().cast(NODES)), F.col("is_json"), variables)
+    found, records = _record_columns("variables" in pages.columns)
     joined = parsed_pages(pages).join(bounded_broadcast(compiled), "origin")
+    return (
+        joined.withColumn("__found", found)
+        .select("origin", *keep, F.explode(records).alias("r"))
+        .select("origin", *keep, "r.ord", "r.fields")
+    )
+
+
+@cache
+def _record_columns(with_variables: bool) -> tuple[Column, Column]:
+    """The elements of a page and their records, as columns over ``rules``, ``nodes`` and ``body``.
+
+    They are the same for every job, so they are put together once.
+    """
+    variables = F.col("variables") if with_variables else F.lit(None).cast("map<string,string>")
+    page = Page(F.col("body"), F.coalesce(F.col("nodes"), F.array().cast(NODES)), F.col("is_json"), variables)
     rules = F.col("rules")
     whole = F.array(F.struct(F.lit(0).alias("node"), F.lit(None).cast("string").alias("doc"),
                              F.lit(None).cast(_STRINGS).alias("groups")))
@@ -325,12 +354,7 @@ def extract_records(pages: DataFrame, compiled: DataFrame, keep: Sequence[str] =
         )
 
     ordered = F.when(rules["list"]["reverse"], F.reverse(F.col("__found"))).otherwise(F.col("__found"))
-    found = joined.withColumn("__found", elements)
-    return (
-        found.withColumn("__records", F.transform(ordered, record))
-        .select("origin", *keep, F.explode("__records").alias("r"))
-        .select("origin", *keep, "r.ord", "r.fields")
-    )
+    return elements, F.transform(ordered, record)
 
 
 def one(name: str) -> Column:
@@ -504,6 +528,20 @@ def image_refs(pages: DataFrame) -> DataFrame:
 _ANCHORED_HOST = re.compile(r"^\^?https?\??://((?:[\w-]|\\\.)+)(?:/|\\/|$)")
 
 
+# Up to this many unanchored patterns become part of the plan; more run in one vectorised pass.
+MAX_PATTERNS_IN_PLAN = 200
+
+
+def _matching_sources(patterns: list[tuple[str, str]]):
+    compiled = [(source, re.compile(pattern)) for source, pattern in patterns]
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def matching(url: pd.Series) -> pd.Series:
+        return url.map(lambda u: [s for s, p in compiled if p.search(u)])
+
+    return matching
+
+
 def pages_by_pattern(pages: DataFrame, patterns: Sequence[tuple[str, str]]) -> DataFrame:
     """(page, source) pairs where the source's pattern is found in the page's URL.
 
@@ -515,9 +553,11 @@ def pages_by_pattern(pages: DataFrame, patterns: Sequence[tuple[str, str]]) -> D
     for source, pattern in patterns:
         host = _ANCHORED_HOST.match(pattern) if pattern.startswith("^") else None
         (anchored if host else loose).append((source, pattern, host[1].replace("\\", "") if host else None))
-    found = F.array_compact(F.array(*[
-        F.when(F.col("url").rlike(java_pattern(p)), F.lit(s)) for s, p, _ in loose
-    ])) if loose else F.array().cast(_STRINGS)
+    if len(loose) > MAX_PATTERNS_IN_PLAN:
+        found = _matching_sources([(s, p) for s, p, _ in loose])(F.col("url"))
+    else:
+        tests = [F.when(F.col("url").rlike(java_pattern(p)), F.lit(s)) for s, p, _ in loose]
+        found = F.array_compact(F.array(*tests)).cast(_STRINGS)
     rows = pages.withColumn("source", F.explode(found))
     if not anchored:
         return rows

@@ -93,10 +93,14 @@ def reading_history(shelf: DataFrame) -> DataFrame:
 
 def shelf_stats(shelf: DataFrame, stored: DataFrame) -> DataFrame:
     """Books on the shelf, books being read, chapters stored."""
-    books = shelf.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("chapter_index").isNotNull()).alias("reading")
+    ones, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    books = shelf.select(
+        ones.alias("total"), F.col("chapter_index").isNotNull().cast("bigint").alias("reading"), none.alias("cached_chapters")
     )
-    return books.crossJoin(stored.agg(F.count(F.lit(1)).alias("cached_chapters")))
+    chapters = stored.select(none.alias("total"), none.alias("reading"), ones.alias("cached_chapters"))
+    return books.unionByName(chapters).agg(*[
+        F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "reading", "cached_chapters")
+    ])
 
 
 def filter_rows_as_json(df: DataFrame, text: str) -> DataFrame:

@@ -86,10 +86,11 @@ def event_windows(events: DataFrame, key: str, span_ms: int, chunk_ms: int | Non
     """``key``, ``ts``, ``opened``: each distinct event time with the opening time of its window.
 
     ``events`` has ``ts`` in milliseconds. Events of the same time count once,
-    so a chunk holds at most ``chunk_ms`` rows however hot its key is; the
-    walk over a key sees only each chunk's summary, a few rows.
+    so a chunk holds at most ``chunk_ms`` rows however hot its key is. The walk
+    over a key sees each chunk's summary: one row per distinct outcome of the
+    chunk's first span, usually few, as chains that start apart soon meet.
     """
-    chunk_ms = chunk_ms or max(64 * span_ms, 3_600_000)
+    chunk_ms = chunk_ms or max(16 * span_ms, 600_000)
     times = events.select(F.col(key).cast("string").alias("key"), "ts").distinct().withColumn("chunk", F.floor(F.col("ts") / chunk_ms))
     summary = times.groupBy("key", "chunk").applyInPandas(
         _chunk_summary(span_ms), "key STRING, chunk BIGINT, from_ts BIGINT, to_ts BIGINT, last BIGINT")

@@ -179,9 +179,9 @@ def text_files(spark, folder):
     return stores.decode_text_files(files).select("doc_id", "text")
 
 
-@query("archive_members", "SELECT 'b' || conv_id AS path, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
+@query("archive_members", "SELECT 'b' || conv_id || '/' || turn // 4 AS path, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
 def archive_members(spark, folder):
-    """Conversations packed as zip archives, one member a turn, and unpacked in name order."""
+    """Conversations packed as zip archives of four turns each, one member a turn, and unpacked in name order."""
     import io
     import zipfile
 
@@ -196,7 +196,7 @@ def archive_members(spark, folder):
                         archive.writestr(name, text)
                 yield pd.DataFrame({"path": [path], "content": [target.getvalue()]})
 
-    rows = chapters(spark, folder).select(F.concat(F.lit("b"), "book").alias("path"), F.struct(F.format_string("%05d.txt", "idx").alias("name"), "text").alias("m"))
+    rows = chapters(spark, folder).select(F.concat(F.lit("b"), "book", F.lit("/"), F.floor(F.col("idx") / 4)).alias("path"), F.struct(F.format_string("%05d.txt", "idx").alias("name"), "text").alias("m"))
     books = rows.groupBy("path").agg(F.collect_list("m").alias("m")).select("path", F.col("m.name").alias("names"), F.col("m.text").alias("texts"))
     return stores.archive_text(books.mapInPandas(pack, "path STRING, content BINARY"))
 

@@ -10,7 +10,8 @@ from folioweave.plans.registry import query
 from folioweave.plans.tables import EVENTS_SQL, reading_events, table
 from folioweave.streaming import jobs
 
-DAY_MS = 86_400_000
+# A minute of the busiest source is what one task sorts.
+CHUNK_MS = 60_000
 
 
 def _stream(spark, folder, name):
@@ -116,7 +117,7 @@ def ttl_refetch(spark, folder):
 SELECT event_id, source, greatest(0, coalesce(amount - lag(amount) OVER (PARTITION BY source ORDER BY ts, event_id), 0)) AS new_items FROM polls""")
 def new_item_counts(spark, folder):
     polls = reading_events(spark, folder).select("event_id", "source", "ts", F.floor("value").alias("amount"))
-    return windows.new_item_counts(polls, "source", F.floor(F.col("ts") / DAY_MS)).select("event_id", "source", "new_items")
+    return windows.new_item_counts(polls, "source", F.floor(F.col("ts") / CHUNK_MS)).select("event_id", "source", "new_items")
 
 
 @query("stream_new_items", f"""WITH {EVENTS_SQL}, polls AS (SELECT event_id, source, ts, CAST(floor(value) AS BIGINT) AS amount FROM reading WHERE {_PASSED})

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioweave.session import prepared
 from folioweave.sources.catalog import parse_sources
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def millis(column: str) -> Column:

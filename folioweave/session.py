@@ -7,6 +7,14 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Runtime settings the jobs need, whoever made the session. Pages are large rows, so batches to Python are small.
+RUNTIME = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
+
+
 def build_session(master: str | None = None, name: str = "folioweave", **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on; ``conf`` overrides by key.
 
@@ -18,13 +26,11 @@ def build_session(master: str | None = None, name: str = "folioweave", **conf: s
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **RUNTIME,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-        "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
         **conf,
     }
     for key, value in settings.items():
@@ -32,6 +38,13 @@ def build_session(master: str | None = None, name: str = "folioweave", **conf: s
     return builder.getOrCreate()
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """Put the runtime settings on a session that was made elsewhere."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared checkpoint folder; make one only where none is named."""
     sc = spark.sparkContext
