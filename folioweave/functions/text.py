@@ -11,9 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from folioweave.functions.binding import bound
+from folioweave.functions.binding import bound, strip
 
-EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 # Strings that count as true in a rule's result.
 TRUE_WORDS = ["true", "1", "yes", "是", "✓"]
@@ -22,11 +21,6 @@ TRUE_WORDS = ["true", "1", "yes", "是", "✓"]
 INDENT = "　　"
 
 
-def strip(text: Column) -> Column:
-    """Trim every Unicode white space (``trim`` alone takes only the blank)."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
-
-
 def format_html(markup: Column) -> Column:
     """Drop tags, collapse white space (line ends too), trim."""
     bare = F.regexp_replace(F.coalesce(markup, F.lit("")), "<[^>]+>", "")

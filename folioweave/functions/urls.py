@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from folioweave.functions.binding import strip
+
 # Prefixes of a URL that is taken as it is.
 ABSOLUTE_PREFIXES = ("http://", "https://", "data:", "ftp://")
 
@@ -49,7 +51,7 @@ def resolve(base: Column, url: Column, dot_segments: bool = False) -> Column:
     the shapes holding ``./`` or ``../`` go through a vectorised join, at the
     price of a Python stage.
     """
-    url = F.regexp_replace(F.coalesce(url, F.lit("")), r"(?U)^\s+|\s+$", "")
+    url = strip(F.coalesce(url, F.lit("")))
     origin = F.coalesce(base_url(base), F.lit(""))
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)", 1)
     no_fragment = F.regexp_replace(base, r"#.*$", "")

@@ -378,12 +378,12 @@ def links(name: str, base: Column) -> Column:
     return F.array_distinct(F.filter(resolved, lambda u: (u != "") & (u != base)))
 
 
-def search_hits(records: DataFrame) -> DataFrame:
-    """Search or discovery records as hits; records without a name go."""
+def search_hits(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Search or discovery records as hits; records without a name go. ``keep`` names columns to carry along."""
     base = F.col("url")
     cover = one("coverUrl")
     return records.select(
-        "origin", "url", "ord",
+        *keep, "origin", "url", "ord",
         tx.clean_title(tx.unescape_common(one("name"))).alias("name"),
         tx.clean_author(tx.unescape_common(one("author"))).alias("author"),
         F.array_join(many("kind"), ",").alias("kind"),
@@ -403,7 +403,7 @@ def with_fallback_rules(catalog: DataFrame) -> Column:
     return F.when(empty, search).otherwise(F.struct(*[F.col("ruleExplore")[n].alias(n) for n in names]))
 
 
-def book_details(records: DataFrame, can_rename: Column | None = None) -> DataFrame:
+def book_details(records: DataFrame, can_rename: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Detail records laid over what the book had: ``old_name``, ``old_author``.
 
     Name and author only replace empty ones unless renaming is allowed by the
@@ -417,7 +417,7 @@ def book_details(records: DataFrame, can_rename: Column | None = None) -> DataFr
         return F.when((new != "") & (rename | (F.coalesce(F.col(old), F.lit("")) == "")), new).otherwise(F.col(old))
 
     return records.select(
-        "origin", "url",
+        *keep, "origin", "url",
         overlaid(tx.clean_title(tx.unescape_common(one("name"))), "old_name").alias("name"),
         overlaid(tx.clean_author(tx.unescape_common(one("author"))), "old_author").alias("author"),
         F.array_join(F.filter(many("kind"), lambda k: k != ""), ",").alias("kind"),
@@ -439,13 +439,13 @@ def is_inline_marker(book_url: Column) -> Column:
     return F.coalesce(urls.is_data_url(book_url) & (F.size(F.array_except(wanted, keys)) == 0), F.lit(False))
 
 
-def chapter_rows(records: DataFrame) -> DataFrame:
+def chapter_rows(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Chapter-list records as chapters; untitled ones go, missing URLs are made up."""
     title = tx.unescape_common(one("chapterName"))
     volume = tx.is_true(one("isVolume"))
     address = one("chapterUrl")
     return records.select(
-        "origin", F.col("url").alias("toc_url"), F.col("ord"), title.alias("title"),
+        *keep, "origin", F.col("url").alias("toc_url"), F.col("ord"), title.alias("title"),
         F.when(address != "", address)
         .when(volume, F.concat(title, F.col("ord").cast("string")))
         .otherwise(F.col("url")).alias("url"),
@@ -454,14 +454,14 @@ def chapter_rows(records: DataFrame) -> DataFrame:
     ).filter(F.col("title") != "")
 
 
-def chapter_text(records: DataFrame, image_style: Column | None = None) -> DataFrame:
+def chapter_text(records: DataFrame, image_style: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Content records: text without markup, or markup with absolute images; and next pages."""
     raw = one("content")
     style = F.upper(F.coalesce(image_style if image_style is not None else F.lit(""), F.lit("")))
     kept = keep_images(raw, F.col("url"))
     text = F.when(style.isin("", "TEXT"), tx.format_html(raw)).otherwise(kept)
     return records.select(
-        "origin", "url", one("title").alias("title"), text.alias("text"),
+        *keep, "origin", "url", one("title").alias("title"), text.alias("text"),
         links("nextContentUrl", F.col("url")).alias("next_urls"),
     )
 
@@ -476,11 +476,11 @@ def keep_images(markup: Column, base: Column) -> Column:
     return F.array_join(fixed, "")
 
 
-def article_rows(records: DataFrame) -> DataFrame:
+def article_rows(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Feed records as articles; a row needs a title, a link or content."""
     base = F.col("url")
     return records.select(
-        "origin", F.col("url").alias("feed_url"), "ord",
+        *keep, "origin", F.col("url").alias("feed_url"), "ord",
         tx.unescape_common(one("ruleTitle")).alias("title"),
         tx.unescape_common(one("rulePubDate")).alias("pub_date"),
         tx.unescape_common(one("ruleDescription")).alias("description"),
@@ -489,11 +489,11 @@ def article_rows(records: DataFrame) -> DataFrame:
     ).filter((F.col("title") != "") | (F.col("link") != "") | (F.col("content") != ""))
 
 
-def review_lists(records: DataFrame, base: Column) -> DataFrame:
+def review_lists(records: DataFrame, base: Column, keep: Sequence[str] = ()) -> DataFrame:
     """Parallel review lists of each page, ready for ``feeds.zip_reviews``."""
     absolute = lambda name: F.transform(many(name), lambda u: urls.resolve(base, u))
     return records.select(
-        "origin", "url", many("contentRule").alias("contents"), absolute("avatarRule").alias("avatars"),
+        *keep, "origin", "url", many("contentRule").alias("contents"), absolute("avatarRule").alias("avatars"),
         many("postTimeRule").alias("post_times"), absolute("reviewQuoteUrl").alias("quote_urls"),
     )
 

@@ -31,33 +31,27 @@ def merge_hits(hits: DataFrame) -> DataFrame:
 
     The first hit to arrive represents the item; its empty intro, cover and
     latest chapter are filled from the first hit that has one. ``origins`` are
-    the distinct sources in order of arrival. The first step aggregates by item
-    and source, so the list built in the second is bounded by the number of
-    sources however many hits an item has.
+    the distinct sources in order of arrival.
+
+    Texts are reduced to one row per item before they are shuffled; only names,
+    sources and arrival go through the distinct step, and the list per item is
+    bounded by the number of sources. Hits are read twice for this, so write
+    them first (``session.checkpointed`` or a table) where they are costly.
     """
-    per_source = (
-        hits.withColumn("__name", merge_key(F.col("name")))
-        .withColumn("__author", merge_key(F.col("author")))
-        .groupBy("__name", "__author", "origin")
-        .agg(
-            F.min(F.struct("ord", "name", "author", "kind", "book_url")).alias("rep"),
-            *[_first_filled(f) for f in _LATER_FIELDS],
-        )
+    item = ["__name", "__author"]
+    keyed = hits.withColumn("__name", merge_key(F.col("name"))).withColumn("__author", merge_key(F.col("author")))
+    best = keyed.groupBy(*item).agg(
+        F.min(F.struct("ord", "name", "author", "kind", "book_url")).alias("rep"),
+        *[_first_filled(f) for f in _LATER_FIELDS],
     )
-    return (
-        per_source.groupBy("__name", "__author")
-        .agg(
-            F.min("rep").alias("rep"),
-            *[F.min(f).alias(f) for f in _LATER_FIELDS],
-            F.array_sort(F.collect_list(F.struct(F.col("rep.ord").alias("ord"), "origin"))).alias("seen"),
-        )
-        .select(
-            F.col("rep.ord").alias("ord"),
-            "rep.name", "rep.author", "rep.kind", "rep.book_url",
-            *[F.coalesce(F.col(f)[f], F.lit("")).alias(f) for f in _LATER_FIELDS],
-            F.transform("seen", lambda s: s["origin"]).alias("origins"),
-            F.greatest(F.lit(1), F.size("seen")).cast("bigint").alias("origin_count"),
-        )
+    first_seen = keyed.groupBy(*item, "origin").agg(F.min("ord").alias("ord"))
+    origins = first_seen.groupBy(*item).agg(F.array_sort(F.collect_list(F.struct("ord", "origin"))).alias("seen"))
+    return best.join(origins, item).select(
+        F.col("rep.ord").alias("ord"),
+        "rep.name", "rep.author", "rep.kind", "rep.book_url",
+        *[F.coalesce(F.col(f)[f], F.lit("")).alias(f) for f in _LATER_FIELDS],
+        F.transform("seen", lambda s: s["origin"]).alias("origins"),
+        F.greatest(F.lit(1), F.size("seen")).cast("bigint").alias("origin_count"),
     )
 
 

@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from folioweave.session import prepared
 from folioweave.sources.catalog import parse_sources
+from folioweave.sources.stores import spread
+
+
+# Tables whose rows cost far more to work on than to move.
+TEXT_TABLES = {"pages", "documents"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
+    rows = prepared(spark).read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
 
 
 def millis(column: str) -> Column:

@@ -19,6 +19,24 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return with_body(spark.read.schema(schemas.PAGE).format(fmt).load(path))
 
 
+# A scan below this many bytes a slot is small enough to be dealt out again.
+SMALL_SHARE = 32 * 1024 * 1024
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a small scan of few files out to all slots; large scans pass unchanged.
+
+    A file that cannot be split (one row group, a compressed text) is read by
+    one task, and so is all work up to the first shuffle. Where the whole scan
+    is small, an extra exchange costs less than idle slots. At scale, files
+    outnumber slots or exceed the bound, and the scan stays as it is.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    few = len(scan.inputFiles()) < slots
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if few else 0
+    return scan.repartition(slots) if few and size < slots * SMALL_SHARE else scan
+
+
 def with_body(pages: DataFrame, column: str = "body") -> DataFrame:
     return pages.filter(F.length(column) > 0)
 
