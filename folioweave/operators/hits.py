@@ -151,3 +151,19 @@ def alternative_sources(shelf: DataFrame, hits: DataFrame) -> DataFrame:
     without = shelf.filter(F.col("author") == "").join(by_name, ["name"])
     columns = ["name", "author", "origin", F.col("hit.book_url").alias("book_url")]
     return with_author.select(*columns).unionByName(without.select(*columns))
+
+
+# Fields a hit and a book share.
+SHARED_FIELDS = ["origin", "name", "author", "book_url"]
+
+
+def to_books(hits: DataFrame, variables: str = "variable") -> DataFrame:
+    """Hits as books: shared fields, the hit's variables read from their blob, the chapter list at the book's URL."""
+    return hits.select(
+        *SHARED_FIELDS, F.from_json(variables, "map<string,string>").alias("variables"), F.col("book_url").alias("toc_url")
+    )
+
+
+def to_hits(books: DataFrame) -> DataFrame:
+    """Books as hits: shared fields, variables written to a blob."""
+    return books.select(*SHARED_FIELDS, F.to_json("variables").alias("variable"))

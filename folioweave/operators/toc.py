@@ -16,10 +16,12 @@ def build_toc(links: DataFrame, chunk: Column, reversed_list: bool = False) -> D
 
     Normally the last link to a URL stays, in page order. On a list that runs
     newest first (``reversed_list``) the first link stays and the order turns.
-    ``links`` has ``book``, ``pos``, ``url``; ``chunk`` grows with ``pos``.
+    ``links`` has ``book``, ``pos``, ``url``; ``chunk`` grows with ``pos``. The
+    deduplicated links are written once, as numbering reads them twice and the
+    shuffle of all links should not run again for that.
     """
     order = F.col("pos").asc() if reversed_list else F.col("pos").desc()
-    kept = first_per_key(links, ["book", "url"], order)
+    kept = checkpointed(first_per_key(links, ["book", "url"], order))
     indexed = numbered(kept, ["book"], F.col("pos"), chunk, "idx", total="__count")
     if reversed_list:
         indexed = indexed.withColumn("idx", F.col("__count") - 1 - F.col("idx"))

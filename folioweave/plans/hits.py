@@ -157,8 +157,8 @@ def project_hits(spark, folder):
     hits = raw_hits(spark, folder).withColumn(
         "variable", F.to_json(F.create_map(F.lit("token"), F.concat(F.lit("t"), F.col("ord.l_suppkey"))))
     )
-    variables = F.from_json("variable", "map<string,string>")
-    return hits.select("origin", "name", "author", "book_url", variables["token"].alias("token"), F.col("book_url").alias("toc_url"))
+    books = op.to_books(op.to_hits(op.to_books(hits)))
+    return books.select("origin", "name", "author", "book_url", F.col("variables")["token"].alias("token"), "toc_url")
 
 
 @query("union_sources", """

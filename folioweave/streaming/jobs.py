@@ -126,7 +126,10 @@ def _stateful(stream: DataFrame, keys: list[str], step, output: str, state: str,
     """Run ``step(rows, carried) -> (out, carried)`` over each key's rows in time order.
 
     Rows wait until the watermark has passed them, so a late file of an earlier
-    time cannot change what was decided; the wait ends by event-time timer.
+    time cannot change what was decided; the wait ends by event-time timer. A
+    key's task holds its rows of one micro-batch and of one watermark delay:
+    bound both by ``files_per_batch`` and ``delay``, or take the batch twin,
+    which splits a hot key by time.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], held: GroupState):

@@ -221,3 +221,39 @@ def test_search_history_cap(spark):
     first = sorted((r for r in got if r.reader == 1), key=lambda r: -r.ts)
     assert len(first) == 50 and first[0].query == "q19" and first[0].ts == 199
     assert [r.query for r in got if r.reader == 2] == ["only"]
+
+
+def test_counts_come_with_the_job(spark):
+    from folioweave.operators.health import observed
+
+    rows, seen = observed(spark.createDataFrame([("ab",), ("c",)], "body string"), "pages")
+    assert rows.count() == 2 and seen.get == {"rows": 2, "chars": 3}
+
+
+def test_small_scans_are_dealt_out(spark, tmp_path, monkeypatch):
+    from folioweave.sources import stores
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    scan = spark.read.parquet(str(tmp_path / "one"))
+    assert stores.spread(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(stores, "SMALL_SHARE", 1)
+    assert stores.spread(scan) is scan
+
+
+def test_large_catalogues_are_not_broadcast(spark):
+    from folioweave.operators.extract import bounded_broadcast
+
+    rows = spark.range(30)
+    marked = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert marked(bounded_broadcast(rows, 30)) and not marked(bounded_broadcast(rows, 29))
+
+
+def test_url_patterns_either_way(spark, monkeypatch):
+    from folioweave.operators import extract as ex
+
+    pages = spark.createDataFrame([("https://a.org/x/1",), ("http://b.net/y",), ("https://a.org/",)], "url string")
+    patterns = [("host", r"^https?://a\.org/x/"), ("loose", r"/y$"), ("all", r"org|net")]
+    want = sorted(map(tuple, ex.pages_by_pattern(pages, patterns).collect()))
+    assert [s for _, s in want] == ["all", "loose", "all", "all", "host"]
+    monkeypatch.setattr(ex, "MAX_PATTERNS_IN_PLAN", 1)
+    assert sorted(map(tuple, ex.pages_by_pattern(pages, patterns).collect())) == want
