@@ -80,20 +80,16 @@ def next_page_chain(spark, folder):
     return toc.follow_links(starts, links)
 
 
-@query("page_chains", f"""WITH {CHAPTERS_SQL}
-SELECT a.url AS start, b.url, b.idx - a.idx AS depth
-FROM chapters a JOIN chapters b ON a.book = b.book AND b.idx >= a.idx AND b.idx < a.idx + 2
-WHERE a.idx % 2 = 0""")
+@query("page_chains", f"""WITH {CHAPTERS_SQL}, heads AS (
+  SELECT book, idx, url, lead(idx) OVER (PARTITION BY book ORDER BY idx) AS stop FROM chapters WHERE role = 'user'
+)
+SELECT h.url AS start, c.url, c.idx - h.idx AS depth FROM heads h JOIN chapters c ON c.book = h.book AND c.idx >= h.idx AND (h.stop IS NULL OR c.idx < h.stop)""")
 def page_chains(spark, folder):
-    """Two turns make a chapter; its chain of pages ends before the next chapter's page."""
+    """A chapter starts at a user's turn; its chain of pages ends before the next chapter's page."""
     rows = chapters(spark, folder)
-
-    def address(offset):
-        return F.concat(F.lit("c"), "book", F.lit("/"), F.col("idx") + offset)
-
-    links = rows.select("url", address(1).alias("next_url"))
+    links = rows.select("url", F.concat(F.lit("c"), "book", F.lit("/"), F.col("idx") + 1).alias("next_url"))
     links = links.join(rows.select(F.col("url").alias("next_url")), "next_url", "left_semi")
-    heads = rows.filter(F.col("idx") % 2 == 0).select("url", address(2).alias("next_url"))
+    heads = toc.next_chapter(rows.filter("role = 'user'")).select("url", "next_url")
     return toc.page_chains(heads, links)
 
 
@@ -241,13 +237,13 @@ def content_keys(spark, folder):
 
 
 @query("store_upsert", """
-SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'new: ' || text ELSE text END AS text, CAST(CASE WHEN turn % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version
+SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'new: ' || text ELSE text END AS text, CAST(CASE WHEN role = 'assistant' THEN 2 ELSE 1 END AS BIGINT) AS version
 FROM conversations WHERE turn <> 3""")
 def store_upsert(spark, folder):
-    """Even turns are stored again in a newer version; turn 3 is then made invalid."""
-    rows = table(spark, folder, "conversations").select("conv_id", "turn", "text")
-    old = rows.withColumn("version", F.lit(1).cast("bigint"))
-    new = rows.filter("turn % 2 = 0").select("conv_id", "turn", F.concat(F.lit("new: "), "text").alias("text"), F.lit(2).cast("bigint").alias("version"))
+    """The assistant's turns are stored again in a newer version; turn 3 is then made invalid."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    old = rows.drop("role").withColumn("version", F.lit(1).cast("bigint"))
+    new = rows.filter("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("new: "), "text").alias("text"), F.lit(2).cast("bigint").alias("version"))
     stored = content.upsert(old, new, ["conv_id", "turn"], "version")
     gone = rows.filter("turn = 3").select("conv_id", "turn")
     return content.invalidate(stored, gone, ["conv_id", "turn"])

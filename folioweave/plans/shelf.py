@@ -21,9 +21,9 @@ def sort_shelf_progress(spark, folder):
     return op.sort_shelf(shelf(spark, folder), "progress").select("key", F.col("sort_progress").alias("progress"))
 
 
-@query("sort_shelf_updated", f"""WITH {SHELF_SQL} SELECT key, updated_at FROM shelf ORDER BY updated_at DESC, key LIMIT 200""")
+@query("sort_shelf_updated", f"""WITH {SHELF_SQL} SELECT key, updated_at FROM shelf ORDER BY updated_at DESC, key""")
 def sort_shelf_updated(spark, folder):
-    return op.sort_shelf(shelf(spark, folder)).select("key", "updated_at").limit(200)
+    return op.sort_shelf(shelf(spark, folder)).select("key", "updated_at")
 
 
 @query("reading_history", f"""WITH {SHELF_SQL}
@@ -84,24 +84,29 @@ def remove_entries(spark, folder):
 
 
 @query("clear_progress", f"""WITH {SHELF_SQL}
-SELECT key, CASE WHEN reader % 2 = 0 THEN NULL ELSE chapter_index END AS chapter_index, CASE WHEN reader % 2 = 0 THEN NULL ELSE progress_at END AS progress_at FROM shelf""")
+SELECT key, CASE WHEN author = '5-LOW' THEN NULL ELSE chapter_index END AS chapter_index, CASE WHEN author = '5-LOW' THEN NULL ELSE progress_at END AS progress_at FROM shelf""")
 def clear_progress(spark, folder):
-    cleared = op.clear_progress(shelf(spark, folder), ["chapter_index", "progress_at"], F.col("reader") % 2 == 0)
+    cleared = op.clear_progress(shelf(spark, folder), ["chapter_index", "progress_at"], F.col("author") == "5-LOW")
     return cleared.select("key", "chapter_index", "progress_at")
 
 
 _UPDATES_SQL = """
-toc_size AS (SELECT l_suppkey AS book, count(*) AS n FROM lineitem WHERE l_suppkey % 10 <> 3 GROUP BY 1),
-checked AS (
+toc_size AS (
+  SELECT l_suppkey AS book, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
+  WHERE n_regionkey <> 3 GROUP BY 1
+), checked AS (
   SELECT s_suppkey AS book, n AS new_total, n IS NULL AS failed, greatest(0, coalesce(n - CAST(floor(s_acctbal / 15) AS BIGINT), 0)) AS new_chapters
-  FROM supplier LEFT JOIN toc_size ON book = s_suppkey WHERE s_nationkey % 4 <> 0
+  FROM supplier LEFT JOIN toc_size ON book = s_suppkey WHERE s_acctbal < 8000
 )"""
 
 
 def _checked(spark, folder):
-    rows = table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("book"), F.floor(F.col("s_acctbal") / 15).alias("old_total"), (F.col("s_nationkey") % 4 != 0).alias("can_update"))
-    toc = table(spark, folder, "lineitem").filter("l_suppkey % 10 <> 3").select(F.col("l_suppkey").alias("book"))
+    """A supplier is a book; those of region 3 have no chapter list, rich ones are not updated."""
+    suppliers, nations = table(spark, folder, "supplier"), table(spark, folder, "nation")
+    rows = suppliers.select(
+        F.col("s_suppkey").alias("book"), F.floor(F.col("s_acctbal") / 15).alias("old_total"), (F.col("s_acctbal") < 8000).alias("can_update"))
+    listed = suppliers.join(nations.filter("n_regionkey <> 3"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("book"))
+    toc = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("book")).join(listed, "book", "left_semi")
     return op.check_updates(rows, toc)
 
 

@@ -221,3 +221,16 @@ def test_shelf_file(spark):
     assert stores.bookmark_rows(states).first().book_name == "N"
     assert [r.query for r in stores.history_rows(states).collect()] == ["q1", "q2"]
     assert stores.health_rows(states).first().passed
+
+
+def test_pages_rules_and_escapes(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"url":"u1","body":"b","status_code":200,"headers":{"a":"1"}}\n{"url":"u2","body":""}\n{"url":"u3"}\n')
+    pages = stores.read_pages(spark, str(tmp_path), "json").collect()
+    assert [(p.url, p.headers) for p in pages] == [("u1", {"a": "1"})]
+    from folioweave.sources.catalog import parse_replace_rules
+
+    texts = spark.createDataFrame([('[{"pattern":"a","order":3},{"pattern":"b","sortOrder":1,"id":7,"timeoutMillisecond":0}]',)], "j string")
+    rules = content.rules_from(parse_replace_rules(texts, "j").collect())
+    assert [(r.pattern, r.order, r.timeout_ms, r.scope_content) for r in rules] == [("a", 3, 3000, True), ("b", 1, 3000, True)]
+    assert [r.pattern for r in content.applicable(rules, title=False)] == ["b", "a"]
+    assert column(spark, text.unescape_all(text.escape(F.col("t"))), [("<a&\"'>",)], "t string") == ["<a&\"'>"]
