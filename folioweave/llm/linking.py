@@ -18,9 +18,19 @@ def _pair(one: str, other: str):
     return F.least(one, other).alias("a"), F.greatest(one, other).alias("b")
 
 
-def _sizes_fit(one: str, other: str, ratio: float):
-    """Jaccard similarity can't exceed the ratio of the smaller set to the larger."""
-    return F.least(one, other) >= F.greatest(one, other) * (ratio - 1e-9)
+def _may_be_similar(ratio: float):
+    """An exact bound: both sets can only share what neither has for itself alone.
+
+    With n elements of which o are in no other set, the intersection is at most min(n - o), the union is what is left of the sum.
+    """
+    common = F.least(F.col("size") - F.col("own"), F.col("c_size") - F.col("c_own"))
+    return common * (1 + ratio) >= ratio * (F.col("size") + F.col("c_size")) - 1e-6
+
+
+def own_elements(sets: DataFrame) -> DataFrame:
+    """(id, own): how many elements of each of ``sets`` (id, elements array<long>) are in no other set."""
+    each = sets.select("id", F.explode("elements").alias("element")).groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    return each.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -32,41 +42,43 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 
 
 def linked_components(
-    buckets: DataFrame, least_ratio: float, verify: Callable[[DataFrame], DataFrame],
+    buckets: DataFrame, sets: DataFrame, ratio: float, verify: Callable[[DataFrame], DataFrame],
 ) -> tuple[DataFrame, DataFrame]:
-    """(components, edges) over ``buckets`` (bucket, id, size) under ``verify``, which keeps the pairs (a, b) that are similar.
+    """(components, edges) over ``buckets`` (bucket, id, size) under ``verify``, which keeps the pairs (a, b) with a Jaccard of ``ratio``.
 
-    Components (id, component) are those of the graph of all similar pairs that share a bucket. They need no pair
-    inside a component that is already known: first every id is compared with its bucket's centre, a number of pairs
-    that is linear in the bucket; then, for buckets whose ids are still in several components, with another centre; what
-    is then still apart is compared in full across the components of its bucket. No link between components is lost.
-    ``edges`` are the pairs found to be similar that way, a spanning part of all similar pairs.
+    Components (id, component) are those of the graph of all similar pairs that share a bucket; ``sets`` (id, elements) are
+    the ids' whole sets. No pair inside a known component is needed: first every id is compared with its bucket's
+    centre, the set with the least share of elements of its own, which is the likeliest to be similar to the rest; then, where
+    ids are still in several components, with another centre; what is then still apart is compared across the components of
+    its bucket, but for pairs that a bound rules out. No link between components is lost. ``edges`` are the pairs found to be
+    similar that way, a spanning part of all similar pairs.
     """
     spark = buckets.sparkSession
-    buckets = written(buckets, "buckets")
+    own = written(own_elements(sets), "own-elements")
+    buckets = written(buckets.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))), "buckets")
+    columns = ["bucket", "id", "size", "own"]
     tried = edges = components = None
     for turn in range(CENTRE_ROUNDS + 1):
         if components is None:
             open_ = buckets.withColumn("part", F.col("id"))
         else:
             named = buckets.join(components, "id", "left")
-            named = named.select("bucket", "id", "size", F.coalesce("component", "id").alias("part"))
+            named = named.select(*columns, F.coalesce("component", "id").alias("part"))
             apart = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
             apart = written(apart, "apart")
             open_ = written(named.join(apart, "bucket"), "open")
             if open_.isEmpty():
                 break
         if turn < CENTRE_ROUNDS:
-            order = scrambled(F.col("id"), turn)
-            centres = open_.groupBy("bucket").agg(
-                F.min_by("id", order).alias("c_id"), F.min_by("size", order).alias("c_size"), F.min_by("part", order).alias("c_part"))
+            chance = F.shiftrightunsigned(scrambled(F.col("id"), turn), 24)
+            order = chance if turn else F.shiftleft((F.col("own") * 1_000_000 / F.col("size")).cast("long"), 40) + chance
+            centres = open_.groupBy("bucket").agg(*(F.min_by(c, order).alias(f"c_{c}") for c in [*columns[1:], "part"]))
             centres = written(centres, "centres")  # a side of its own, so that Spark can split a hot bucket of the join
-            met = open_.join(centres, "bucket").where((F.col("part") != F.col("c_part")) & _sizes_fit("size", "c_size", least_ratio))
-            pairs = met.select(*_pair("id", "c_id"))
+            met = open_.join(centres, "bucket").where((F.col("part") != F.col("c_part")) & _may_be_similar(ratio))
         else:
-            other = open_.select("bucket", *(F.col(c).alias(f"c_{c}") for c in ("id", "size", "part")))
-            met = open_.join(other, "bucket").where((F.col("part") < F.col("c_part")) & _sizes_fit("size", "c_size", least_ratio))
-            pairs = met.select(*_pair("id", "c_id"))
+            other = open_.select("bucket", *(F.col(c).alias(f"c_{c}") for c in [*columns[1:], "part"]))
+            met = open_.join(other, "bucket").where((F.col("part") < F.col("c_part")) & _may_be_similar(ratio))
+        pairs = met.select(*_pair("id", "c_id"))
         pairs = pairs.distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)

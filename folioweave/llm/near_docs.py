@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = WORDS
         enough = both >= similarity * (F.size("of_a") + F.size("of_b") - both) - 1e-9
         return pairs.join(right, "b").join(left, "a").where(enough).select("a", "b").distinct()
 
-    found, _ = linked_components(buckets, similarity, verify)
+    found, _ = linked_components(buckets, sets.select("id", F.col("shingles").alias("elements")), similarity, verify)
     # The classes of rows that repeat a doc_id meet in it.
     twice = member.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("doc_id")
     stars = written(member.join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "repeated")
