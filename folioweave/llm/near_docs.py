@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.llm.components import connected_components
-from folioweave.llm.linking import linked_components, shared_buckets
+from folioweave.llm.linking import SKETCHED, linked_components, shared_buckets
 from folioweave.llm.tables import small_side, written
 from folioweave.llm.words import chunks, mixed, shingle_hashes, word_hashes
 
@@ -89,26 +89,34 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Three bits of each of the first values of each signature, side by side."""
+    bits = mixed(np.ascontiguousarray(signature[:, :SKETCHED]).view(np.uint64), 3000) & np.uint64(7)
+    return np.bitwise_or.reduce(bits << (3 * np.arange(bits.shape[1], dtype=np.uint64)), axis=1).view(np.int64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in chunks(batch.column("text")):
             sets = distinct_shingles(data, offsets, words)
             sizes = np.array([len(s) for s in sets])
             owner = np.repeat(np.arange(len(sets)), sizes)
-            keys = band_keys(superminhash(np.concatenate(sets), owner, len(sets), bands * rows), bands, rows)
+            signature = superminhash(np.concatenate(sets), owner, len(sets), bands * rows)
+            keys = band_keys(signature, bands, rows)
             full = sizes > 0
             lists = pa.ListArray.from_arrays(
                 np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32), pa.array(keys[full].reshape(-1)))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, last - first), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists],
-                ["doc_id", "n_shingles", "set_key", "bands"])
+                [batch.column("doc_id").slice(first, last - first), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists,
+                 pa.array(sketches(signature))],
+                ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
 
 def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands) of ``docs`` (doc_id, text): equal set keys mean equal shingle sets."""
+    """(doc_id, n_shingles, set_key, bands, sketch) of ``docs`` (doc_id, text): equal set keys mean equal shingle sets."""
     return docs.select("doc_id", "text").mapInArrow(
-        lambda batches: _signed(batches, words, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>")
+        lambda batches: _signed(batches, words, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch long")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -143,7 +151,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = WORDS
     classes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("id")), "sets-once")
     member = written(known.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "id", "set_key"), "classes")
     own = known.join(classes.withColumnRenamed("set_key", "key"), (F.col("doc_id") == F.col("id")) & (F.col("set_key") == F.col("key")))
-    buckets = shared_buckets(own.select(F.explode("bands").alias("bucket"), "id", F.col("n_shingles").alias("size")))
+    buckets = shared_buckets(own.select(F.explode("bands").alias("bucket"), "id", F.col("n_shingles").alias("size"), "sketch"))
     buckets = written(buckets, "buckets")
     ids = written(buckets.select(F.col("id").alias("doc_id")).distinct(), "ids")
     # A repeated doc_id with different texts has several sets; any pair of them counts.

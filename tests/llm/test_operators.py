@@ -67,7 +67,7 @@ def test_components(spark, edges):
 def test_linking_loses_no_link_between_components(spark):
     rng = random.Random(3)
     links = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(25)}
-    table = spark.createDataFrame([(1, i, 1) for i in range(40)] + [(2, 99, 1)], "bucket long, id long, size int")
+    table = spark.createDataFrame([(1, i, 1, 0) for i in range(40)] + [(2, 99, 1, 0)], "bucket long, id long, size int, sketch long")
     similar = spark.createDataFrame(sorted(links), "a long, b long")
     sets = spark.createDataFrame([(i, [1]) for i in range(40)], "id long, elements array<long>")
     found, _ = linking.linked_components(linking.shared_buckets(table), sets, 0.8, lambda pairs: pairs.join(similar, ["a", "b"]))
@@ -75,6 +75,16 @@ def test_linking_loses_no_link_between_components(spark):
     assert all(got.get(n, n) == c for n, c in spread_components(links, range(40)).items())
 
 
+def test_rare_elements(spark):
+    rng = random.Random(12)
+    sets = {i: rng.sample(range(60), 12) for i in range(25)}
+    got = linking.rare_elements(spark.createDataFrame(list(sets.items()), "id long, elements array<long>")).collect()
+    holders = {e: sorted(i for i in sets if e in sets[i]) for e in range(60)}
+    told = {tuple(r["ids"]): r["n"] for r in got}
+    assert all(told[ids] == sum(h == list(ids) for h in holders.values()) for ids in told)
+    assert all(tuple(h) in told for h in holders.values() if 0 < len(h) <= 3) and max(map(len, told)) <= 6
+
+
 # --- 6: near documents
 
 
