@@ -22,7 +22,7 @@ HEADLINE = [
     "rank_hits_tiered", "precise_match", "alternative_sources", "dedupe_first", "paginate_hits", "build_toc", "next_chapter",
     "next_page_chain", "stitch_pages", "apply_replace_rules", "effective_rules", "finish_content", "resegment",
     "latest_state", "search_history", "prefetch_window", "source_health", "rate_limit_audit", "new_item_counts",
-    "catalog_diff", "rule_report", "stream_extract", "stream_merge_hits",
+    "catalog_diff", "rule_report", "stream_extract", "stream_merge_hits", "page_chains",
 ]
 
 

@@ -12,41 +12,37 @@ from pyspark.sql import functions as F
 # -- index picks -------------------------------------------------------------
 
 
-def _absolute(index: Column, size: Column) -> Column:
-    return F.when(index < 0, index + size).otherwise(index)
+def positions_of(spans: Column, size: Column) -> Column:
+    """Distinct 0-based positions named by an array of spans (single, lo, hi, stride), in the order written.
 
+    A span holds the positions between its bounds (both included, clamped to the list) that lie whole strides away from the
+    first bound, from there to the second. Negative bounds count from the end; a stride of zero or less has the size added.
+    """
+    size = size.cast("int")
+    every = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
 
-def _clamped(index: Column, size: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(index, size - 1))
-
+    def place(bound_: Column) -> Column:
+        return F.when(bound_ < 0, bound_ + size).otherwise(bound_)
 
-def range_positions(
-    start: int | None, end: int | None, step: int, size: Column
-) -> Column:
-    """0-based positions of an inclusive range; negative bounds count from the end.
+    def covered(span: Column) -> Column:
+        lo, hi = (F.greatest(F.lit(0), F.least(place(b), size - 1)) for b in (F.coalesce(span["lo"], F.lit(0)), F.coalesce(span["hi"], size - 1)))
+        stride = F.greatest(F.lit(1), F.when(span["stride"] > 0, span["stride"]).otherwise(span["stride"] + size))
+        reached = F.filter(every, lambda i: i.between(F.least(lo, hi), F.greatest(lo, hi)) & (F.abs(i - lo) % stride == 0))
+        named = F.filter(every, lambda i: i == place(span["lo"]))
+        return F.when(span["single"], named).when(lo > hi, F.reverse(reached)).otherwise(reached)
 
-    A range whose end lies before its start runs backwards. A step of zero or
-    less has the list size added before it is used.
-    """
-    size = size.cast("int")
-    first = _clamped(_absolute(F.lit(start or 0), size), size)
-    last = _clamped(_absolute(F.lit(end), size) if end is not None else size - 1, size)
-    stride = F.lit(max(1, step)) if step > 0 else F.greatest(F.lit(1), F.lit(step) + size)
-    return F.when(size <= 0, F.array().cast("array<int>")).otherwise(
-        F.sequence(first, last, F.when(last >= first, stride).otherwise(-stride))
-    )
+    return F.array_distinct(F.flatten(F.transform(spans, covered)))
 
 
 def positions(spec: list[int | tuple[int | None, int | None, int]], size: Column) -> Column:
-    """Distinct 0-based positions named by ``spec``, in the order written."""
-    size = size.cast("int")
-    parts = []
-    for item in spec:
-        if isinstance(item, tuple):
-            parts.append(range_positions(*item, size))
-        else:
-            parts.append(F.array(_absolute(F.lit(item), size)))
-    return F.filter(F.array_distinct(F.concat(*parts)), lambda i: (i >= 0) & (i < size))
+    """Positions named by ``spec``: numbers, and ranges (first, last, stride)."""
+    number = lambda n: F.lit(n).cast("int")
+    spans = [
+        F.struct(F.lit(not isinstance(s, tuple)).alias("single"), *(
+            number(v).alias(n) for n, v in zip(("lo", "hi", "stride"), s if isinstance(s, tuple) else (s, None, 1))))
+        for s in spec
+    ]
+    return positions_of(F.array(*spans), size)
 
 
 def pick(items: Column, *spec: int | tuple[int | None, int | None, int]) -> Column:

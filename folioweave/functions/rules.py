@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioweave.functions.patterns import java_pattern, java_replacement, pattern_ok
+from folioweave.functions.patterns import java_pattern, java_replacement, pattern_ok, python_ok
 
 TEST = "STRUCT<kind: STRING, name: STRING, value: STRING>"
 HOP = f"STRUCT<axis: INT, tag: STRING, tests: ARRAY<{TEST}>>"
@@ -350,18 +350,23 @@ def compile_rule(source: str | None, elements: bool = False, stored: dict[str, s
                 patterns = source[1:].split("&&")
                 if not all(map(pattern_ok, patterns)):
                     raise Unsupported(f"pattern {source}")
-                rule["patterns"] = ["(?s)" + java_pattern(p) for p in patterns]
+                rule["patterns"] = [java_pattern(p, dotall=True) for p in patterns]
                 rule["groups"] = re.compile(patterns[-1]).groups
                 return rule
         body, *cleaning = source.split("##")
         if cleaning:
             pattern = cleaning[0]
             ok = pattern_ok(pattern)
-            rule["clean"] = "(?s)" + java_pattern(pattern) if ok and pattern else None
+            if not ok and python_ok(pattern):
+                raise Unsupported(f"pattern {pattern}")
+            rule["clean"] = java_pattern(pattern, dotall=True) if ok and pattern else None
             rule["literal"] = None if ok else pattern
             raw = cleaning[1] if len(cleaning) > 1 else ""
             rule["first"] = len(cleaning) > 2
-            rule["replacement"] = java_replacement(raw) if ok and not rule["first"] else raw
+            try:
+                rule["replacement"] = java_replacement(raw, pattern) if ok and not rule["first"] else raw
+            except ValueError:
+                raise Unsupported(f"replacement {raw}") from None
         if not elements and _TEMPLATE.search(body):
             rule["parts"] = _template(body, stored or {})
         elif body.strip():

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 import html as html_lib
 
 import pandas as pd
@@ -110,47 +109,45 @@ NUMERALS = {
     "十": 10, "拾": 10, "百": 100, "佰": 100, "千": 1000, "仟": 1000, "万": 10000, "亿": 100000000,
 }
 _DIGITS = "".join(c for c, v in NUMERALS.items() if v < 10)
+_UNITS = "".join(c for c, v in NUMERALS.items() if v >= 10)
 _FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _HALF_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F))
 
 
-def _numeral_value(number: Column) -> Column:
-    """Value of a multiplicative numeral, by one fold over its characters; -1 on failure."""
-    values = F.create_map(*[F.lit(x) for pair in NUMERALS.items() for x in pair])
-    known = F.transform(
-        F.filter(F.split(number, ""), lambda c: c != ""), lambda c: F.try_element_at(values, c).cast("bigint")
-    )
-    return bound(known, _folded_numeral)
+def _unit(character: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for c in _UNITS for x in (c, NUMERALS[c])]), character).cast("bigint")
 
 
-def _folded_numeral(known: Column) -> Column:
-    size = F.size(known)
-    digits = F.transform(known, lambda v, i: F.struct(
-        i.alias("i"), v.alias("v"), F.coalesce(F.get(known, i - 1), F.lit(0)).alias("before"),
-    ))
-    start = F.struct(*[F.lit(0).cast("bigint").alias(n) for n in ("total", "held", "high")])
+def _section(text: Column) -> Column:
+    """Value of a numeral below 万: every unit times the digits before it (1 without any), and the digits at the end."""
+    pairs = rf"([0-9]*)([{_UNITS}])"
+    times, units = (F.regexp_extract_all(text, F.lit(pairs), F.lit(g)) for g in (1, 2))
+    values = F.zip_with(times, units, lambda n, u: F.try_multiply(F.greatest(F.coalesce(n.try_cast("bigint"), F.lit(0)), F.lit(1)), _unit(u)))
+    rest = F.coalesce(F.regexp_extract(text, "([0-9]*)$", 1).try_cast("bigint"), F.lit(0))
+    return F.aggregate(values, rest, F.try_add)
 
-    def state(total, held, high):
-        return F.struct(
-            total.cast("bigint").alias("total"), held.cast("bigint").alias("held"), high.cast("bigint").alias("high")
-        )
 
-    zero = F.lit(0)
-    short_tail = lambda d: (d["i"] >= 2) & (d["i"] == size - 1) & (d["before"] > 10)
+def _placed(text: Column, mark: str, value) -> Column:
+    """Sections between ``mark``, each worth a power of the mark's number more than the next one."""
+    base = F.lit(NUMERALS[mark]).cast("bigint")
+    return F.aggregate(F.split(text, mark, -1), F.lit(0).cast("bigint"), lambda high, part: F.try_add(F.try_multiply(high, base), value(part)))
 
-    def step(s, d):
-        v = d["v"]
-        return (
-            F.when(v == 100000000, state(zero, zero, s["high"] * 100000000 + (s["total"] + s["held"]) * v))
-            .when(v == 10000, state((s["total"] + s["held"]) * v, zero, s["high"]))
-            .when(v >= 10, state(s["total"] + v * F.when(s["held"] == 0, F.lit(1)).otherwise(s["held"]), zero, s["high"]))
-            .when(short_tail(d), state(s["total"], F.floor(v * d["before"] / 10), s["high"]))
-            .otherwise(state(s["total"], s["held"] * 10 + v, s["high"]))
-        )
 
-    folded = F.aggregate(digits, start, step, lambda s: s["total"] + s["held"] + s["high"])
-    unknown = F.exists(known, lambda v: v.isNull())
-    return F.when(unknown | (size == 0), F.lit(-1)).otherwise(folded)
+def _numeral_value(number: Column) -> Column:
+    """Value of a multiplicative numeral; -1 for anything else and for what no 64-bit number holds.
+
+    A last digit right after a unit above ten counts in tenths of that unit.
+    """
+    digits = F.translate(number, _DIGITS, "".join(str(NUMERALS[c]) for c in _DIGITS))
+    large = "".join(c for c in _UNITS if NUMERALS[c] > 10)
+    short = rf"^(.+([{large}]))([0-9])$"
+
+    def value(text: Column) -> Column:
+        return _placed(text, "亿", lambda part: _placed(part, "万", _section))
+
+    tail = F.try_multiply(F.regexp_extract(digits, short, 3).try_cast("bigint"), (_unit(F.regexp_extract(digits, short, 2)) / 10).cast("bigint"))
+    whole = F.when(digits.rlike(short), F.try_add(value(F.regexp_extract(digits, short, 1)), tail)).otherwise(value(digits))
+    return F.when(number.rlike(f"^[{_DIGITS}{_UNITS}]+$"), F.coalesce(whole, F.lit(-1))).otherwise(F.lit(-1))
 
 
 def chapter_number(title: Column) -> Column:
@@ -246,14 +243,13 @@ def md5_middle(text: Column) -> Column:
     return F.substring(F.md5(text), 9, 16)
 
 
-def hmac_hex(key: str, algorithm: str = "sha1"):
-    """A vectorised keyed digest; Spark has no built-in one."""
+def hmac_hex(message: Column, key: str, algorithm: str = "sha1") -> Column:
+    """Keyed digest (HMAC) in hexadecimal: two digests over the key's pads."""
+    digest = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256), "sha512": lambda c: F.sha2(c, 512)}[algorithm]
+    block = 128 if algorithm == "sha512" else 64
     secret = key.encode()
-
-    @F.pandas_udf(StringType())
-    def sign(message: pd.Series) -> pd.Series:
-        return message.map(
-            lambda m: hmac.new(secret, m.encode(), getattr(hashlib, algorithm)).hexdigest(), na_action="ignore"
-        )
-
-    return sign
+    if len(secret) > block:
+        secret = hashlib.new(algorithm, secret).digest()
+    secret = secret.ljust(block, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in secret)) for pad in (0x36, 0x5C))
+    return digest(F.concat(outer, F.unhex(digest(F.concat(inner, message.cast("binary"))))))

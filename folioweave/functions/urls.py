@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from folioweave.functions.binding import strip
 
@@ -27,15 +23,20 @@ def is_absolute(url: Column) -> Column:
     return result
 
 
-@F.pandas_udf(StringType())
-def _join_urls(base: pd.Series, url: pd.Series) -> pd.Series:
-    def join(b, u):
-        try:
-            return urljoin(b, u)
-        except ValueError:
-            return u
+def remove_dot_segments(url: Column) -> Column:
+    """``.`` and ``..`` folded out of the path of an absolute URL; query and fragment stay."""
+    parts = r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)([^?#]*)(?s)(.*)$"
+    head, path, tail = (F.regexp_extract(url, parts, i) for i in (1, 2, 3))
+    steps = F.split(path, "/", -1)
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(part == ".", kept).when(part == "..", up).otherwise(F.array_append(kept, part))
 
-    return pd.Series([join(b, u) for b, u in zip(base, url)], dtype="object")
+    folder = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    joined = F.array_join(F.aggregate(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), F.array(F.lit("")), step), "/")
+    clean = F.concat(head, F.when((joined == "") & (folder == "") & (path != ""), F.lit("/")).otherwise(F.concat(joined, folder)), tail)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), clean).otherwise(url)
 
 
 def base_url(url: Column) -> Column:
@@ -43,13 +44,11 @@ def base_url(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+)", 1), F.lit(""))
 
 
-def resolve(base: Column, url: Column, dot_segments: bool = False) -> Column:
-    """Absolute form of ``url`` on a page at ``base``.
+def resolve(base: Column, url: Column) -> Column:
+    """Absolute form of ``url`` on a page at ``base``, without ``.`` and ``..`` in what is joined.
 
-    The common shapes (absolute, ``//host``, ``/path``, ``?query``, ``#part``
-    and a plain relative path) are native expressions. With ``dot_segments``
-    the shapes holding ``./`` or ``../`` go through a vectorised join, at the
-    price of a Python stage.
+    Absolute URLs, ``//host``, ``/path``, ``?query``, ``#part`` and relative
+    paths, all native. An absolute URL is taken as it is.
     """
     url = strip(F.coalesce(url, F.lit("")))
     origin = F.coalesce(base_url(base), F.lit(""))
@@ -70,10 +69,8 @@ def resolve(base: Column, url: Column, dot_segments: bool = False) -> Column:
         .when(url.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), url)
         .otherwise(F.concat(folder, url))
     )
-    if not dot_segments:
-        return result
-    dotted = url.rlike(r"(^|/)\.\.?(/|$|\?|#)") & ~is_absolute(url) & (F.coalesce(base, F.lit("")) != "")
-    return F.when(dotted, _join_urls(base, url)).otherwise(result)
+    joined = ~is_absolute(url) & (F.coalesce(base, F.lit("")) != "") & (url != "")
+    return F.when(joined & url.rlike(r"(^|/)\.\.?(/|$|\?|#)"), remove_dot_segments(result)).otherwise(result)
 
 
 def authority(url: Column) -> Column:

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from folioweave.functions import text as tx
+from folioweave.functions.binding import WHITE_SPACE, bound
 from folioweave.functions.patterns import java_pattern, java_replacement, rule_pattern_ok
 from folioweave.operators.ordered import first_per_key
 
-# Rules up to this number become one Catalyst expression; more run as a vectorised fold.
-MAX_RULES_IN_PLAN = 200
-
-
 @dataclass(frozen=True)
 class ReplaceRule:
     pattern: str
@@ -36,8 +32,20 @@ class ReplaceRule:
 
     @property
     def valid(self) -> bool:
-        """Non-empty, compiles, and does not end in a bare ``|``."""
-        return rule_pattern_ok(self.pattern) if self.is_regex else bool(self.pattern)
+        """Non-empty, has a Java form (its replacement too), and does not end in a bare ``|``."""
+        if not self.is_regex:
+            return bool(self.pattern)
+        try:
+            return rule_pattern_ok(self.pattern) and self.java is not None
+        except ValueError:
+            return False
+
+    @property
+    def java(self) -> tuple[str, str]:
+        """Pattern and replacement as Spark runs them."""
+        if not self.is_regex:
+            return self.pattern, self.replacement
+        return java_pattern(self.pattern), java_replacement(self.replacement, self.pattern)
 
 
 def rules_from(rows: Iterable) -> list[ReplaceRule]:
@@ -60,15 +68,13 @@ def context_tokens(*tokens: Column) -> Column:
     return F.filter(F.transform(F.array_compact(F.array(*tokens)), F.lower), lambda t: t != "")
 
 
-def _any_term(tokens: Column, terms: list[str]) -> Column:
-    return F.exists(tokens, lambda t: F.exists(F.array(*map(F.lit, terms)), lambda term: F.contains(t, term)))
+def in_scope(rule: Column, tokens: Column) -> Column:
+    """Any include term in any token (none means everywhere) and no exclude term in any token."""
 
+    def met(terms: Column) -> Column:
+        return F.exists(terms, lambda term: F.exists(tokens, lambda token: F.contains(token, term)))
 
-def in_scope(rule: ReplaceRule, tokens: Column) -> Column:
-    """Any include term in any token (none means everywhere) and no exclude term in any token."""
-    include, drop = scope_terms(rule.scope), scope_terms(rule.exclude_scope)
-    result = _any_term(tokens, include) if include else F.lit(True)
-    return result & ~_any_term(tokens, drop) if drop else result
+    return ((F.size(rule["include"]) == 0) | met(rule["include"])) & ~met(rule["drop"])
 
 
 def applicable(rules: Iterable[ReplaceRule], title: bool) -> list[ReplaceRule]:
@@ -77,110 +83,60 @@ def applicable(rules: Iterable[ReplaceRule], title: bool) -> list[ReplaceRule]:
     return sorted(chosen, key=lambda r: (r.order, r.id))
 
 
-def _replaced(rule: ReplaceRule, text: Column) -> Column:
-    if rule.is_regex:
-        return F.regexp_replace(text, java_pattern(rule.pattern), java_replacement(rule.replacement))
-    return F.replace(text, F.lit(rule.pattern), F.lit(rule.replacement))
+_RULES = "array<struct<name:string,pattern:string,replacement:string,regex:boolean,include:array<string>,drop:array<string>>>"
 
 
-def replace_many(rules: list[ReplaceRule], tracked: bool = False):
-    """Vectorised fold for long rule lists: (text, tokens) to text, or to the names of effective rules."""
-    plain = [
-        (r.name, re.compile(r.pattern) if r.is_regex else r.pattern, r.replacement, scope_terms(r.scope),
-         scope_terms(r.exclude_scope))
+def rule_array(rules: Iterable[ReplaceRule]) -> Column:
+    """Rules as one constant array, so that a plan has the same size for any number of them."""
+    rows = [
+        {"name": r.name, "pattern": r.java[0], "replacement": r.java[1], "regex": r.is_regex,
+         "include": scope_terms(r.scope), "drop": scope_terms(r.exclude_scope)}
         for r in rules
     ]
+    return F.from_json(F.lit(json.dumps(rows)), _RULES)
 
-    def fold(text, tokens):
-        names = []
-        for name, pattern, replacement, include, drop in plain:
-            if include and not any(t in token for t in include for token in tokens):
-                continue
-            if any(t in token for t in drop for token in tokens):
-                continue
-            new = text.replace(pattern, replacement) if isinstance(pattern, str) else pattern.sub(replacement, text)
-            if new != text:
-                names.append(name)
-            text = new
-        return names if tracked else text
 
-    @F.pandas_udf(ArrayType(StringType()) if tracked else StringType())
-    def run(text: pd.Series, tokens: pd.Series) -> pd.Series:
-        return pd.Series([fold(t, k) if t else t for t, k in zip(text, tokens)], dtype="object")
-
-    return run
+def _replaced(rule: Column, text: Column) -> Column:
+    return F.when(rule["regex"], F.regexp_replace(text, rule["pattern"], rule["replacement"])).otherwise(
+        F.replace(text, rule["pattern"], rule["replacement"]))
 
 
 def apply_rules(
     df: DataFrame, column: str, rules: Iterable[ReplaceRule], tokens: Column, title: bool = False,
     enabled: Column | None = None, effective: str | None = None,
 ) -> DataFrame:
-    """Run the applicable rules over ``column`` one after the other.
+    """Run the applicable rules over ``column`` one after the other, as a fold over the array of rules.
 
     ``enabled`` switches the rules off per row. ``effective`` names a column
-    for the rules that changed the text, in order. A short list stays a chain
-    of native replacements.
+    for the rules that changed the text, in order.
     """
-    chosen = applicable(rules, title)
     use = F.lit(True) if enabled is None else enabled
     before = F.coalesce(F.col(column), F.lit(""))
-    if len(chosen) > MAX_RULES_IN_PLAN:
-        out = df.withColumn("__tokens", tokens)
-        if effective:
-            names = replace_many(chosen, tracked=True)(before, F.col("__tokens"))
-            out = out.withColumn(effective, F.when(use, names).otherwise(F.array().cast("array<string>")))
-        done = replace_many(chosen)(before, F.col("__tokens"))
-        return out.withColumn(column, F.when(use, done).otherwise(before)).drop("__tokens")
+    chosen = F.filter(rule_array(applicable(rules, title)), lambda r: use & in_scope(r, tokens))
     if not effective:
-        text = before
-        for rule in chosen:
-            text = F.when(use & in_scope(rule, tokens), _replaced(rule, text)).otherwise(text)
-        return df.withColumn(column, text)
-    # Tracking needs each intermediate text, so every rule is a projection of its own.
-    out = df.withColumn(column, before).withColumn("__tokens", tokens).withColumn("__use", use)
-    out = out.withColumn(effective, F.array().cast("array<string>"))
-    for rule in chosen:
-        hit = F.col("__use") & in_scope(rule, F.col("__tokens"))
-        out = out.withColumn("__new", F.when(hit, _replaced(rule, F.col(column))).otherwise(F.col(column)))
-        changed = F.array(F.when(F.col("__new") != F.col(column), F.lit(rule.name)))
-        out = out.withColumn(effective, F.concat(F.col(effective), F.array_compact(changed)))
-        out = out.withColumn(column, F.col("__new"))
-    return out.drop("__new", "__tokens", "__use")
+        return df.withColumn(column, F.aggregate(chosen, before, lambda text, rule: _replaced(rule, text)))
+    start = F.struct(before.alias("text"), F.array().cast("array<string>").alias("names"))
 
+    def step(done: Column, rule: Column) -> Column:
+        names = lambda new: F.when(new != done["text"], F.array_append(done["names"], rule["name"])).otherwise(done["names"])
+        return bound(_replaced(rule, done["text"]), lambda new: F.struct(new.alias("text"), names(new).alias("names")))
 
-def rules_in_scope(texts: DataFrame, rules: Iterable[ReplaceRule], tokens: Column) -> DataFrame:
-    """(text, rule name) pairs in scope for content, in rule order.
+    mark = "__done"
+    out = df.withColumn(mark, F.aggregate(chosen, start, step))
+    return out.withColumns({column: F.col(mark)["text"], effective: F.col(mark)["names"]}).drop(mark)
 
-    Each text tests the rules where it stands, so there is no join to grow: the
-    scopes are literals up to ``MAX_RULES_IN_PLAN`` rules, and one vectorised
-    pass beyond.
-    """
-    chosen = applicable(rules, title=False)
-    if len(chosen) <= MAX_RULES_IN_PLAN:
-        names = F.array_compact(F.array(*[F.when(in_scope(r, tokens), F.lit(r.name)) for r in chosen]))
-    else:
-        names = scoped_names(chosen)(tokens)
-    return texts.withColumn("rule", F.explode(names))
-
-
-def scoped_names(rules: list[ReplaceRule]):
-    plain = [(r.name, scope_terms(r.scope), scope_terms(r.exclude_scope)) for r in rules]
-
-    def fits(terms, tokens):
-        return any(t in token for t in terms for token in tokens)
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def names(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda k: [n for n, take, drop in plain if (not take or fits(take, k)) and not fits(drop, k)])
-
-    return names
+def rules_in_scope(texts: DataFrame, rules: Iterable[ReplaceRule], tokens: Column) -> DataFrame:
+    """(text, rule name) pairs in scope for content, in rule order; each text tests the rules where it stands."""
+    fitting = F.filter(rule_array(applicable(rules, title=False)), lambda r: in_scope(r, tokens))
+    return texts.withColumn("rule", F.explode(F.transform(fitting, lambda r: r["name"])))
 
 
 # -- re-segmentation ---------------------------------------------------------
 
 # Marks that end a sentence, closing quotes, and quote patterns.
-SENTENCE_END = set("。！？!?～~")
-CLOSING_QUOTES = set("\"』」")
+SENTENCE_END = "。！？!?～~"
+CLOSING_QUOTES = "\"』」"
 QUOTE_ENTITY = "&quot;"
 SPEECH_AFTER_COLON = "[:：]['\"‘“「]+"
 ADJACENT_QUOTES = "[“”「」]+\\s*[“”「」][\\s“”「」]*"
@@ -188,38 +144,26 @@ QUOTE_PAIR = "[“”「」]+\\s*[“”「」]+"
 SENTENCE_BREAK = "([。！？!?][\"」』]?)(?=[^\n])"
 LONG_LINE = 80
 
-
-def _joined_lines(lines: list[str]) -> str:
-    """Concatenate lines; a new line starts only where the text so far ends a sentence."""
-    out, tail = [], ""
-    for line in lines:
-        closed = tail[-1:] in SENTENCE_END or (tail[-1:] in CLOSING_QUOTES and tail[-2:-1] in SENTENCE_END)
-        if closed:
-            out.append("\n")
-        out.append(line)
-        tail = (tail + line)[-2:]
-    return "".join(out)
+#: A line end that no sentence end stands before, with or without a closing quote (which may open its line).
+_OPEN_END = f"(?<![{SENTENCE_END}])(?<![{SENTENCE_END}]\n?[{CLOSING_QUOTES}])\n"
 
 
-def resegment_text(text: str, title: str = "") -> str:
+def resegment(text: Column, title: Column) -> Column:
     """Join lines that stop inside a sentence and split long lines after sentence ends.
 
-    A first line that is just the title is left out.
+    A first line that is just the title is left out. White space inside lines goes.
     """
     for pattern, mark in ((QUOTE_ENTITY, "“"), (SPEECH_AFTER_COLON, "：“"), (ADJACENT_QUOTES, "“\n”")):
-        text = re.sub(pattern, mark, text)
-    first, *rest = text.split("\n")
-    if title.strip() and first.strip() == title.strip():
-        first = ""
-    bare = ("".join(line.split()) for line in [first, *rest])
-    joined = re.sub(QUOTE_PAIR, "“\n”", _joined_lines([line for line in bare if line]))
-    lines = [re.sub(SENTENCE_BREAK, "\\1\n", s) if len(s) >= LONG_LINE else s for s in joined.split("\n")]
-    return re.sub(r"\n(\s*)\n", "\n", "\n".join(lines).lstrip())
-
-
-@F.pandas_udf(StringType())
-def resegment(text: pd.Series, title: pd.Series) -> pd.Series:
-    return pd.Series([resegment_text(t, h or "") if t is not None else None for t, h in zip(text, title)], dtype="object")
+        text = F.regexp_replace(text, f"(?U){pattern}", mark)
+    name = tx.strip(F.coalesce(title, F.lit("")))
+    is_title = lambda line, i: (i == 0) & (name != "") & (tx.strip(line) == name)
+    lines = F.filter(F.split(text, "\n", -1), lambda line, i: ~is_title(line, i))
+    bare = F.filter(F.transform(lines, lambda line: F.translate(line, WHITE_SPACE, "")), lambda line: line != "")
+    joined = F.regexp_replace(F.regexp_replace(F.array_join(bare, "\n"), _OPEN_END, ""), f"(?U){QUOTE_PAIR}", "“\n”")
+    broken = F.transform(F.split(joined, "\n", -1), lambda line: F.when(
+        F.length(line) >= LONG_LINE, F.regexp_replace(line, SENTENCE_BREAK, "$1\n")).otherwise(line))
+    whole = F.regexp_replace(F.array_join(broken, "\n"), r"(?U)^\s+", "")
+    return F.regexp_replace(whole, r"(?U)\n(\s*)\n", "\n")
 
 
 # -- finishing ---------------------------------------------------------------

@@ -8,6 +8,7 @@ neither the body nor the node array is exploded or shuffled.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from functools import cache
@@ -20,23 +21,15 @@ from pyspark.sql import types as T
 from folioweave.functions import text as tx
 from folioweave.functions import urls
 from folioweave.functions.binding import bound
-from folioweave.functions.lists import json_strings
+from folioweave.functions.lists import json_strings, positions_of
 from folioweave.functions.markup import NODES, page_nodes
-from folioweave.functions.patterns import java_pattern
+from folioweave.functions.patterns import java_pattern, pattern_ok
 from folioweave.functions.rules import compile_group
 
-# A catalogue of up to this many rule sets is sent to every executor; a larger one is joined by shuffle.
-BROADCAST_ROWS = 20_000
-
 _STRINGS = "array<string>"
 _ELEMENT = "struct<node: int, doc: string, groups: array<string>>"
 
 
-def bounded_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``small`` for broadcast if it has at most ``rows`` rows; otherwise leave the join to Spark."""
-    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
-
-
 # -- selection ---------------------------------------------------------------
 
 
@@ -87,28 +80,12 @@ def _hop(nodes: Column, context: Column, hop: Column) -> Column:
 def _picked(found: Column, step: Column) -> Column:
     size = F.size(found)
 
-    def absolute(i: Column) -> Column:
-        return F.when(i < 0, i + size).otherwise(i)
-
-    def clamped(i: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(i, size - 1))
-
-    def spread(span: Column) -> Column:
-        low = clamped(absolute(F.coalesce(span["lo"], F.lit(0))))
-        high = clamped(absolute(F.coalesce(span["hi"], size - 1)))
-        stride = F.greatest(F.lit(1), F.when(span["stride"] > 0, span["stride"]).otherwise(span["stride"] + size))
-        return F.when(span["single"], F.array(absolute(span["lo"]))).otherwise(
-            F.sequence(low, high, F.when(high >= low, stride).otherwise(-stride))
-        )
-
     def chosen(wanted: Column) -> Column:
         return F.when(step["exclude"], F.filter(found, lambda _, i: ~F.array_contains(wanted, i))).otherwise(
             F.transform(wanted, lambda i: F.get(found, i))
         )
 
-    wanted = F.filter(
-        F.array_distinct(F.flatten(F.transform(step["spans"], spread))), lambda i: (i >= 0) & (i < size)
-    )
+    wanted = positions_of(step["spans"], size)
     return F.when(step["exclude"].isNull() | (size == 0), found).otherwise(bound(wanted, chosen))
 
 
@@ -323,7 +300,7 @@ def extract_records(pages: DataFrame, compiled: DataFrame, keep: Sequence[str] =
     the only element. A list rule with ``-`` turns the order.
     """
     found, records = _record_columns("variables" in pages.columns)
-    joined = parsed_pages(pages).join(bounded_broadcast(compiled), "origin")
+    joined = parsed_pages(pages).join(compiled, "origin")
     return (
         joined.withColumn("__found", found)
         .select("origin", *keep, F.explode(records).alias("r"))
@@ -503,7 +480,7 @@ def detail_pages(pages: DataFrame, catalog: DataFrame, hits: DataFrame) -> DataF
 
     ``catalog``: ``origin``, ``pattern``; ``hits``: records found on the pages.
     """
-    joined = pages.join(bounded_broadcast(catalog), "origin")
+    joined = pages.join(catalog, "origin")
     has_pattern = F.coalesce(F.col("pattern"), F.lit("")) != ""
     matched = joined.filter(has_pattern & F.regexp_like(F.col("url"), F.col("pattern")))
     empty = joined.filter(~has_pattern).join(hits.select("origin", "url").distinct(), ["origin", "url"], "left_anti")
@@ -528,43 +505,28 @@ def image_refs(pages: DataFrame) -> DataFrame:
 _ANCHORED_HOST = re.compile(r"^\^?https?\??://((?:[\w-]|\\\.)+)(?:/|\\/|$)")
 
 
-# Up to this many unanchored patterns become part of the plan; more run in one vectorised pass.
-MAX_PATTERNS_IN_PLAN = 200
-
-
-def _matching_sources(patterns: list[tuple[str, str]]):
-    compiled = [(source, re.compile(pattern)) for source, pattern in patterns]
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def matching(url: pd.Series) -> pd.Series:
-        return url.map(lambda u: [s for s, p in compiled if p.search(u)])
-
-    return matching
-
-
 def pages_by_pattern(pages: DataFrame, patterns: Sequence[tuple[str, str]]) -> DataFrame:
     """(page, source) pairs where the source's pattern is found in the page's URL.
 
-    A pattern anchored at a host joins by that host first. The others are a
-    short list, tested on each page where it stands. No page meets the whole
-    catalogue.
+    A pattern anchored at a host joins by that host first. The others are an
+    array of data, tested on each page where it stands. Patterns that Java can't
+    run as they are meant are left out; ``functions.patterns`` says which.
     """
     anchored, loose = [], []
     for source, pattern in patterns:
+        if not pattern_ok(pattern):
+            continue
         host = _ANCHORED_HOST.match(pattern) if pattern.startswith("^") else None
-        (anchored if host else loose).append((source, pattern, host[1].replace("\\", "") if host else None))
-    if len(loose) > MAX_PATTERNS_IN_PLAN:
-        found = _matching_sources([(s, p) for s, p, _ in loose])(F.col("url"))
-    else:
-        tests = [F.when(F.col("url").rlike(java_pattern(p)), F.lit(s)) for s, p, _ in loose]
-        found = F.array_compact(F.array(*tests)).cast(_STRINGS)
+        (anchored if host else loose).append((source, java_pattern(pattern), host[1].replace("\\", "") if host else None))
+    tests = F.from_json(F.lit(json.dumps([{"source": s, "pattern": p} for s, p, _ in loose])), "array<struct<source:string,pattern:string>>")
+    found = F.transform(F.filter(tests, lambda t: F.regexp_like(F.col("url"), t["pattern"])), lambda t: t["source"])
     rows = pages.withColumn("source", F.explode(found))
     if not anchored:
         return rows
     hosts = pages.sparkSession.createDataFrame(
-        [(s, java_pattern(p), h) for s, p, h in anchored], "source string, __pattern string, __host string"
+        anchored, "source string, __pattern string, __host string"
     )
-    by_host = pages.withColumn("__host", urls.authority(F.col("url"))).join(bounded_broadcast(hosts), "__host")
+    by_host = pages.withColumn("__host", urls.authority(F.col("url"))).join(hosts, "__host")
     fitting = by_host.filter(F.regexp_like(F.col("url"), F.col("__pattern"))).select(*pages.columns, "source")
     return rows.unionByName(fitting)
 

@@ -192,6 +192,20 @@ def rule_scope_join(spark, folder):
     return content.rules_in_scope(docs, RULES, tokens).select("doc_id", F.col("rule").alias("rule"))
 
 
+@query("long_rule_list", r"""
+WITH words AS (
+  SELECT list(w ORDER BY w) AS ws FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{4,}')) AS w FROM benchmark)
+)
+SELECT doc_id, list_reduce(list_prepend(text, ws), lambda t, w: replace(t, w, upper(w))) AS text FROM documents, words""")
+def long_rule_list(spark, folder):
+    """Hundreds of rules, one for each word of the benchmark, over every document."""
+    found = table(spark, folder, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))).alias("w"))
+    words = [r.w for r in found.distinct().orderBy("w").collect()]
+    rules = [ReplaceRule(w, w.upper(), w, id=i) for i, w in enumerate(words)]
+    docs, tokens = _documents(spark, folder)
+    return content.apply_rules(docs, "text", rules, tokens).select("doc_id", "text")
+
+
 @query("display_title", f"WITH {CHAPTERS_SQL} SELECT book, idx, replace(title, 'Chapter', 'Ch.') AS title FROM chapters")
 def display_title(spark, folder):
     return content.display_title(chapters(spark, folder), RULES).select("book", "idx", "title")

@@ -38,7 +38,25 @@ def strip_title(spark, folder):
         "conv_id", "turn", fn.strip_title(text, title, book).alias("text"))
 
 
-@query("resegment")
+_END, _CLOSE = "。！？!?～~", '"』」'
+
+
+@query("resegment", rf"""
+WITH quotes AS (
+  SELECT doc_id, regexp_replace(regexp_replace(replace(text, '&quot;', '“'), '[:：][''"‘“「]+', '：“', 'g'),
+    '[“”「」]+\s*[“”「」][\s“”「」]*', '“' || chr(10) || '”', 'g') AS text FROM documents
+), lines AS (
+  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '[\s\x{{A0}}]+', '', 'g')), lambda s: s <> '') AS l FROM quotes
+), joined AS (
+  SELECT doc_id, array_to_string(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(
+      array_to_string(list_slice(l, greatest(i - 2, 1), i - 1), ''), '[{_END}][{_CLOSE}]?$') THEN chr(10) ELSE '' END || l[i]), '') AS text FROM lines
+), paired AS (
+  SELECT doc_id, string_split(regexp_replace(text, '[“”「」]+\s*[“”「」]+', '“' || chr(10) || '”', 'g'), chr(10)) AS l FROM joined
+), broken AS (
+  SELECT doc_id, array_to_string(list_transform(l, lambda s: CASE WHEN length(s) >= 80
+      THEN regexp_replace(regexp_replace(s, '([。！？!?]["」』]?)', '\1' || chr(10), 'g'), '\n$', '') ELSE s END), chr(10)) AS text FROM paired
+)
+SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\n(\s*)\n', chr(10), 'g') AS text FROM broken""")
 def resegment(spark, folder):
     return table(spark, folder, "documents").select("doc_id", op.resegment(F.col("text"), F.lit("")).alias("text"))
 
@@ -139,13 +157,16 @@ def fingerprints(spark, folder):
         F.base64(F.encode("lang", "UTF-8")).alias("b64"), fn.quote_url(F.concat(F.lit("a b&"), "lang")).alias("quoted"))
 
 
-@query("hmac_sign")
+_PADS = {p: "".join(f"\\x{b ^ p:02X}" for b in b"secret".ljust(64, b"\0")) for p in (0x36, 0x5C)}
+
+
+@query("hmac_sign", f"""SELECT doc_id, sha256('{_PADS[0x5C]}'::BLOB || unhex(sha256('{_PADS[0x36]}'::BLOB || encode(text)))) AS signature FROM documents""")
 def hmac_sign(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", fn.hmac_hex("secret")(F.col("text")).alias("signature"))
+    return table(spark, folder, "documents").select("doc_id", fn.hmac_hex(F.col("text"), "secret", "sha256").alias("signature"))
 
 
 @query("find_text", r"""
-SELECT conv_id, turn, len(regexp_extract_all(text, '(?i)\bla\b')) * 0 + (length(text) - length(replace(lower(text), 'the', ''))) // 3 AS found,
+SELECT conv_id, turn, (length(text) - length(replace(lower(text), 'the', ''))) // 3 AS found,
        CAST(instr(lower(text), 'the') AS INTEGER) AS first_at FROM conversations""")
 def find_text(spark, folder):
     return table(spark, folder, "conversations").select(

@@ -113,8 +113,8 @@ SELECT page_id, CASE WHEN no_query LIKE '%/' THEN regexp_replace(no_query, '[^/]
        regexp_replace(no_query, '[^/]*$', '') || 'x' AS same FROM parts""")
 def resolve_dotted(spark, folder):
     return table(spark, folder, "pages").select(
-        "page_id", fn.resolve(F.col("url"), F.lit("../up.html"), True).alias("parent"),
-        fn.resolve(F.col("url"), F.lit("./x"), True).alias("same"))
+        "page_id", fn.resolve(F.col("url"), F.lit("../up.html")).alias("parent"),
+        fn.resolve(F.col("url"), F.lit("./x")).alias("same"))
 
 
 @query("url_parts", r"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,14 +43,17 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: that of ``spark.checkpoint.dir``, else one in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only where none is named."""
+    """Use the cluster's shared checkpoint folder, or one in the warehouse where none is named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            shared = tempfile.mkdtemp(prefix="folioweave-ckpt-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -28,13 +28,12 @@ def spread(scan: DataFrame) -> DataFrame:
 
     A file that cannot be split (one row group, a compressed text) is read by
     one task, and so is all work up to the first shuffle. Where the whole scan
-    is small, an extra exchange costs less than idle slots. At scale, files
-    outnumber slots or exceed the bound, and the scan stays as it is.
+    is small, an extra exchange costs less than idle slots; larger scans stay as
+    they are. The optimizer's estimate decides; no file is listed for it.
     """
     slots = scan.sparkSession.sparkContext.defaultParallelism
-    few = len(scan.inputFiles()) < slots
-    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if few else 0
-    return scan.repartition(slots) if few and size < slots * SMALL_SHARE else scan
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(slots) if size < slots * SMALL_SHARE else scan
 
 
 def with_body(pages: DataFrame, column: str = "body") -> DataFrame:

@@ -7,7 +7,6 @@ log with one folder per micro-batch: a repeated batch overwrites its own folder
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,12 +18,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from folioweave.operators import extract as ex
 from folioweave.operators.hits import merge_key
 from folioweave.operators.shelf import latest_state
+from folioweave.session import shared_folder
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a stream's output and progress, in the cluster's shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioweave-stream-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int = 1000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import io
+import re
 import zipfile
 from urllib.parse import urljoin
 
@@ -10,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioweave.functions import lists, text, urls
+from folioweave.functions import lists, patterns, text, urls
 from folioweave.operators import content, shelf
 from folioweave.sources import schemas, stores
 
@@ -47,15 +48,18 @@ def test_strip_title_takes_odd_names(spark):
     assert column(spark, text.strip_title(F.col("t"), F.col("c"), F.col("b")), rows, "t string, c string, b string") == ["body", "no title"]
 
 
-def test_resegment():
-    assert content.resegment_text("他说\n你好。\n再见") == "他说你好。\n再见"
-    assert content.resegment_text("标题\n正文。", "标题") == "正文。"
-    assert content.resegment_text("说:&quot;好&quot;") == "说：“好“"
-    assert content.resegment_text("好。" * 40 + "完") == "\n".join(["好。"] * 40 + ["完"])
+def test_resegment(spark):
+    rows = [
+        ("他说\n你好。\n再见", None), ("标题\n正文。", "标题"), ("说:&quot;好&quot;", ""), ("好。" * 40 + "完", "x"), ("走！\n\"\n然后\n停", ""), ("  a b\n\n c?\n d", ""),
+        (None, "t"), ("", ""), ("短!!\n" + "长" * 90 + "!!尾!", ""),
+    ]
+    assert column(spark, content.resegment(F.col("t"), F.col("h")), rows, "t string, h string") == [
+        "他说你好。\n再见", "正文。", "说：“好“", "\n".join(["好。"] * 40 + ["完"]), "走！\n\"\n然后停", "abc?\nd", None, "", "短!!\n" + "长" * 90 + "!\n!\n尾!",
+    ]
 
 
 def test_digests_and_coding(spark):
-    assert column(spark, text.hmac_hex("secret")(F.col("t")), [("message",)], "t string") == [base64.b64decode("DK9kn+7klT2Hv5A6wRdsReAo3xY=").hex()]
+    assert column(spark, text.hmac_hex(F.col("t"), "secret"), [("message",)], "t string") == [base64.b64decode("DK9kn+7klT2Hv5A6wRdsReAo3xY=").hex()]
     assert column(spark, text.quote_url(F.col("t")), [("a b",)], "t string") == ["a%20b"]
     assert column(spark, F.md5(F.col("t")), [("abc",)], "t string") == ["900150983cd24fb0d6963f7d28e17f72"]
 
@@ -87,7 +91,7 @@ BASES = st.builds("http://e.com{}".format, st.sampled_from(["", "/", "/a", "/a/"
 @FEW
 @given(st.lists(st.tuples(BASES, REFERENCES), min_size=30, max_size=60))
 def test_resolve_joins_like_the_standard(spark, pairs):
-    got = column(spark, urls.resolve(F.col("b"), F.col("u"), dot_segments=True), pairs, "b string, u string")
+    got = column(spark, urls.resolve(F.col("b"), F.col("u")), pairs, "b string, u string")
     assert got == [urljoin(b, u) if u else "" for b, u in pairs]
 
 
@@ -114,34 +118,19 @@ def test_payloads(spark):
 # -- lists -------------------------------------------------------------------
 
 
-def model_positions(spec, size):
-    out = []
-    for item in spec:
-        if isinstance(item, tuple):
-            lo, hi, step = item
-            lo, hi = lo or 0, size - 1 if hi is None else hi
-            lo, hi = (max(0, min(b + size if b < 0 else b, size - 1)) for b in (lo, hi))
-            step = max(1, step if step > 0 else step + size)
-            out += range(lo, hi + 1, step) if hi >= lo else range(lo, hi - 1, -step)
-        else:
-            out.append(item + size if item < 0 else item)
-    return [i for i in dict.fromkeys(out) if 0 <= i < size]
-
-
-BOUND = st.one_of(st.none(), st.integers(-6, 6))
-SPEC = st.lists(st.one_of(st.integers(-6, 6), st.tuples(BOUND, BOUND, st.integers(-2, 3))), min_size=1, max_size=3)
+# (spans, list size, positions)
+PICKS = [
+    ([1], 5, [1]), ([-1], 5, [4]), ([5], 5, []), ([-6], 5, []), ([2, 0, 2], 5, [2, 0]), ([(1, 3, 1)], 5, [1, 2, 3]), ([(None, None, 2)], 5, [0, 2, 4]),
+    ([(3, 1, 1)], 5, [3, 2, 1]), ([(-2, None, 1)], 5, [3, 4]), ([(0, -1, -2)], 5, [0, 3]), ([(9, 0, 1)], 5, [4, 3, 2, 1, 0]), ([(4, 0, 3)], 5, [4, 1]),
+    ([(0, 1, 1), (1, 3, 2)], 5, [0, 1, 3]), ([0, (None, None, 1)], 0, []), ([(2, 2, 0)], 3, [2]),
+]
 
 
-@FEW
-@given(SPEC, st.lists(st.lists(st.sampled_from("abcdef"), max_size=7), min_size=8, max_size=8))
-def test_index_against_model(spark, spec, rows):
-    data = [(r,) for r in rows]
-    picked = column(spark, lists.pick(F.col("x"), *spec), data, "x array<string>")
-    left = column(spark, lists.exclude(F.col("x"), *spec), data, "x array<string>")
-    for row, got, rest in zip(rows, picked, left):
-        wanted = model_positions(spec, len(row)) if row else []
-        assert got == [row[i] for i in wanted]
-        assert rest == [v for i, v in enumerate(row) if i not in wanted]
+@pytest.mark.parametrize("spec, size, wanted", PICKS)
+def test_index(spark, spec, size, wanted):
+    rows = [(list("abcdef"[:size]),)]
+    assert column(spark, lists.pick(F.col("x"), *spec), rows, "x array<string>") == [["abcdef"[i] for i in wanted]]
+    assert column(spark, lists.exclude(F.col("x"), *spec), rows, "x array<string>") == [[c for i, c in enumerate("abcdef"[:size]) if i not in wanted]]
 
 
 @FEW
@@ -158,24 +147,56 @@ def test_rule_scope(spark):
     rule = content.ReplaceRule
     tokens = content.context_tokens(F.lit("https://a.com"), F.lit("Demo"))
     cases = [rule("x"), rule("x", scope="demo"), rule("x", scope="other"), rule("x", scope="demo", exclude_scope="a.com")]
-    row = spark.range(1).select(*[content.in_scope(r, tokens).alias(f"c{i}") for i, r in enumerate(cases)]).first()
-    assert list(row) == [True, True, False, False]
+    row = spark.range(1).select(F.transform(content.rule_array(cases), lambda r: content.in_scope(r, tokens)).alias("c")).first()
+    assert row.c == [True, True, False, False]
     assert [r.valid for r in (rule(""), rule("a|"), rule(r"a\|"), rule("("), rule("(", is_regex=False))] == [False, False, True, False, True]
 
 
-def test_long_rule_lists_give_the_same(spark, monkeypatch):
+def test_rules_run_in_order(spark):
     rules = [
         content.ReplaceRule(r"(\w)1", r"\1-", "a", id=1), content.ReplaceRule("x$y", "$", "b", id=2, is_regex=False),
         content.ReplaceRule("q", "", "c", id=3, scope="none"), content.ReplaceRule("(?P<n>z)", r"<\g<n>>", "d", id=4),
+        content.ReplaceRule("[[a]", "", "e", id=5), content.ReplaceRule("(?(1)a)", "", "f", id=6), content.ReplaceRule("(o)", r"\2", "g", id=7),
     ]
     df = spark.createDataFrame([("a1 x$y q z", "t"), ("", "t"), (None, "t")], "text string, k string")
     tokens = content.context_tokens(F.col("k"))
-    short = content.apply_rules(df, "text", rules, tokens, effective="e").collect()
-    monkeypatch.setattr(content, "MAX_RULES_IN_PLAN", 1)
-    assert content.apply_rules(df, "text", rules, tokens, effective="e").collect() == short
-    assert short[0].text == "a- $ q <z>" and short[0].e == ["a", "b", "d"]
+    out = content.apply_rules(df, "text", rules, tokens, effective="e").collect()
+    assert [(r.text, r.e) for r in out] == [("- $ q <z>", ["a", "b", "d", "e"]), ("", []), ("", [])]
+    assert [r.text for r in content.apply_rules(df, "text", rules, tokens).collect()] == [r.text for r in out]
     scoped = content.rules_in_scope(df.limit(1), rules, tokens).select("rule").collect()
-    assert [r.rule for r in scoped] == ["a", "b", "d"]
+    assert [r.rule for r in scoped] == ["a", "b", "d", "e"]
+
+
+def test_plan_size_does_not_grow_with_the_rules(spark):
+    df = spark.createDataFrame([("abc", "t")], "text string, k string")
+
+    def nodes(n):
+        rules = [content.ReplaceRule(f"w{i}x", f"v{i}", str(i), id=i, scope="t") for i in range(n)]
+        done = content.apply_rules(df, "text", rules, content.context_tokens(F.col("k")))
+        return done._jdf.queryExecution().optimizedPlan().expressions().toString().count("lambda")
+
+    assert nodes(5) == nodes(500)
+
+
+PATTERNS = [
+    r"a.b", r"a.b$", r"^x|y$", r"(?m)^\w+$", r"[[a]", r"[^\d\s]+", r"\bof\b", r"(?P<n_1>a)(?P=n_1)", r"(?i)É", r"a{2,}?", r"(?<=a)b(?!c)", r"[a-z&&[b]]", r"\Aab\Z", r"\W+", r"[\W_]",
+    r"(a)|b", r"\.\*", r"\x41", r"(?s)a.b", r"a(?i:B)c", r"[\]\-^]+", r"(?>a+)b", r"\S\D", "\u00e9+", r"(?x) a b # c",
+]
+SUBJECTS = ["a\rb", "a\nb", "axb\n", "x\ny", "of office of", "aa aab", "é É", "[[a]&^-]", "ab", "AB_1 ٣ \u2028z", "aBc abC", "", "a*.*b A", "a\u0085b"]
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_patterns_match_as_they_are_meant(spark, pattern):
+    """Every match of the pattern, in Java as in the rule dialect."""
+    got = column(spark, F.regexp_extract_all(F.col("t"), F.lit(patterns.java_pattern(pattern)), F.lit(0)), [(s,) for s in SUBJECTS], "t string")
+    assert got == [[m[0] for m in re.finditer(pattern, s)] for s in SUBJECTS]
+
+
+def test_patterns_without_a_java_form():
+    assert not any(map(patterns.pattern_ok, ["(", "[a", r"(a)(?(1)b|c)", "a{20000}", r"(?a)\w"]))
+    assert [patterns.java_replacement(r, "(?P<n>a)") for r in (r"\1$", r"\g<n>x\\", r"\1" + "0")] == [r"$1\$", r"$1x\\", "$10"]
+    with pytest.raises(ValueError):
+        patterns.java_replacement(r"\2", "(a)")
 
 
 # -- bytes -------------------------------------------------------------------
