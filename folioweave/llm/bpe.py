@@ -168,11 +168,9 @@ def encode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     truncation and padding; special strings inside a text are their special token, as is that library's default.
 
     * Null and empty texts have an empty list and an empty decoded text. Texts of any length are encoded whole.
-    * Repeated rows are encoded each; other columns stay, and must not be called ``ids`` or ``decoded``.
+    * Repeated rows are encoded each; other columns stay, but for those called ``ids`` or ``decoded``, which are replaced.
     """
-    clash = {ids, decoded} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    docs = docs.drop(ids, decoded)
     sent = docs.sparkSession.sparkContext.broadcast(model_parts(path))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{ids}` array<int>", f"`{decoded}` string"])
     typed = docs.withColumn("text", F.col("text").cast("string"))

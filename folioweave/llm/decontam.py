@@ -165,8 +165,8 @@ def _searched(batches: Iterator[pa.RecordBatch], parts: dict, name: str) -> Iter
 def contamination(docs: DataFrame, tests: DataFrame, window: int = WINDOW, name: str = "found") -> DataFrame:
     """``docs`` with a column ``name`` (n_words, spans, items), row by row: where test items stand verbatim.
 
-    ``docs`` has a text, ``tests`` has (item_id, text); other columns of ``docs`` stay as they are and must not be called
-    ``name``, those of ``tests`` are ignored. A window is ``window`` consecutive words of an item; an item of fewer words,
+    ``docs`` has a text, ``tests`` has (item_id, text); other columns of ``docs`` stay as they are (one called ``name``
+    is replaced), those of ``tests`` are ignored. A window is ``window`` consecutive words of an item; an item of fewer words,
     but not none, is one window. ``spans`` are the maximal runs of words inside any occurrence (word numbers from 0, both
     ends inclusive), ``items`` the item_ids with an occurring window, ascending.
 
@@ -174,7 +174,7 @@ def contamination(docs: DataFrame, tests: DataFrame, window: int = WINDOW, name:
     * Repeated rows of either table are judged each by its text; a repeated item_id is listed once.
     * Empty tables give an empty result, or one without spans.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop(name)
     kept = tests.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = written(kept.mapInArrow(_tokenised, "item_id long, words array<long>").where(F.size("words") > 0), "tests")
     total = items.select(F.sum(F.size("words"))).first()[0] or 0

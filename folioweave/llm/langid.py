@@ -137,11 +137,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], lang: str = "l
 
     * Null and empty texts and texts without a letter get ``und`` and 0, as do all texts if nothing could be learned.
     * Ties go to the first language in alphabetical order. Texts are scored whole. Repeated rows get equal results.
-    * Other columns stay and must not be called ``lang`` or ``score`` (parameters). An empty table gives an empty result.
+    * Other columns stay, but for those with the names of the new ones, which are replaced. An empty table gives an empty result.
     """
-    clash = {lang, score} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    docs = docs.drop(lang, score)
     langs, matrix = model
     sent = docs.sparkSession.sparkContext.broadcast(matrix)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{lang}` string", f"`{score}` double"])

@@ -8,6 +8,7 @@ the corpus), with the checks of the base spans as labels, and a threshold for ea
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -141,19 +142,30 @@ def accepted_codes(found: DataFrame) -> list[int]:
     trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, weightCol="weight", seed=1, maxBins=32).fit(labelled.coalesce(1))
     scored = trees.transform(features).select("code", "kind", "n", "sure", vector_to_array("probability")[1].alias("p")).toPandas()
     chosen: list[int] = []
-    for _, kind in scored.sort_values(["p", "code"], ascending=False).groupby("kind"):
-        by_p = kind.groupby("p", sort=True)[["sure", "n"]].sum().iloc[::-1].cumsum()
-        good = by_p[by_p["sure"] >= PRECISION * by_p["n"]]
+    for _, kind in scored.groupby("kind"):
+        levels = kind.groupby("p")[["sure", "n"]].sum().sort_index()
+        good = levels.index[_calibrated(levels["sure"].tolist(), levels["n"].tolist()) >= PRECISION]
         if len(good):
-            chosen += kind.loc[kind["p"] >= good.index.min(), "code"].astype(int).tolist()
+            chosen += kind.loc[kind["p"] >= good.min(), "code"].astype(int).tolist()
     return sorted(chosen)
 
 
+def _calibrated(sure: list[int], n: list[int]) -> np.ndarray:
+    """The share of true candidates at each level of the trees' probability, made to rise with it by pooling neighbours."""
+    pools: list[list[float]] = []  # true ones, all, levels
+    for s, k in zip(sure, n):
+        pools.append([s, k, 1])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [x + y for x, y in zip(pools[-1], last)]
+    return np.repeat([s / k for s, k, _ in pools], [levels for *_, levels in pools])
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans), one row for each row of ``docs`` (doc_id long, text string; other columns are ignored).
 
     ``base`` are the spans of fixed patterns that pass their checks, ``spans`` these and the selected candidates that
-    overlap no base span of their kind and no longer or earlier selected one; structs (start, rank, end, kind) by start, then kind;
+    overlap no base span and no earlier (of two at one place, longer) selected one; structs (start, rank, end, kind) by start, then kind;
     positions are code points from 0, ends exclusive. Texts are searched whole.
 
     * Null and empty texts have no spans. Repeated rows, also with a repeated or null doc_id, are searched each.
@@ -169,12 +181,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
 
     def step(acc: Column, p: Column) -> Column:
-        free = ~F.exists(acc, lambda b: (b["kind"] == p["kind"]) & (p["start"] < b["end"]) & (b["start"] < -p["minus_end"]))
+        free = ~F.exists(acc, lambda b: (p["start"] < b["end"]) & (b["start"] < -p["minus_end"]))
         span = F.struct(p["start"].alias("start"), p["rank"].alias("rank"), (-p["minus_end"]).alias("end"), p["kind"].alias("kind"))
         return F.when(free, F.concat(acc, F.array(span))).otherwise(acc)
 
-    extra = F.aggregate(ordered, none, step)
-    return found.select("doc_id", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
+    apart = F.filter(ordered, lambda p: ~F.exists("base", lambda b: (p["start"] < b["end"]) & (b["start"] < -p["minus_end"])))
+    return found.select("doc_id", "base", F.array_sort(F.concat("base", F.aggregate(apart, none, step))).alias("spans"))
 
 
 def shown(spans: str) -> Column:

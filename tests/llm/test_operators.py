@@ -268,8 +268,7 @@ def test_bpe_odd(spark, odd, nothing):
     got = bpe.encode(odd, path).collect()
     assert len(got) == len(ODD) and all(r["decoded"] == (r["text"] or "") and r["found"] == "en" for r in got)
     assert bpe.encode(nothing, path).count() == 0
-    with pytest.raises(ValueError):
-        bpe.encode(odd.withColumnRenamed("found", "ids"), path)
+    assert bpe.encode(odd.withColumnRenamed("found", "ids"), path).columns == ["doc_id", "text", "score", "ids", "decoded"]
 
 
 @pytest.mark.parametrize("frequent", [300_000, 50])
