@@ -135,7 +135,7 @@ def encoded_words(words: list[str], parts: dict) -> list[list[int]]:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], parts: dict, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
-    pretokens = cutter(parts["pattern"], list(parts["specials"]), fold=False)
+    pretokens = cutter(parts["pattern"], list(parts["specials"]))
     lengths = np.array([len(b) for b in parts["bytes"]], np.int64)
     table = np.frombuffer(b"".join(parts["bytes"]), np.uint8)
     begins = np.cumsum(lengths) - lengths

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Callable
 
 import regex
@@ -39,28 +38,17 @@ def special_pieces(specials: list[str]) -> Callable[[str], list[tuple[bool, str]
     return lambda text: [(i % 2 == 1, piece) for i, piece in enumerate(found.split(text)) if piece]
 
 
-def cutter(pattern: str, specials: list[str], fold: bool) -> Callable[[str], list[str]]:
-    """A function from a text to its pre-tokens in order; special strings come out whole.
-
-    ``fold`` composes (NFC) and lower-cases first, character by character, as the word tokenizer does.
-    """
+def cutter(pattern: str, specials: list[str]) -> Callable[[str], list[str]]:
+    """A function from a text to its pre-tokens in order; special strings come out whole."""
     cut = regex.compile(pattern).findall
     parts = special_pieces(specials)
 
-    def folded(text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
-
-    def plain(text: str) -> list[str]:
-        return cut(folded(text) if fold else text)
-
     def pretokens(text: str) -> list[str]:
         if parts is None or not any(s in text for s in specials):
-            return plain(text)
+            return cut(text)
         out: list[str] = []
         for special, piece in parts(text):
-            out += [piece] if special else plain(piece)
+            out += [piece] if special else cut(piece)
         return out
 
     return pretokens

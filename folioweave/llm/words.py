@@ -81,6 +81,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray, insid
     return hashes, np.searchsorted(starts, offsets)
 
 
+def text_hashes(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of pieces of a text, given by their first and the first character behind them."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    forward, backward = _enough_powers(len(points) + 1)
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(mixed(points.astype(np.uint64), 78) * forward[: len(points)], out=total[1:])
+    return mixed((total[ends] - total[starts]) * backward[starts], 2)
+
+
 def shingle_hashes(words: np.ndarray, firsts: np.ndarray, length: int):
     """(hash of each run of ``length`` words inside a text, index of the first run of each text and the end).
 
