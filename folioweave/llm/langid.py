@@ -25,6 +25,9 @@ EVIDENCE = 30
 SMOOTHING = 0.5
 UNKNOWN = "und"
 
+#: Text bytes scored at once: their n-grams take some hundred times as much memory.
+CHUNK_BYTES = 1 << 19
+
 #: Odd multipliers of the characters of an n-gram.
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
@@ -68,7 +71,7 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     rows: dict[str, int] = {}
     for batch in batches:
-        for first, last, *_ in chunks(batch.column("text")):
+        for first, last, *_ in chunks(batch.column("text"), CHUNK_BYTES):
             texts = batch.column("text").slice(first, last - first).to_pylist()
             langs = batch.column("lang").slice(first, last - first).to_pylist()
             buckets, counts, _ = grams(texts)
@@ -114,7 +117,7 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> tuple[list[str], np.nda
 def _scored(batches: Iterator[pa.RecordBatch], langs: list[str], matrix: np.ndarray, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     table = np.ascontiguousarray(matrix[:-1].T.astype(np.float32))
     for batch in batches:
-        for first, last, *_ in chunks(batch.column("text")):
+        for first, last, *_ in chunks(batch.column("text"), CHUNK_BYTES):
             buckets, counts, has = grams(batch.column("text").slice(first, last - first).to_pylist())
             bounds = np.cumsum(counts) - counts
             some = counts > 0
