@@ -422,6 +422,27 @@ def test_fuzzy_lines_of_documents(spark, docs):
     assert got == brute_lines(rows)
 
 
+def test_similar_short_lines_share_buckets(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeiobdlnrt") for _ in range(rng.randrange(2, 9)))
+    cut = lambda line: {line[j : j + 5] for j in range(len(line) - 4)}
+    pairs = []
+    while len(pairs) < 300:
+        words = [word() for _ in range(rng.randrange(6, 14))]
+        line = " ".join(words)
+        words[rng.randrange(len(words))] = word()
+        a, b = cut(line), cut(" ".join(words))
+        if 0.8 <= len(a & b) / len(a | b) < 1:
+            pairs.append((line, " ".join(words)))
+    # All in lower case: an unbroken line has its start as only anchor.
+    unbroken = "".join(rng.choice("aeiobdlnrt") for _ in range(300))
+    pairs.append((unbroken, "x" + unbroken[1:]))
+    rows = [(2 * i + side, line) for i, pair in enumerate(pairs) for side, line in enumerate(pair)]
+    found = fuzzy_lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5)
+    dropped = {r["doc_id"] for r in found.collect()}
+    assert dropped <= {2 * i + 1 for i in range(len(pairs))} and 601 in dropped and len(dropped) >= 299
+
+
 # --- 2: licences
 
 
