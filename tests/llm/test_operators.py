@@ -422,6 +422,14 @@ def test_fuzzy_lines_of_documents(spark, docs):
     assert got == brute_lines(rows)
 
 
+def test_a_line_of_seventy_characters_may_differ_in_one(spark):
+    line = "the quiet river turns north behind the old mill and the stone bridge near"
+    rows = [(1, line), (2, line.replace("old", "odd")), (3, line.replace("mill", "hill")), (4, "another line that has nothing to do with any river, mill or stone")]
+    assert brute_lines(rows, k=5) == {2: [0], 3: [0]}
+    found = fuzzy_lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["dropped"] for r in found.collect()} == brute_lines(rows, k=5)
+
+
 def test_similar_short_lines_share_buckets(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("aeiobdlnrt") for _ in range(rng.randrange(2, 9)))
