@@ -1,13 +1,16 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-Units are the lines of a text (headers) and the text as a whole (licence files). Template words are few and go to every task;
+Units are the lines of a text and its runs of as many words as a template has (headers), and the text as a whole (licence
+files). Template words are few and go to every task;
 how rare they are is counted over all units of the corpus. Directories without a licence of their own get it by joins on
 the paths of their ancestors.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,54 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free "
+        "Software Foundation, either version {} of the License, or (at your option) any later version. This program is distributed in the hope "
+        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU {} for more details. You should have received a copy of the GNU {} along with this program. If not, see "
+        "<https://www.gnu.org/licenses/>.")
+
+# The header blocks that the licences recommend.
+HEADERS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+                   "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to "
+                   'in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY '
+                   "KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+                "this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    *((name, _GNU.format(kind, version, kind, kind)) for name, kind, version in [
+        ("AGPL-3.0", "Affero General Public License", "3"), ("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"),
+        ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", "3")]),
+]
+
+#: Tags name a licence exactly or not at all.
+TAGS = [(name, f"SPDX-License-Identifier: {name}") for name in (
+    "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0",
+    "MIT", "MIT-0", "MPL-2.0")]
+
 #: Least cosine of a unit to a template.
 THRESHOLD = 0.75
 
+#: Runs of words are compared with templates of at most LONGEST words; of a longer licence text with its first HEAD words. Of a
+#: template of fewer than SHORT words, of which one word may be the name, a run must have nearly all.
+LONGEST, HEAD, SHORT, NEARLY = 300, 150, 12, 0.95
+
+
+def licence_texts() -> list[tuple[str, str]]:
+    """(licence, whole text), for the driver. The AGPL, which is the GPL but for its name and a section, is made from it to tell the two apart."""
+    texts = {p.stem: p.read_text("utf-8") for p in sorted(Path(__file__).with_name("licence_texts").glob("*.txt"))}
+    affero = re.sub(r"(GNU )(General Public License)", r"\1Affero \2", texts["GPL-3.0"], flags=re.I).replace("29 June", "19 November")
+    return [*texts.items(), ("AGPL-3.0", affero)]
+
+
+def _run_templates(templates: list[tuple[str, str]], threshold: float) -> tuple[list[tuple[str, str]], list[float]]:
+    """The templates of runs, longest first, and the least cosine to each."""
+    n_words = lambda text: len(re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text))
+    head = lambda text: " ".join(re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text)[:HEAD])
+    every = [(n, t if n_words(t) <= LONGEST else head(t), max(threshold, NEARLY) if n_words(t) < SHORT else threshold) for n, t in templates]
+    every += [(n, t, 1 - 1e-9) for n, t in TAGS]
+    every.sort(key=lambda x: -n_words(x[1]))
+    return [x[:2] for x in every], [x[2] for x in every]
+
 
 def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
     values = np.arange(256, dtype=np.uint8)
@@ -115,22 +163,58 @@ def cosines(words: np.ndarray, unit: np.ndarray, n_units: int, parts: dict) -> t
     return best, which
 
 
+def run_cosines(words: np.ndarray, doc: np.ndarray, n_docs: int, parts: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(best cosine, its template) of every document's runs of as many words as a template has, where the template's least is reached.
+
+    ``doc`` ascends. A run's norm is at least that of its words counted once each, so sums of words bound its cosine; terms are
+    counted for runs whose bound is above what their document has reached.
+    """
+    best, which = np.zeros(n_docs), np.full(n_docs, -1)
+    vocabulary, idf, rarest = parts["vocabulary"], parts["idf"], parts["rarest"]
+    rank = _ranks(words, vocabulary)
+    weight = np.append(idf, rarest)[rank]
+    squares = np.concatenate([[0.0], np.cumsum(weight**2)])
+    for t, least in enumerate(parts["least"]):
+        length = int(parts["counts"][t].sum())
+        if len(words) < length:
+            continue
+        dots = np.concatenate([[0.0], np.cumsum(np.append(parts["units"][t] * idf, 0.0)[rank])])
+        bounds = (dots[length:] - dots[:-length]) / np.sqrt(squares[length:] - squares[:-length])
+        starts = np.flatnonzero((bounds >= least - 1e-6) & (doc[: len(bounds)] == doc[length - 1 :]))
+        for start in starts[np.argsort(-bounds[starts], kind="stable")]:
+            if bounds[start] + 1e-6 <= best[doc[start]]:
+                continue
+            run = slice(start, start + length)
+            _, first, times = np.unique(words[run], return_index=True, return_counts=True)
+            cosine = (dots[start + length] - dots[start]) / np.sqrt(((times * weight[run][first]) ** 2).sum())
+            if cosine >= least - 1e-6 and cosine > best[doc[start]] + 1e-6:
+                best[doc[start]], which[doc[start]] = min(cosine, 1.0), t
+    return best, which
+
+
 def _scanned(batches: Iterator[pa.RecordBatch], parts: dict) -> Iterator[pa.RecordBatch]:
-    names = np.array(parts["names"], dtype=object)
+    runs, wholes = parts["runs"], parts["wholes"]
+    parts = parts["lines"]
+    names, run_names, whole_names = (np.array(p["names"], dtype=object) for p in (parts, runs, wholes))
+    long = wholes["counts"].sum(axis=1) >= HEAD
     for batch in batches:
         for first, last, data, offsets in chunks(batch.column("text")):
             n = last - first
             words, unit, doc = _units(data, offsets)
             line, line_which = cosines(words, unit, len(doc), parts)
-            whole, whole_which = cosines(words, doc[unit], n, parts)
+            whole, whole_which = cosines(words, doc[unit], n, wholes)
+            run, run_which = run_cosines(words, doc[unit], n, runs)
             at = np.lexsort((line_which, -line, doc))  # of a document's lines the best one, of equal ones the first template
             top = at[np.concatenate([[True], doc[at][1:] != doc[at][:-1]])] if len(at) else at
             header, header_which = np.zeros(n), np.full(n, -1)
             header[doc[top]], header_which[doc[top]] = line[top], line_which[top]
-            is_file = (whole >= parts["threshold"]) & (whole >= header)
+            by_run = run > header + 1e-9
+            header_name = np.where(by_run, run_names[run_which], names[header_which])
+            header = np.where(by_run, run, header)
+            is_file = (whole >= parts["threshold"]) & ((whole >= header) | long[whole_which])
             score = np.where(is_file, whole, header)
             good = score >= parts["threshold"]
-            name = names[np.where(is_file, whole_which, header_which)]
+            name = np.where(is_file, whole_names[whole_which], header_name)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("path").slice(first, n), pa.array(np.where(good, name, None), pa.string()), pa.array(np.where(good, score, 0.0)), pa.array(is_file)],
                 ["path", "licence", "score", "whole"])
@@ -144,8 +228,9 @@ def _folder(path: Column) -> Column:
 def scan_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(path, licence, score, origin), one row for each row of ``files`` (path, text; other columns are ignored).
 
-    A file's licence is the template with the largest cosine, at least ``threshold``, among its lines (origin ``header``) and
-    its whole text (origin ``file``). A directory's licence comes from the files in it that are licences as a whole or are
+    A file's licence is the template with the largest cosine, at least ``threshold``, among its lines and runs of words (origin
+    ``header``) and its whole text (origin ``file``). Runs are compared with ``templates``, header blocks, tags and licence texts,
+    of the longest the beginning; whole texts with all but the tags. A directory's licence comes from the files in it that are licences as a whole or are
     called LICENSE, LICENCE or COPYING; the best score counts, then the first name. Files without a licence of their own get
     that of their nearest directory that has one (origin ``inherited``); others have a null licence and score 0.
 
@@ -153,17 +238,21 @@ def scan_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     * Repeated rows get equal results, one each. Texts are read whole. An empty table gives an empty result.
     """
     spark = files.sparkSession
-    parts = template_parts(templates)
+    wholes = templates + HEADERS + licence_texts()
+    run_templates, least = _run_templates(wholes, threshold)
+    sides = {"lines": template_parts(templates), "runs": template_parts(run_templates) | {"least": least}, "wholes": template_parts(wholes)}
+    vocabulary = np.unique(np.concatenate([side["vocabulary"] for side in sides.values()]))
     rows = files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    sent = spark.sparkContext.broadcast(parts["vocabulary"])
+    sent = spark.sparkContext.broadcast(vocabulary)
     counted = rows.select("text").mapInArrow(lambda batches: _unit_counts(batches, sent.value), "word long, n long")
     counts = {r["word"]: r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # one row a template word
     total = counts.pop(-1, 0)
-    idf = np.array([np.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in range(len(parts["vocabulary"]))])
-    units = parts["counts"] * idf
-    known = spark.sparkContext.broadcast(parts | {
-        "idf": idf, "rarest": float(np.log(1 + total) + 1), "threshold": threshold,
-        "units": units / np.sqrt((units**2).sum(axis=1, keepdims=True))})
+    every_idf = np.array([np.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in range(len(vocabulary))])
+    for side in sides.values():
+        idf = every_idf[_ranks(side["vocabulary"], vocabulary)]
+        units = side["counts"] * idf
+        side |= {"idf": idf, "rarest": float(np.log(1 + total) + 1), "threshold": threshold, "units": units / np.sqrt((units**2).sum(axis=1, keepdims=True))}
+    known = spark.sparkContext.broadcast(sides)
     scanned = rows.mapInArrow(lambda batches: _scanned(batches, known.value), "path string, licence string, score double, whole boolean")
     scanned = written(scanned.withColumn("folder", _folder(F.col("path"))), "licences")
     named = F.col("whole") | F.col("path").rlike(r"(?i)(?:^|/)(?:licen[cs]e|copying)[^/]*$")

@@ -469,6 +469,24 @@ def test_licences(spark):
     assert licences.scan_licences(table.limit(0)).count() == 0
 
 
+def test_licence_texts_header_blocks_tags_and_notices_inside_lines(spark):
+    texts, blocks = dict(licences.licence_texts()), dict(licences.HEADERS)
+    wrapped = "\n".join("# " + " ".join(blocks["GPL-3.0"].split()[i : i + 12]) for i in range(0, 120, 12))
+    notice = "This work is licensed under a Creative Commons Attribution 4.0 International License."
+    rows = [
+        ("b/LICENSE", "Copyright (c) 2020 Some Body\n" + texts["BSD-3-Clause"], "BSD-3-Clause"), ("m/terms", "MIT License\n\nCopyright (c) 2021 Some Body\n\n" + texts["MIT"], "MIT"),
+        ("g/COPYING", texts["GPL-3.0"][:2500], "GPL-3.0"), ("a/LICENSE", texts["Apache-2.0"], "Apache-2.0"), ("h/x.py", wrapped + "\nimport os\n" * 30, "GPL-3.0"),
+        ("s/x.c", "// SPDX-License-Identifier: MIT\nint main;", "MIT"), ("s/y.c", "// SPDX-License-Identifier: Zlib\nint main;", None),
+        ("c/page", "many other words stand in front of it in one long paragraph about rivers " * 3 + notice + " and behind it come some more about hills" * 3, "CC-BY-4.0"),
+        *((f"own{i}/LICENSE", text, name) for i, (name, text) in enumerate(licences.licence_texts())),
+        ("b/x.py", "nothing of that kind", "BSD-3-Clause"), ("m/x.py", "nothing of that kind", "MIT"), ("g/x.py", "nothing of that kind", "GPL-3.0"),
+    ]
+    filler = [(f"z/{i}/f.py", f"line {i} of the plain text\nunder and this work in {i}", None) for i in range(60)]
+    table = spark.createDataFrame([r[:2] for r in rows + filler], "path string, text string")
+    got = {r["path"]: r["licence"] for r in licences.scan_licences(table).collect()}
+    assert got == {path: licence for path, _, licence in rows + filler}
+
+
 def test_licence_cosines_equal_plain_counting(spark):
     parts = licences.template_parts(licences.TEMPLATES)
     parts |= {"idf": np.linspace(1, 4, len(parts["vocabulary"])), "rarest": 5.0, "threshold": 0.3}
