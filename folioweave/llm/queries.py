@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import bpe, decontam, fuzzy_lines, langid, licences, near_docs, pii, url_rules, vectors
+from folioweave.llm import bpe, decontam, divergence, fuzzy_lines, langid, licences, near_docs, pii, topk, url_rules, vectors
 from folioweave.llm import token_counts as counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +35,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 NEAR_SQL = r"""
 WITH RECURSIVE split AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+  SELECT doc_id, [w FOR w IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF w <> ''] AS w
   FROM documents),
 runs AS (
   SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
@@ -65,12 +65,12 @@ def near_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 LEAKS_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w
+  SELECT doc_id, [w FOR w IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF w <> ''] AS w
   FROM documents),
 b AS (
-  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w
+  SELECT item_id, [w FOR w IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF w <> ''] AS w
   FROM benchmark),
 tests AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS s
@@ -114,7 +114,7 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
 VECTORS_SQL = r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE list_dot_product(e, e) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
@@ -211,3 +211,64 @@ def fuzzy_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select(
         "doc_id", "n_lines", F.col("dropped_lines").cast("long").alias("n_dropped"),
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+SOURCES_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+words AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1),
+found AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+sizes AS (SELECT lang, source, sum(n) AS n FROM found GROUP BY 1, 2),
+groups AS (
+  SELECT g.lang, g.source, coalesce(sizes.n, 0) AS n, coalesce(langs.v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN sizes USING (lang, source) LEFT JOIN langs ON langs.lang = g.lang),
+shares AS (
+  SELECT groups.lang, groups.source, kept.term, coalesce(found.n, 0) AS count,
+    1 + (1000000000::HUGEINT * (coalesce(found.n, 0) + 5)) // (groups.n + 5 * groups.v)::HUGEINT AS p
+  FROM groups JOIN kept ON kept.lang = groups.lang
+  LEFT JOIN found ON found.lang = groups.lang AND found.source = groups.source AND found.term = kept.term),
+whole AS (
+  SELECT kept.lang, kept.term, 1 + (1000000000::HUGEINT * (kept.n + 5)) // (langs.n + 5 * langs.v)::HUGEINT AS q FROM kept JOIN langs USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT shares.lang, source, 'term', shares.term, (p - q)::BIGINT
+  FROM shares JOIN whole ON whole.lang = shares.lang AND whole.term = shares.term WHERE count > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM every)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query("op11_source_divergence", SOURCES_SQL)
+def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Each source of a language against every other one, and the terms in which it exceeds the language most."""
+    return divergence.audit_sources(table(spark, folder, "documents"), least_docs=30, smoothing=5, top=50)
+
+
+TOP_SQL = r"""
+WITH v AS (
+  SELECT vec_id, [floor(1024 * x)::BIGINT FOR x IN embedding::DOUBLE[]] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e::DOUBLE[], b.e::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op12_top_vectors", TOP_SQL)
+def top_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten embeddings with the highest integer inner product for every hundredth one."""
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)

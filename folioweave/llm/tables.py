@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from folioweave.session import ensure_checkpoint_dir
 #: Bytes that a hinted broadcast may have; larger sides are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
+#: The tables made in each open scope, outermost first. Jobs of one driver thread nest.
+_scopes: list[list[str]] = []
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the checkpoint folder, which the driver and all executors see."""
@@ -25,10 +30,57 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The rows are made once, the plan behind them ends here, and a lost executor re-reads the files.
     """
     path = shared_path(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scoped(name: str) -> Callable:
+    """A job whose result (a table, or a tuple of them) is written under ``name`` and whose other written tables are then deleted."""
+
+    def around(job: Callable) -> Callable:
+        @functools.wraps(job)
+        def run(*args, **kwargs):
+            spark = SparkSession.active()
+            made: list[str] = []
+            _scopes.append(made)
+            try:
+                out = job(*args, **kwargs)
+                whole = out if isinstance(out, tuple) else (out,)
+                kept = [written(df, name) for df in whole]
+                results = made[len(made) - len(kept):]
+                del made[len(made) - len(kept):]
+            finally:
+                _scopes.pop()
+                removed(spark, made)
+            if _scopes:
+                _scopes[-1].extend(results)
+            return tuple(kept) if isinstance(out, tuple) else kept[0]
+
+        return run
+
+    return around
+
+
+def in_blocks(df: DataFrame, most: int, weight: Column, name: str) -> Iterator[DataFrame]:
+    """The rows of ``df`` in blocks of about ``most`` of the summed ``weight`` of a row (one row may weigh more)."""
+    rows = written(df.withColumn("_weight", weight), name)
+    total = rows.agg(F.sum("_weight")).first()[0] or 0
+    n = max(1, -(-int(total) // most))
+    dealt = written(rows.drop("_weight").repartition(n).withColumn("_block", F.spark_partition_id()), f"{name}-blocks")
+    for block in range(n):
+        yield dealt.where(F.col("_block") == block).drop("_block")
+
+
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df``, a written table, with a broadcast hint while its rows stay within BROADCAST_BYTES."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
