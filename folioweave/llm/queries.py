@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import bpe, decontam, divergence, fuzzy_lines, langid, licences, near_docs, pii, topk, url_rules, vectors
+from folioweave.llm import bpe, decontam, divergence, fuzzy_lines, langid, licences, near_docs, pii, ranked, topk, url_rules, vectors
 from folioweave.llm import token_counts as counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,3 +272,31 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 def top_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """The ten embeddings with the highest integer inner product for every hundredth one."""
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+RANKED_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+sizes AS (SELECT r, count(*) AS n FROM d GROUP BY 1),
+stats AS (SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM sizes),
+norms AS (SELECT r, 100 - 50 + (50 * n * nd) // l AS m FROM sizes, stats),
+tfs AS (SELECT r, doc_id, term, count(*) AS tf FROM d SEMI JOIN i ON d.term = i.term GROUP BY 1, 2, 3),
+weights AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, stats GROUP BY term, nd),
+scores AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM i JOIN tfs USING (term) JOIN weights USING (term) JOIN norms USING (r) GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+@query("op13_ranked_search", RANKED_SQL)
+def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The fifty best documents for every benchmark item."""
+    return ranked.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
