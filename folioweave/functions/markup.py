@@ -3,7 +3,8 @@
 ``page_nodes`` turns markup into nodes in document order. A node knows its
 parent (``up``) and its last descendant (``last``), so the descendants of node
 ``i`` are the slice ``i + 1 … last`` and everything after parsing (selection,
-text, attributes) is a Spark expression over that array.
+text, attributes) is a Spark expression over that array. A JSON document becomes such an array too: members and items are
+nodes, scalars hold their text.
 
 Recovery from bad markup is fixed as follows: script and style hold raw text;
 a ``p`` ends at the next block, ``li``, ``dt``/``dd``, ``option``, ``tr`` and
@@ -13,6 +14,7 @@ inside; an end tag closes what it encloses or, with no partner, is skipped.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import cache
 from html import unescape
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioweave.functions.selectors import ITEM, MEMBER
+
 NODE = (
     "STRUCT<i: INT, up: INT, last: INT, tag: STRING, attrs: MAP<STRING, STRING>, text: STRING, own: STRING, "
     "begin: INT, end: INT, nth: INT, nth_last: INT, nth_type: INT, nth_type_last: INT>"
@@ -49,6 +53,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_JSON_TOKEN = re.compile(r'[\s,:]*(?:([\[{])|([\]}])|("(?:[^"\\]|\\.)*")|([^\s,:\[\]{}"]+))', re.S)
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -153,6 +158,48 @@ class NodeTable:
             self.nth_type_last.append(None if nth is None else of_tag[up, self.tag[i]] - self.nth_type[i] + 1)
         self.starts.append(len(self.up))
 
+    def add_document(self, source: str) -> bool:
+        """Nodes of a JSON document; false, and none, if it is no such document."""
+        try:
+            json.loads(source)
+        except (ValueError, RecursionError):
+            self.starts.append(len(self.up))
+            return False
+        base = self.starts[-1]
+        open_nodes: list[tuple[int, bool]] = []  # with whether it has names
+        name, sizes = None, {}
+        for token in _JSON_TOKEN.finditer(source):
+            opened, closed, string, other = token.groups()
+            begin, end = token.span(token.lastindex)
+            if closed:
+                i, _ = open_nodes.pop()
+                self.last[base + i], self.end[base + i] = len(self.up) - base - 1, end
+                continue
+            if string and open_nodes and open_nodes[-1][1] and name is None:
+                name = json.loads(string)
+                continue
+            up = open_nodes[-1][0] if open_nodes else -1
+            i = len(self.up) - base
+            sizes[up] = nth = sizes.get(up, 0) + 1
+            self.up.append(up)
+            self.last.append(i)
+            self.tag.append("#page" if up < 0 else ITEM if name is None else MEMBER + name)
+            self.attrs.append({})
+            self.text.append(json.loads(string) if string else None if opened or other == "null" else other)
+            self.own.append(None)
+            self.begin.append(begin)
+            self.end.append(end)
+            self.nth.append(nth if up >= 0 else None)
+            name = None
+            if opened:
+                open_nodes.append((i, opened == "{"))
+        for i in range(base, len(self.up)):
+            self.nth_last.append(None if self.nth[i] is None else sizes[self.up[i]] - self.nth[i] + 1)
+            self.nth_type.append(self.nth[i])
+            self.nth_type_last.append(self.nth_last[i])
+        self.starts.append(len(self.up))
+        return True
+
     def columns(self) -> dict[str, list]:
         sizes = zip(self.starts, self.starts[1:])
         return {
@@ -194,19 +241,21 @@ def parse_nodes(markup: str) -> list[dict]:
 @cache
 def _nodes_udf():
     @F.arrow_udf(NODES)
-    def nodes(body: pa.Array) -> pa.Array:
+    def nodes(body: pa.Array, is_json: pa.Array) -> pa.Array:
         table, missing = NodeTable(), []
-        for markup in body.to_pylist():
-            missing.append(markup is None)
-            if markup is None:
+        for source, document in zip(body.to_pylist(), is_json.to_pylist(), strict=True):
+            missing.append(source is None)
+            if source is None:
                 table.starts.append(table.starts[-1])
+            elif document:
+                missing[-1] = not table.add_document(source)
             else:
-                table.add_page(markup)
+                table.add_page(source)
         return table.to_arrow(missing)
 
     return nodes
 
 
-def page_nodes(body: Column) -> Column:
-    """Nodes of each page, null for a null body."""
-    return _nodes_udf()(body)
+def page_nodes(body: Column, is_json: Column | None = None) -> Column:
+    """Nodes of each page, of a document where ``is_json`` holds; null for a null body and what is no JSON after all."""
+    return _nodes_udf()(body, F.lit(False) if is_json is None else is_json)

@@ -7,6 +7,7 @@ number of sources. Compilation runs once per rule set, never per page.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 
@@ -14,12 +15,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioweave.functions.patterns import java_pattern, java_replacement, pattern_ok, python_ok
+from folioweave.functions.selectors import ATTRIBUTE, CHILD, DOWN, HOP, OWN, Unsupported, css_paths, hop, json_hops, outside, test, xpath_paths
 
-TEST = "STRUCT<kind: STRING, name: STRING, value: STRING>"
-HOP = f"STRUCT<axis: INT, tag: STRING, tests: ARRAY<{TEST}>>"
 SPAN = "STRUCT<single: BOOLEAN, lo: INT, hi: INT, stride: INT>"
 STEP = f"STRUCT<paths: ARRAY<ARRAY<{HOP}>>, exclude: BOOLEAN, spans: ARRAY<{SPAN}>>"
-ALT = f"STRUCT<steps: ARRAY<{STEP}>, reader: STRING, name: STRING, path: STRING>"
+ALT = f"STRUCT<steps: ARRAY<{STEP}>, reader: STRING, name: STRING, json: ARRAY<{STEP}>>"
 PART = f"STRUCT<kind: STRING, text: STRING, mode: STRING, op: STRING, alts: ARRAY<{ALT}>>"
 RULE = (
     f"STRUCT<parts: ARRAY<{PART}>, patterns: ARRAY<STRING>, groups: INT, clean: STRING, literal: STRING, replacement: STRING, "
@@ -27,103 +27,10 @@ RULE = (
 )
 FIELD = f"STRUCT<name: STRING, rule: {RULE}>"
 
-DOWN, CHILD, DOWN_OR_SELF = 0, 1, 2
-
 _READERS = {"text", "textNodes", "ownText", "html", "all"}
 _SCRIPT = re.compile(r"@js:|<js>", re.I)
 _TEMPLATE = re.compile(r"@get:\{([^}]+)\}|\{\{(.*?)\}\}|\$(\d{1,2})", re.I | re.S)
 _PUT = re.compile(r"@put:(\{[^}]+\})", re.I)
-_COMPOUND = re.compile(
-    r"(?P<tag>^[\w*-]+)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)"
-    r"|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~^$*|]?=)\s*[\"']?(?P<val>[^\"'\]]*)[\"']?\s*)?\]"
-    r"|:(?P<pseudo>[\w-]+)(?:\((?P<arg>[^)]*)\))?"
-)
-
-
-class Unsupported(ValueError):
-    pass
-
-
-def _test(kind: str, name: str = "", value: str = "") -> dict:
-    return {"kind": kind, "name": name, "value": value}
-
-
-# -- selectors ---------------------------------------------------------------
-
-
-def _pseudo(name: str, arg: str | None) -> dict:
-    first_or_last = {
-        "first-child": ("nth", "1"), "last-child": ("nth_last", "1"), "first-of-type": ("nth_type", "1"),
-        "last-of-type": ("nth_type_last", "1"),
-    }
-    if name in first_or_last:
-        return _test(first_or_last[name][0], value=first_or_last[name][1])
-    counted = {
-        "nth-child": "nth", "nth-last-child": "nth_last", "nth-of-type": "nth_type", "nth-last-of-type": "nth_type_last",
-    }
-    if name in counted and (arg or "").strip().isdigit():
-        return _test(counted[name], value=arg.strip())
-    if name in ("contains", "-soup-contains"):
-        return _test("text", value=(arg or "").strip("\"' "))
-    raise Unsupported(f"pseudo class {name}")
-
-
-def _compound(source: str, axis: int) -> dict:
-    tag, tests, at = "*", [], 0
-    for m in _COMPOUND.finditer(source):
-        if m.start() != at:
-            raise Unsupported(f"selector {source}")
-        at = m.end()
-        if m["tag"]:
-            tag = m["tag"].lower()
-        elif m["id"]:
-            tests.append(_test("=", "id", m["id"]))
-        elif m["cls"]:
-            tests.append(_test("~=", "class", m["cls"]))
-        elif m["attr"]:
-            tests.append(_test(m["op"] or "has", m["attr"].lower(), m["val"] or ""))
-        else:
-            tests.append(_pseudo(m["pseudo"], m["arg"]))
-    if at != len(source) or not source:
-        raise Unsupported(f"selector {source}")
-    return {"axis": axis, "tag": tag, "tests": tests}
-
-
-def _outside(source: str, separators: str) -> list[str]:
-    """Split at separators that stand outside brackets and quotes; the separators are kept."""
-    out, depth, quote, piece = [], 0, "", ""
-    for c in source:
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c in "[(":
-            depth += 1
-        elif c in "])":
-            depth -= 1
-        elif depth == 0 and c in separators:
-            out += [piece, c]
-            piece = ""
-            continue
-        piece += c
-    return [*out, piece]
-
-
-def css_paths(selector: str) -> list[list[dict]]:
-    paths = []
-    for group in _outside(selector, ",")[::2]:
-        hops, axis = [], DOWN
-        for piece in _outside(group.strip(), " >+~"):
-            if piece in ("+", "~"):
-                raise Unsupported(f"combinator {piece}")
-            if piece == ">":
-                axis = CHILD
-            elif piece.strip():
-                hops.append(_compound(piece, axis))
-                axis = DOWN
-        paths.append(hops)
-    return paths
-
 
 # -- selector steps with index -----------------------------------------------
 
@@ -151,28 +58,27 @@ def selector_step(source: str) -> dict:
     elif re.search(r"[.:!]$", source):
         raise Unsupported(f"index without number in {source}")
     kind, _, name = source.partition(".")
-    hop = {"axis": DOWN, "tag": "*", "tests": []}
     if source in ("", "children"):
-        hop["axis"] = CHILD
+        only = hop(CHILD)
     elif kind == "tag" and name:
-        hop["tag"] = name.lower()
+        only = hop(DOWN, name.lower())
     elif kind == "class" and name:
-        hop["tests"] = [_test("class", value=name)]
+        only = hop(DOWN, tests=[test(ATTRIBUTE, "class", "class", name)])
     elif kind == "id" and name:
-        hop["tests"] = [_test("=", "id", name)]
+        only = hop(DOWN, tests=[test(ATTRIBUTE, "=", "id", name)])
     elif kind == "text" and name:
-        hop["tests"] = [_test("text", value=name)]
+        only = hop(DOWN, tests=[test(OWN, "*=", value=name)])
     else:
         return {"paths": css_paths(source), "exclude": exclude, "spans": spans}
-    return {"paths": [[hop]], "exclude": exclude, "spans": spans}
+    return {"paths": [[only]], "exclude": exclude, "spans": spans}
 
 
 def _plain_step(paths: list) -> dict:
     return {"paths": paths, "exclude": None, "spans": []}
 
 
-def _alt(steps=None, reader=None, name=None, path=None) -> dict:
-    return {"steps": steps or [], "reader": reader, "name": name, "path": path}
+def _alt(steps=None, reader=None, name=None, json=None) -> dict:
+    return {"steps": steps or [], "reader": reader, "name": name, "json": json}
 
 
 def _reader(source: str) -> tuple[str, str | None]:
@@ -188,81 +94,39 @@ def html_alt(source: str, strings: bool) -> dict:
             return _alt([_plain_step(css_paths(selector))])
         selector, _, last = selector.rpartition("@")
         return _alt([_plain_step(css_paths(selector))], *_reader(last))
-    pieces = [p for p in _outside(source, "@")[::2]]
+    pieces = [p for p in outside(source, "@")[::2]]
     if not strings:
         return _alt([selector_step(p) for p in pieces if p.strip()])
     return _alt([selector_step(p) for p in pieces[:-1] if p.strip()], *_reader(pieces[-1]))
 
 
-_XPATH_STEP = re.compile(r"(//|/)(@?[\w*:-]+(?:\(\))?|\.)((?:\[[^\]]*\])*)")
-
-
-def _xpath_test(predicate: str) -> dict:
-    p = predicate.strip()
-    if p.isdigit():
-        return _test("nth_type", value=p)
-    if p == "last()":
-        return _test("nth_type_last", value="1")
-    if m := re.fullmatch(r"@([\w:-]+)", p):
-        return _test("has", m[1].lower())
-    if m := re.fullmatch(r"@([\w:-]+)\s*=\s*[\"'](.*)[\"']", p):
-        return _test("=", m[1].lower(), m[2])
-    if m := re.fullmatch(r"contains\(\s*@([\w:-]+)\s*,\s*[\"'](.*)[\"']\s*\)", p):
-        return _test("*=", m[1].lower(), m[2])
-    if m := re.fullmatch(r"contains\(\s*(?:text\(\)|\.)\s*,\s*[\"'](.*)[\"']\s*\)", p):
-        return _test("text", value=m[1])
-    if m := re.fullmatch(r"text\(\)\s*=\s*[\"'](.*)[\"']", p):
-        return _test("text_is", value=m[1])
-    raise Unsupported(f"xpath predicate {predicate}")
+def xpath_alt(source: str) -> dict:
+    paths, reader, name = xpath_paths(source)
+    return _alt([_plain_step(paths)] if any(paths) else [], reader, name)
 
 
-def xpath_alt(source: str) -> dict:
-    source = source.strip().removeprefix(".")
-    if not source.startswith("/"):
-        source = "/" + source
-    hops, at, reader, name = [], 0, "node", None
-    for m in _XPATH_STEP.finditer(source):
-        if m.start() != at or reader != "node":
-            raise Unsupported(f"xpath {source}")
-        at = m.end()
-        axis = CHILD if m[1] == "/" else (DOWN if hops else DOWN_OR_SELF)
-        if m[2].startswith("@"):
-            reader, name = "every_attr", m[2][1:].lower()
-            if m[1] == "//":
-                hops.append({"axis": axis, "tag": "*", "tests": []})
-        elif m[2] == "text()":
-            reader = "texts"
-            if m[1] == "//":
-                hops.append({"axis": DOWN_OR_SELF, "tag": "*", "tests": []})
-        elif m[2] != ".":
-            tests = [_xpath_test(p) for p in re.findall(r"\[([^\]]*)\]", m[3])]
-            if m[2] == "*":
-                tests = [{**t, "kind": t["kind"].replace("nth_type", "nth")} for t in tests]
-            hops.append({"axis": axis, "tag": m[2].lower(), "tests": tests})
-    if at != len(source):
-        raise Unsupported(f"xpath {source}")
-    return _alt([_plain_step([hops])] if hops else [], reader, name)
-
-
-def json_path(source: str) -> str:
-    source = source.strip()
-    if ".." in source or "?(" in source:
-        raise Unsupported(f"json path {source}")
-    if source.startswith("$"):
-        return source
-    return "$" + source if source.startswith("[") else "$." + source
+def json_steps(source: str) -> list[dict]:
+    return [_plain_step([json_hops(source)])]
 
 
 # -- whole rules -------------------------------------------------------------
 
 
 def _split_alternatives(source: str) -> tuple[str, list[str]]:
-    """Parts of a rule and what joins them; the first joiner written decides."""
-    found = [(source.find(op), op) for op in ("&&", "||", "%%") if op in source]
-    if not found:
-        return "", [source]
-    op = min(found)[1]
-    return op, [p for p in source.split(op) if p.strip()]
+    """Parts of a rule and what joins them; the first joiner that stands outside brackets and quotes decides."""
+    # Signs stand at odd places; a joiner is two of a kind with nothing in between.
+    op, pieces, out, k = "", outside(source, "&|%"), [""], 0
+    while k < len(pieces):
+        piece = pieces[k]
+        double = k % 2 == 1 and pieces[k + 1:k + 3] == ["", piece]
+        if double and op in ("", piece * 2):
+            op = piece * 2
+            out.append("")
+            k += 3
+        else:
+            out[-1] += piece
+            k += 1
+    return (op, [p for p in out if p.strip()]) if op else ("", [source])
 
 
 def _part(source: str, strings: bool) -> dict:
@@ -287,12 +151,13 @@ def _alternative(source: str, mode: str, strings: bool) -> dict:
         if mode == "xpath":
             return xpath_alt(source)
         if mode == "json":
-            return _alt(path=json_path(source))
+            return _alt(reader="json", json=json_steps(source))
         alt = html_alt(source, strings)
     except Unsupported as error:
         return {**_alt([_plain_step([])], "text"), "refused": str(error)}
-    if mode == "auto" and ".." not in source and "?(" not in source:
-        alt["path"] = json_path(source)
+    if mode == "auto":
+        with contextlib.suppress(Unsupported):
+            alt["json"] = json_steps(source)
     return alt
 
 

@@ -18,65 +18,142 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioweave.functions import selectors as sel
 from folioweave.functions import text as tx
 from folioweave.functions import urls
 from folioweave.functions.binding import bound
-from folioweave.functions.lists import json_strings, positions_of
+from folioweave.functions.lists import positions_of
 from folioweave.functions.markup import NODES, page_nodes
 from folioweave.functions.patterns import java_pattern, pattern_ok
 from folioweave.functions.rules import compile_group
 
 _STRINGS = "array<string>"
-_ELEMENT = "struct<node: int, doc: string, groups: array<string>>"
+_ELEMENT = "struct<node: int, groups: array<string>>"
 
 
 # -- selection ---------------------------------------------------------------
 
 
-def _passes(node: Column, test: Column) -> Column:
-    value = test["value"]
-    attr = F.try_element_at(node["attrs"], test["name"])
-    cls = F.try_element_at(node["attrs"], F.lit("class"))
-    kind = test["kind"]
-    number = value.cast("int")
-    passed = (
-        F.when(kind == "=", attr == value)
-        .when(kind == "~=", F.array_contains(F.split(attr, r"\s+"), value))
-        .when(kind == "class", (cls == value) | F.array_contains(F.split(cls, r"\s+"), value))
-        .when(kind == "has", attr.isNotNull())
-        .when(kind == "^=", attr.startswith(value))
-        .when(kind == "$=", attr.endswith(value))
-        .when(kind == "*=", F.contains(attr, value))
-        .when(kind == "|=", (attr == value) | attr.startswith(F.concat(value, F.lit("-"))))
-        .when(kind == "text", F.contains(node["own"], value))
-        .when(kind == "text_is", tx.strip(node["own"]) == value)
-        .when(kind == "nth", node["nth"] == number)
-        .when(kind == "nth_last", node["nth_last"] == number)
-        .when(kind == "nth_type", node["nth_type"] == number)
-        .when(kind == "nth_type_last", node["nth_type_last"] == number)
+def _number(text: Column) -> Column:
+    return text.try_cast("double")
+
+
+def _passes(nodes: Column, node: Column, test: Column, level: int) -> Column:
+    kind, of, value = test["kind"], test["of"], test["value"]
+    subject = (
+        F.when(of == sel.ATTRIBUTE, F.try_element_at(node["attrs"], test["name"]))
+        .when(of == sel.OWN, tx.strip(node["own"]))
+        .when(of.isin(sel.TEXT, sel.WORDS), bound(F.coalesce(node["text"], F.array_join(_texts(nodes, node["i"]), "")), lambda text: F.when(
+            of == sel.TEXT, text).otherwise(F.regexp_replace(tx.strip(text), r"\s+", " "))))
     )
+
+    def compared(s: Column) -> Column:
+        """Numbers by size, other text by code points; negative, zero or positive."""
+        return F.coalesce(F.signum(_number(s) - _number(value)), F.when(s < value, -1.0).when(s == value, 0.0).otherwise(1.0))
+
+    def agrees(s: Column) -> Column:
+        words = F.array_contains(F.split(s, r"\s+"), value)
+        return (
+            F.when(kind == "=", s == value).when(kind == "~=", words).when(kind == "class", (s == value) | words).when(kind == "has", s.isNotNull())
+            .when(kind == "^=", s.startswith(value)).when(kind == "$=", s.endswith(value)).when(kind == "*=", F.contains(s, value))
+            .when(kind == "|=", (s == value) | s.startswith(F.concat(value, F.lit("-")))).when(kind == "!=", s != value)
+            .when(s.isNotNull(), bound(compared(s), lambda c: F.when(kind == "==", c == 0).when(kind == "<", c < 0).when(
+                kind == "<=", c <= 0).when(kind == ">", c > 0).when(kind == ">=", c >= 0)))
+        )
+
+    def counted(n: Column) -> Column:
+        step, ahead = test["name"].cast("int"), n - value.cast("int")
+        return F.when(step == 0, ahead == 0).otherwise((ahead % F.nullif(F.abs(step), F.lit(0)) == 0) & (ahead * F.signum(step) >= 0))
+
+    ordinal = F.when(of == "nth", node["nth"]).when(of == "nth_last", node["nth_last"]).when(of == "nth_type", node["nth_type"]).otherwise(node["nth_type_last"])
+    passed = F.when(of.isin(sel.ATTRIBUTE, sel.OWN, sel.TEXT, sel.WORDS), bound(subject, agrees)).when(kind == "an+b", bound(ordinal, counted))
+    if level:
+        reached = F.exists(test["paths"], lambda path: F.size(_walk(nodes, node["i"], path, level - 1)) > 0)
+        passed = passed.when(kind.isin("with", "without"), reached == (kind == "with"))
+    passed = passed.when(kind == "empty", node["last"] == node["i"]).when(kind == "root", node["up"] == 0).when(kind == "slice", _in_slice(node, test))
     return F.coalesce(passed, F.lit(False))
 
 
+def _number(text: Column) -> Column:
+    return text.try_cast("double")
+
+
+def _in_slice(node: Column, test: Column) -> Column:
+    size = node["nth"] + node["nth_last"] - 1
+    ends = F.transform(F.split(test["name"], ":"), lambda e: F.nullif(e, F.lit("")).cast("int"))
+    placed = bound(ends, lambda e: F.transform(e, lambda n, k: F.greatest(F.lit(0), F.when(n < 0, n + size).when(n.isNull() & (k == 0), 0).when(n.isNull(), size).otherwise(n))))
+    ahead = lambda p: node["nth"] - 1 - F.get(p, F.lit(0))
+    return bound(placed, lambda p: (ahead(p) >= 0) & (node["nth"] - 1 < F.get(p, F.lit(1))) & (ahead(p) % test["value"].cast("int") == 0))
+
+
+def _in_place(test: Column, k: Column, size: Column) -> Column:
+    """Whether the k-th of ``size`` nodes (from 0) has the place a test asks for."""
+    wanted = F.when(test["kind"] == "place", test["value"].cast("int")).otherwise(size - test["value"].cast("int"))
+    place, how = k + 1, test["name"]
+    return (
+        F.when(how == "=", place == wanted).when(how == "!=", place != wanted).when(how == "<", place < wanted)
+        .when(how == "<=", place <= wanted).when(how == ">", place > wanted).otherwise(place >= wanted)
+    )
+
+
 def _subtree(nodes: Column, i: Column) -> Column:
     """Node ``i`` and its descendants: one slice, as nodes are in document order."""
     return F.slice(nodes, i + 1, F.get(nodes, i)["last"] - i + 1)
 
 
-def _hop(nodes: Column, context: Column, hop: Column) -> Column:
-    def from_one(x: Column) -> Column:
-        def fits(n: Column) -> Column:
-            axis = (
-                F.when(hop["axis"] == 1, n["up"] == x).when(hop["axis"] == 0, n["i"] > x).otherwise(F.lit(True))
-            )
-            tag = (n["tag"] == hop["tag"]) | ((hop["tag"] == "*") & ~n["tag"].startswith("#"))
-            return axis & tag & F.forall(hop["tests"], lambda t: _passes(n, t))
+def _hop(nodes: Column, context: Column, hop: Column, level: int) -> Column:
+    """The nodes one hop leads to. An axis is an interval of places and, for some, a condition on parent or last descendant."""
+    axis = hop["axis"]
 
-        return F.transform(F.filter(_subtree(nodes, x), fits), lambda n: n["i"])
+    def interval(x: Column) -> Column:
+        parent_last = F.get(nodes, x["up"])["last"]
+        low = (
+            F.when(axis.isin(sel.DOWN, sel.CHILD), x["i"] + 1).when(axis.isin(sel.DOWN_OR_SELF, sel.SELF), x["i"])
+            .when(axis.isin(sel.NEXT, sel.AFTER, sel.FOLLOWING), x["last"] + 1).when(axis == sel.UP, x["up"])
+            .when(axis.isin(sel.BEFORE, sel.PREVIOUS), x["up"] + 1).otherwise(F.lit(0))
+        )
+        high = (
+            F.when(axis.isin(sel.DOWN, sel.CHILD, sel.DOWN_OR_SELF), x["last"]).when(axis.isin(sel.SELF, sel.UPPER_OR_SELF), x["i"])
+            .when(axis.isin(sel.NEXT, sel.AFTER), parent_last).when(axis == sel.UP, x["up"])
+            .when(axis == sel.FOLLOWING, F.size(nodes) - 1).otherwise(x["i"] - 1)
+        )
+        return bound(F.struct(low.alias("low"), (high - low + 1).alias("n")), lambda r: F.slice(
+            nodes, F.greatest(r["low"], F.lit(0)) + 1, F.when(r["low"] >= 0, F.greatest(r["n"], F.lit(0))).otherwise(0)))
+
+    def from_one(i: Column) -> Column:
+        def found(x: Column) -> Column:
+            def fits(n: Column) -> Column:
+                # What rules most nodes out at least cost comes first.
+                tag = (n["tag"] == hop["tag"]) | (hop["tag"].startswith(sel.ELEMENT) & (
+                    ~n["tag"].startswith("#") | ((hop["tag"] == sel.ANY) & (n["tag"] == "#page"))))
+                beside = (n["up"] == x["up"]) & (x["up"] >= 0)
+                there = (axis <= sel.FOLLOWING) | (
+                    F.when(axis == sel.CHILD, n["up"] == x["i"]).when(axis.isin(sel.AFTER, sel.BEFORE), beside)
+                    .when(axis == sel.NEXT, beside & (n["nth"] == x["nth"] + 1)).when(axis == sel.PREVIOUS, beside & (n["nth"] == x["nth"] - 1))
+                    .when(axis.isin(sel.UPPER, sel.UPPER_OR_SELF), n["last"] >= x["last"]).otherwise(n["last"] < x["i"])
+                )
+                return tag & there & F.forall(hop["tests"], lambda t: _passes(nodes, n, t, level))
+
+            return F.transform(F.filter(interval(x), fits), lambda n: n["i"])
+
+        reached = bound(F.get(nodes, i), found)
+        return bound(reached, counted) if level == sel.NESTED else reached
+
+    def counted(reached: Column) -> Column:
+        """Tests of places, one after the other; some axes count backwards."""
+        def one(left: Column, test: Column) -> Column:
+            return bound(left, lambda held: F.filter(held, lambda _, k: _in_place(test, k, F.size(held))))
+
+        ordered = F.when(axis.isin(*sel.BACKWARDS), F.reverse(reached)).otherwise(reached)
+        return F.when(F.size(hop["places"]) == 0, reached).otherwise(F.aggregate(hop["places"], ordered, one))
 
     return F.array_distinct(F.flatten(F.transform(context, from_one)))
 
 
+def _walk(nodes: Column, start: Column, path: Column, level: int) -> Column:
+    return F.aggregate(path, F.array(start), lambda context, hop: _hop(nodes, context, hop, level))
+
+
 def _picked(found: Column, step: Column) -> Column:
     size = F.size(found)
 
@@ -93,9 +170,7 @@ def select_nodes(nodes: Column, steps: Column, start: Column) -> Column:
     """Positions of the nodes the steps lead to from node ``start``."""
 
     def path_nodes(x: Column, paths: Column) -> Column:
-        found = F.transform(
-            paths, lambda path: F.aggregate(path, F.array(x), lambda context, hop: _hop(nodes, context, hop))
-        )
+        found = F.transform(paths, lambda path: _walk(nodes, x, path, sel.NESTED))
         return F.array_sort(F.array_distinct(F.flatten(found)))
 
     def one_step(context: Column, step: Column) -> Column:
@@ -114,6 +189,20 @@ def _texts(nodes: Column, i: Column) -> Column:
     return F.transform(inside, lambda n: n["text"])
 
 
+def _opens(body: Column, node: Column) -> Column:
+    """The first character of a JSON node."""
+    return F.substring(body, node["begin"] + 1, F.lit(1))
+
+
+def _items(nodes: Column, body: Column, found: Column) -> Column:
+    """JSON nodes; a list that is found alone stands for its items."""
+    def of_list(i: Column) -> Column:
+        items = F.transform(F.filter(_subtree(nodes, i), lambda n: n["up"] == i), lambda n: n["i"])
+        return F.when(_opens(body, F.get(nodes, i)) == "[", items)
+
+    return bound(found, lambda f: F.coalesce(F.when(F.size(f) == 1, of_list(F.get(f, F.lit(0)))), f))
+
+
 def read_nodes(nodes: Column, body: Column, found: Column, reader: Column, name: Column) -> Column:
     """Strings read off nodes: text in several forms, markup, or an attribute."""
     return bound(found, lambda bound_found: _read(nodes, body, bound_found, reader, name))
@@ -127,6 +216,9 @@ def _read(nodes: Column, body: Column, found: Column, reader: Column, name: Colu
     def each(fn) -> Column:
         return F.filter(F.transform(found, fn), lambda s: F.coalesce(s != "", F.lit(False)))
 
+    def json_value(i: Column) -> Column:
+        return bound(F.get(nodes, i), lambda n: F.coalesce(n["text"], F.when(_opens(body, n).isin("[", "{"), outer(i))))
+
     def attribute(i: Column) -> Column:
         return F.try_element_at(F.get(nodes, i)["attrs"], name)
 
@@ -144,6 +236,7 @@ def _read(nodes: Column, body: Column, found: Column, reader: Column, name: Colu
         .when(reader == "all", each(outer))
         .when(reader == "every_attr", F.filter(F.transform(found, attribute), lambda s: s.isNotNull()))
         .when(reader == "texts", direct)
+        .when(reader == "json", F.filter(F.transform(_items(nodes, body, found), json_value), lambda s: s.isNotNull()))
         .otherwise(F.transform(found, lambda i: F.array_join(_texts(nodes, i), "")))
     )
 
@@ -176,28 +269,21 @@ class Page:
     def _reads_json(self, part: Column) -> Column:
         return (part["mode"] == "json") | ((part["mode"] == "auto") & self.is_json)
 
+    def _found(self, part: Column, alt: Column, start: Column) -> Column:
+        """Places an alternative leads to; rules for pages find nothing in documents, and the other way round."""
+        reads_json = self._reads_json(part)
+        steps = F.when(reads_json, alt["json"]).otherwise(alt["steps"])
+        return F.coalesce(F.when(reads_json == self.is_json, select_nodes(self.nodes, steps, start)), F.array().cast("array<int>"))
+
     def elements(self, rule: Column) -> Column:
         """Elements a list rule finds on the page."""
 
         def of_part(part: Column) -> Column:
-            html = F.transform(
-                part["alts"],
-                lambda alt: F.transform(
-                    select_nodes(self.nodes, alt["steps"], F.lit(0)),
-                    lambda i: F.struct(i.alias("node"), F.lit(None).cast("string").alias("doc"),
-                                       F.lit(None).cast(_STRINGS).alias("groups")),
-                ),
-            )
-            docs = F.transform(
-                part["alts"],
-                lambda alt: F.transform(
-                    json_strings(self.body, alt["path"]),
-                    lambda d: F.struct(F.lit(None).cast("int").alias("node"), d.alias("doc"),
-                                       F.lit(None).cast(_STRINGS).alias("groups")),
-                ),
-            )
-            lists = F.when(self._reads_json(part), docs).otherwise(html)
-            return _combined(lists, part["op"])
+            def of_alt(alt: Column) -> Column:
+                found = bound(self._found(part, alt, F.lit(0)), lambda f: F.when(self.is_json, _items(self.nodes, self.body, f)).otherwise(f))
+                return F.transform(found, lambda i: F.struct(i.alias("node"), F.lit(None).cast(_STRINGS).alias("groups")))
+
+            return _combined(F.transform(part["alts"], of_alt), part["op"])
 
         empty = F.array().cast(f"array<{_ELEMENT}>")
         return F.coalesce(
@@ -216,7 +302,7 @@ class Page:
             F.sequence(F.lit(0), count), lambda g: F.regexp_extract_all(text, last, g)
         ))
         return bound(columns, lambda cols: F.transform(F.get(cols, F.lit(0)), lambda _, k: F.struct(
-            F.lit(None).cast("int").alias("node"), F.lit(None).cast("string").alias("doc"),
+            F.lit(None).cast("int").alias("node"),
             F.transform(cols, lambda c: F.get(c, k)).alias("groups"),
         )))
 
@@ -224,14 +310,10 @@ class Page:
         """All strings a field rule reads from an element, cleaned."""
 
         def of_part(part: Column) -> Column:
-            doc = F.coalesce(element["doc"], self.body)
             start = F.coalesce(element["node"], F.lit(0))
-            html = F.transform(part["alts"], lambda alt: read_nodes(
-                self.nodes, self.body, select_nodes(self.nodes, alt["steps"], start), alt["reader"], alt["name"]))
-            docs = F.transform(part["alts"], lambda alt: json_strings(doc, alt["path"]))
-            lists = F.filter(
-                F.when(self._reads_json(part), docs).otherwise(html), lambda items: F.size(items) > 0
-            )
+            read = F.transform(part["alts"], lambda alt: read_nodes(
+                self.nodes, self.body, self._found(part, alt, start), F.when(self.is_json, F.lit("json")).otherwise(alt["reader"]), alt["name"]))
+            lists = F.filter(read, lambda items: F.size(items) > 0)
             found = _combined(lists, part["op"])
             return F.coalesce(found, F.array().cast(_STRINGS))
 
@@ -289,7 +371,7 @@ def rule_errors(compiled: DataFrame) -> DataFrame:
 def parsed_pages(pages: DataFrame) -> DataFrame:
     """Pages with a body, their nodes, and whether the body is JSON."""
     with_kind = pages.filter(F.length("body") > 0).withColumn("is_json", urls.is_json(F.col("body")))
-    return with_kind.withColumn("nodes", page_nodes(F.when(~F.col("is_json"), F.col("body"))))
+    return with_kind.withColumn("nodes", page_nodes(F.col("body"), F.col("is_json")))
 
 
 def extract_records(pages: DataFrame, compiled: DataFrame, keep: Sequence[str] = ("url",)) -> DataFrame:
@@ -308,6 +390,13 @@ def extract_records(pages: DataFrame, compiled: DataFrame, keep: Sequence[str] =
     )
 
 
+def records_view(pages: DataFrame, compiled: DataFrame, name: str, keep: Sequence[str] = ("url",)) -> DataFrame:
+    """The records of ``extract_records`` as a view for SQL: ``fields`` maps each field to its strings."""
+    records = extract_records(pages, compiled, keep)
+    records.createOrReplaceTempView(name)
+    return records
+
+
 @cache
 def _record_columns(with_variables: bool) -> tuple[Column, Column]:
     """The elements of a page and their records, as columns over ``rules``, ``nodes`` and ``body``.
@@ -317,8 +406,7 @@ def _record_columns(with_variables: bool) -> tuple[Column, Column]:
     variables = F.col("variables") if with_variables else F.lit(None).cast("map<string,string>")
     page = Page(F.col("body"), F.coalesce(F.col("nodes"), F.array().cast(NODES)), F.col("is_json"), variables)
     rules = F.col("rules")
-    whole = F.array(F.struct(F.lit(0).alias("node"), F.lit(None).cast("string").alias("doc"),
-                             F.lit(None).cast(_STRINGS).alias("groups")))
+    whole = F.array(F.struct(F.lit(0).alias("node"), F.lit(None).cast(_STRINGS).alias("groups")))
     elements = F.when(rules["list"].isNull(), whole).otherwise(page.elements(rules["list"]))
 
     def record(element: Column, k: Column) -> Column:
