@@ -68,7 +68,7 @@ def _passes(nodes: Column, node: Column, test: Column, level: int) -> Column:
     ordinal = F.when(of == "nth", node["nth"]).when(of == "nth_last", node["nth_last"]).when(of == "nth_type", node["nth_type"]).otherwise(node["nth_type_last"])
     passed = F.when(of.isin(sel.ATTRIBUTE, sel.OWN, sel.TEXT, sel.WORDS), bound(subject, agrees)).when(kind == "an+b", bound(ordinal, counted))
     if level:
-        reached = F.exists(test["paths"], lambda path: F.size(_walk(nodes, node["i"], path, level - 1)) > 0)
+        reached = F.exists(test["paths"], lambda path: F.size(_walk(nodes, node["i"], path, level - 1, False)) > 0)
         passed = passed.when(kind.isin("with", "without"), reached == (kind == "with"))
     passed = passed.when(kind == "empty", node["last"] == node["i"]).when(kind == "root", node["up"] == 0).when(kind == "slice", _in_slice(node, test))
     return F.coalesce(passed, F.lit(False))
@@ -101,7 +101,7 @@ def _subtree(nodes: Column, i: Column) -> Column:
     return F.slice(nodes, i + 1, F.get(nodes, i)["last"] - i + 1)
 
 
-def _hop(nodes: Column, context: Column, hop: Column, level: int) -> Column:
+def _hop(nodes: Column, context: Column, hop: Column, level: int, counts: bool) -> Column:
     """The nodes one hop leads to. An axis is an interval of places and, for some, a condition on parent or last descendant."""
     axis = hop["axis"]
 
@@ -137,7 +137,7 @@ def _hop(nodes: Column, context: Column, hop: Column, level: int) -> Column:
             return F.transform(F.filter(interval(x), fits), lambda n: n["i"])
 
         reached = bound(F.get(nodes, i), found)
-        return bound(reached, counted) if level == sel.NESTED else reached
+        return bound(reached, counted) if counts else reached
 
     def counted(reached: Column) -> Column:
         """Tests of places, one after the other; some axes count backwards."""
@@ -150,8 +150,9 @@ def _hop(nodes: Column, context: Column, hop: Column, level: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(context, from_one)))
 
 
-def _walk(nodes: Column, start: Column, path: Column, level: int) -> Column:
-    return F.aggregate(path, F.array(start), lambda context, hop: _hop(nodes, context, hop, level))
+def _walk(nodes: Column, start: Column, path: Column, level: int, counts: bool = True) -> Column:
+    """The nodes a path leads to: tests may hold paths of their own ``level`` deep, and places count where ``counts`` says so."""
+    return F.aggregate(path, F.array(start), lambda context, hop: _hop(nodes, context, hop, level, counts))
 
 
 def _picked(found: Column, step: Column) -> Column:
@@ -166,11 +167,11 @@ def _picked(found: Column, step: Column) -> Column:
     return F.when(step["exclude"].isNull() | (size == 0), found).otherwise(bound(wanted, chosen))
 
 
-def select_nodes(nodes: Column, steps: Column, start: Column) -> Column:
-    """Positions of the nodes the steps lead to from node ``start``."""
+def select_nodes(nodes: Column, steps: Column, start: Column, level: int = sel.NESTED) -> Column:
+    """Positions of the nodes the steps lead to from node ``start``; ``level`` is how deep tests in the steps nest."""
 
     def path_nodes(x: Column, paths: Column) -> Column:
-        found = F.transform(paths, lambda path: _walk(nodes, x, path, sel.NESTED))
+        found = F.transform(paths, lambda path: _walk(nodes, x, path, level))
         return F.array_sort(F.array_distinct(F.flatten(found)))
 
     def one_step(context: Column, step: Column) -> Column:
@@ -263,8 +264,8 @@ def _combine(lists: Column, op: Column) -> Column:
 class Page:
     """Columns of one parsed page, and the expressions that read it."""
 
-    def __init__(self, body: Column, nodes: Column, is_json: Column, variables: Column):
-        self.body, self.nodes, self.is_json, self.variables = body, nodes, is_json, variables
+    def __init__(self, body: Column, nodes: Column, is_json: Column, variables: Column, level: int):
+        self.body, self.nodes, self.is_json, self.variables, self.level = body, nodes, is_json, variables, level
 
     def _reads_json(self, part: Column) -> Column:
         return (part["mode"] == "json") | ((part["mode"] == "auto") & self.is_json)
@@ -273,7 +274,7 @@ class Page:
         """Places an alternative leads to; rules for pages find nothing in documents, and the other way round."""
         reads_json = self._reads_json(part)
         steps = F.when(reads_json, alt["json"]).otherwise(alt["steps"])
-        return F.coalesce(F.when(reads_json == self.is_json, select_nodes(self.nodes, steps, start)), F.array().cast("array<int>"))
+        return F.coalesce(F.when(reads_json == self.is_json, select_nodes(self.nodes, steps, start, self.level)), F.array().cast("array<int>"))
 
     def elements(self, rule: Column) -> Column:
         """Elements a list rule finds on the page."""
@@ -381,7 +382,7 @@ def extract_records(pages: DataFrame, compiled: DataFrame, keep: Sequence[str] =
     ``compiled``: ``origin``, ``rules``. Without a list rule the page itself is
     the only element. A list rule with ``-`` turns the order.
     """
-    found, records = _record_columns("variables" in pages.columns)
+    found, records = _record_columns("variables" in pages.columns, nesting(compiled))
     joined = parsed_pages(pages).join(compiled, "origin")
     return (
         joined.withColumn("__found", found)
@@ -390,6 +391,19 @@ def extract_records(pages: DataFrame, compiled: DataFrame, keep: Sequence[str] =
     )
 
 
+def nesting(compiled: DataFrame) -> int:
+    """How deep tests nest in any of the compiled rules: the expression that runs them is half as large where none do.
+
+    Looks at the rule sets only, never at pages.
+    """
+    nested = lambda rule: F.exists(rule["parts"], lambda part: F.exists(part["alts"], lambda alt: F.exists(
+        F.concat(alt["steps"], F.coalesce(alt["json"], F.slice(alt["steps"], 1, 0))), lambda step: F.exists(step["paths"], lambda path: F.exists(
+            path, lambda hop: F.exists(hop["tests"], lambda test: test["paths"].isNotNull()))))))
+    whole = F.concat(F.filter(F.array("rules.list"), lambda r: r.isNotNull()), F.transform("rules.fields", lambda f: f["rule"]))
+    deep = compiled.where(F.exists(whole, nested)).limit(1)
+    return 0 if deep.isEmpty() else sel.NESTED
+
+
 def records_view(pages: DataFrame, compiled: DataFrame, name: str, keep: Sequence[str] = ("url",)) -> DataFrame:
     """The records of ``extract_records`` as a view for SQL: ``fields`` maps each field to its strings."""
     records = extract_records(pages, compiled, keep)
@@ -398,13 +412,13 @@ def records_view(pages: DataFrame, compiled: DataFrame, name: str, keep: Sequenc
 
 
 @cache
-def _record_columns(with_variables: bool) -> tuple[Column, Column]:
+def _record_columns(with_variables: bool, level: int) -> tuple[Column, Column]:
     """The elements of a page and their records, as columns over ``rules``, ``nodes`` and ``body``.
 
     They are the same for every job, so they are put together once.
     """
     variables = F.col("variables") if with_variables else F.lit(None).cast("map<string,string>")
-    page = Page(F.col("body"), F.coalesce(F.col("nodes"), F.array().cast(NODES)), F.col("is_json"), variables)
+    page = Page(F.col("body"), F.coalesce(F.col("nodes"), F.array().cast(NODES)), F.col("is_json"), variables, level)
     rules = F.col("rules")
     whole = F.array(F.struct(F.lit(0).alias("node"), F.lit(None).cast(_STRINGS).alias("groups")))
     elements = F.when(rules["list"].isNull(), whole).otherwise(page.elements(rules["list"]))
