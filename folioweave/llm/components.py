@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioweave.llm.tables import scrambled, written
+from folioweave.llm.tables import scoped, scrambled, written
 
 
+@scoped("components")
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in ``edges`` (a long, b long); component is its smallest reachable id.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.llm.components import connected_components
-from folioweave.llm.tables import scrambled, small_side, written
+from folioweave.llm.tables import scoped, scrambled, small_side, written
 
 #: Orders in which a bucket's centre is chosen, one a round, before what is still apart is compared in full.
 CENTRE_ROUNDS = 2
@@ -66,6 +66,7 @@ def rare_elements(sets: DataFrame) -> DataFrame:
     return sums.select(F.array_sort(F.array_distinct(F.concat(ids("even"), ids("odd")))).alias("ids")).groupBy("ids").agg(F.count(F.lit(1)).alias("n"))
 
 
+@scoped("shared-buckets")
 def shared_buckets(members: DataFrame, repeated: bool = True) -> DataFrame:
     """The rows of (bucket, id, ...), each once, whose bucket holds several ids."""
     members = members.where("bucket is not null and id is not null").distinct() if repeated else members
@@ -85,6 +86,7 @@ def _rare_pairs(rare: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where("part_a != part_b").select("a", "b")
 
 
+@scoped("linked")
 def linked_components(
     buckets: DataFrame, sets: DataFrame | None, ratio: float, verify: Callable[[DataFrame], DataFrame],
 ) -> tuple[DataFrame, DataFrame]:
@@ -142,5 +144,5 @@ def linked_components(
         found = written(verify(pairs).select("a", "b"), "links")
         edges = found if edges is None else edges.union(found)
         if not found.isEmpty():
-            components = written(connected_components(edges), "components")
+            components = connected_components(edges)
     return components, edges if edges is not None else spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))

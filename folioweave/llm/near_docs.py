@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from folioweave.llm.components import connected_components
 from folioweave.llm.linking import SKETCHED, linked_components, shared_buckets
-from folioweave.llm.tables import small_side, written
+from folioweave.llm.tables import scoped, small_side, written
 from folioweave.llm.words import chunks, mixed, shingle_hashes, word_hashes
 
 WORDS = 5
@@ -133,6 +133,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "id long, shingles array<long>")
 
 
+@scoped("near-duplicates")
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs`` (doc_id long, text string; other columns are ignored).
 
@@ -152,7 +153,6 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = WORDS
     member = written(known.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "id", "set_key"), "classes")
     own = known.join(classes.withColumnRenamed("set_key", "key"), (F.col("doc_id") == F.col("id")) & (F.col("set_key") == F.col("key")))
     buckets = shared_buckets(own.select(F.explode("bands").alias("bucket"), "id", F.col("n_shingles").alias("size"), "sketch"))
-    buckets = written(buckets, "buckets")
     ids = written(buckets.select(F.col("id").alias("doc_id")).distinct(), "ids")
     # A repeated doc_id with different texts has several sets; any pair of them counts.
     texts = docs.select("doc_id", "text").join(small_side(ids, 16), "doc_id", "left_semi")

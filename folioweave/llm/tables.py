@@ -33,7 +33,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if _scopes:
         _scopes[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
 
 
 def removed(spark: SparkSession, paths: list[str]) -> None:
@@ -45,7 +47,11 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
 
 
 def scoped(name: str) -> Callable:
-    """A job whose result (a table, or a tuple of them) is written under ``name`` and whose other written tables are then deleted."""
+    """A job whose result (a table, or a tuple of them) is written under ``name`` and whose other written tables are then deleted.
+
+    A result that is itself a table the job has written stays as it is. Shuffle files go with the plans that made them, once
+    the driver's collector has run; it is asked to at the end of each job, so that jobs one after the other do not pile up disk.
+    """
 
     def around(job: Callable) -> Callable:
         @functools.wraps(job)
@@ -53,18 +59,20 @@ def scoped(name: str) -> Callable:
             spark = SparkSession.active()
             made: list[str] = []
             _scopes.append(made)
+            kept: list[DataFrame] = []
             try:
                 out = job(*args, **kwargs)
-                whole = out if isinstance(out, tuple) else (out,)
-                kept = [written(df, name) for df in whole]
-                results = made[len(made) - len(kept):]
-                del made[len(made) - len(kept):]
+                for df in out if isinstance(out, tuple) else (out,):
+                    kept.append(df if getattr(df, "written_to", None) in made else written(df, name))
             finally:
                 _scopes.pop()
-                removed(spark, made)
+                results = [df.written_to for df in kept]
+                removed(spark, [path for path in made if path not in results])
+                out = None
+                spark.sparkContext._jvm.System.gc()
             if _scopes:
                 _scopes[-1].extend(results)
-            return tuple(kept) if isinstance(out, tuple) else kept[0]
+            return tuple(kept) if len(kept) > 1 else kept[0]
 
         return run
 

@@ -3,13 +3,14 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from folioweave.llm import divergence, ranked, tables, topk
+from folioweave.llm import divergence, fuzzy_lines, ranked, tables, topk
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -60,6 +61,17 @@ def test_blocks_hold_every_row_once(spark):
     assert sorted(r[0] for b in blocks for r in b.collect()) == list(range(1000))
 
 
+def test_dropping_lines_is_linear_and_clashes_with_no_column(spark):
+    text = "\n".join(map(str, range(60_000)))
+    docs = spark.createDataFrame([(1, text, "x"), (2, "a\nb", "y"), (3, None, "z")], "doc_id long, text string, gone______ string")
+    dropped = spark.createDataFrame([(1, list(range(1, 60_000, 2))), (2, [0, 1])], "doc_id long, dropped array<int>")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in fuzzy_lines.drop_lines(docs, dropped).collect()}
+    assert time.perf_counter() - began < 20
+    assert got[1]["text"] == "\n".join(map(str, range(0, 60_000, 2))) and got[1]["dropped_lines"] == 30_000
+    assert (got[2]["text"], got[2]["dropped_lines"], got[3]["text"], got[3]["gone______"]) == ("", 2, None, "z")
+
+
 # --- source divergence
 
 
