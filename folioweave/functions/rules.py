@@ -27,6 +27,9 @@ RULE = (
 )
 FIELD = f"STRUCT<name: STRING, rule: {RULE}>"
 
+#: What the names of fields begin with that hold variables.
+PUT = "@put:"
+
 _READERS = {"text", "textNodes", "ownText", "html", "all"}
 _SCRIPT = re.compile(r"@js:|<js>", re.I)
 _TEMPLATE = re.compile(r"@get:\{([^}]+)\}|\{\{(.*?)\}\}|\$(\d{1,2})", re.I | re.S)
@@ -259,7 +262,9 @@ def compiled_group(list_field: str | None, group) -> dict:
     rules = group.asDict() if group is not None else {}
     list_rule = rules.pop(list_field, None) if list_field else None
     stored = stored_rules(rules)
-    compiled = [{"name": n, "rule": compile_rule(r, stored=stored)} for n, r in rules.items()]
+    # What the rules set for later stages is read like a field.
+    named = {**rules, **{PUT + n: r for n, r in stored.items()}}
+    compiled = [{"name": n, "rule": compile_rule(r, stored=stored)} for n, r in named.items()]
     return {
         "list": compile_rule(list_rule, elements=True),
         "fields": [f for f in compiled if f["rule"] is not None],

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import html as html_lib
+import json
+from html import entities as html_entities
 
 import pandas as pd
 from pyspark.sql import Column
@@ -55,7 +56,7 @@ def strip_title(text: Column, title: Column, book: Column) -> Column:
 
 def indent_paragraphs(text: Column) -> Column:
     """Trim each line, drop empty ones, open each with two ideographic spaces."""
-    lines = F.transform(F.split(text, r"\r\n|[\n\r]"), lambda s: F.regexp_replace(s, r"^[ 　\t\r\n]+|[ 　\t\r\n]+$", ""))
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), lambda s: F.regexp_replace(s, r"^[ 　\t\r\n]+|[ 　\t\r\n]+$", ""))
     kept = F.filter(lines, lambda s: s != "")
     return F.array_join(F.transform(kept, lambda s: F.concat(F.lit(INDENT), s)), "\n")
 
@@ -81,10 +82,49 @@ def find_phrase(text: Column, phrase: str) -> Column:
 # -- entities ----------------------------------------------------------------
 
 
-@F.pandas_udf(StringType())
-def unescape_all(text: pd.Series) -> pd.Series:
-    """Every named and numeric entity; use where the five common ones are not enough."""
-    return text.map(html_lib.unescape, na_action="ignore")
+_ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# What numbers stand for that name no character of their own (0, carriage return, and Windows-1252 from 128 on).
+_NUMBERED = {0: "\ufffd", 13: "\r", **{n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}}
+
+
+def _names() -> Column:
+    """The named entities as a constant map, the usual ones first, as a map is searched from its start."""
+    usual = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "middot;", "copy;", "hellip;", "mdash;", "ldquo;", "rdquo;"]
+    table = {**{n: html_entities.html5[n] for n in usual}, **html_entities.html5}
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
+def _by_number(digits: Column, base: int) -> Column:
+    number = F.conv(F.when(F.length(F.ltrim(digits, F.lit("0"))) > 8, F.lit("99999999")).otherwise(digits), base, 10).cast("bigint")
+    named = F.from_json(F.lit(json.dumps({str(k): v for k, v in _NUMBERED.items()})), "map<string,string>")
+    return bound(number, lambda n: F.coalesce(
+        F.try_element_at(named, n.cast("string")),
+        F.when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
+        .when(n.between(1, 8) | n.between(14, 31) | (n == 11) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE), "")
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))))
+
+
+def unescape(text: Column) -> Column:
+    """Every named and numeric entity of HTML, natively; a name without its semicolon counts as far as it is one."""
+    names = _names()
+
+    def by_name(s: Column) -> Column:
+        starts = F.transform(F.sequence(F.length(s) - 1, F.lit(1), F.lit(-1)), lambda n: F.struct(
+            F.try_element_at(names, F.substring(s, F.lit(1), n)).alias("value"), F.substring(s, n + 1, F.length(s)).alias("rest")))
+        longest = F.get(F.filter(starts, lambda c: c["value"].isNotNull()), F.lit(0))
+        prefix = F.when(F.length(s) > 2, bound(longest, lambda c: F.concat(c["value"], c["rest"])))
+        return F.coalesce(F.try_element_at(names, s), prefix, F.concat(F.lit("&"), s))
+
+    def value(s: Column) -> Column:
+        return (
+            F.when(s.rlike("^#[xX]"), _by_number(F.regexp_extract(s, "[0-9a-fA-F]+(?=;?$)", 0), 16))
+            .when(s.startswith("#"), _by_number(F.regexp_extract(s, "[0-9]+", 0), 10)).otherwise(by_name(s))
+        )
+
+    pieces, found = F.split(text, _ENTITY, -1), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1))
+    joined = bound(pieces, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(
+        found, lambda s, i: F.concat(value(s), F.get(p, i + 1))), "")))
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def unescape_common(text: Column) -> Column:

@@ -25,7 +25,7 @@ from folioweave.functions.binding import bound
 from folioweave.functions.lists import positions_of
 from folioweave.functions.markup import NODES, page_nodes
 from folioweave.functions.patterns import java_pattern, pattern_ok
-from folioweave.functions.rules import compile_group
+from folioweave.functions.rules import PUT, compile_group
 
 _STRINGS = "array<string>"
 _ELEMENT = "struct<node: int, groups: array<string>>"
@@ -445,6 +445,24 @@ def many(name: str) -> Column:
     return F.coalesce(F.try_element_at(F.col("fields"), F.lit(name)), F.array().cast(_STRINGS))
 
 
+def variables(inner: Column | None = None) -> Column:
+    """The variables that a record's rules set (``@put``), laid over those that came with its page; empty ones cover nothing."""
+    put = F.transform(F.filter(F.map_entries("fields"), lambda e: e["key"].startswith(PUT)), lambda e: F.struct(
+        F.substring(e["key"], len(PUT) + 1, F.length(e["key"])).alias("key"), F.array_join(e["value"], "\n").alias("value")))
+    set_here = F.map_from_entries(F.filter(put, lambda e: e["value"] != ""))
+    return set_here if inner is None else F.map_concat(F.coalesce(inner, F.create_map().cast("map<string,string>")), set_here)
+
+
+def with_variables(pages: DataFrame, held: DataFrame, on: Sequence[str] = ("url",)) -> DataFrame:
+    """Pages with the variables of the hit or chapter that led to them: ``held`` has ``on`` and ``variables``.
+
+    A page's own variables (those of its source) are covered by those of ``held``: the nearest scope counts.
+    """
+    own = F.coalesce(F.col("variables"), F.create_map().cast("map<string,string>")) if "variables" in pages.columns else F.create_map().cast("map<string,string>")
+    led = held.select(*on, F.coalesce("variables", F.create_map().cast("map<string,string>")).alias("__held"))
+    return pages.join(led, list(on)).withColumn("variables", F.map_concat(own, F.map_filter("__held", lambda _, v: v != ""))).drop("__held")
+
+
 def link(name: str, base: Column) -> Column:
     """A field as an absolute URL; the page's own URL when there is none."""
     first = F.coalesce(F.get(many(name), F.lit(0)), F.lit(""))
@@ -463,12 +481,12 @@ def search_hits(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     cover = one("coverUrl")
     return records.select(
         *keep, "origin", "url", "ord",
-        tx.clean_title(tx.unescape_common(one("name"))).alias("name"),
-        tx.clean_author(tx.unescape_common(one("author"))).alias("author"),
+        tx.clean_title(tx.unescape(one("name"))).alias("name"),
+        tx.clean_author(tx.unescape(one("author"))).alias("author"),
         F.array_join(many("kind"), ",").alias("kind"),
-        tx.format_html(tx.unescape_common(one("intro"))).alias("intro"),
-        tx.unescape_common(one("lastChapter")).alias("latest_chapter"),
-        tx.unescape_common(one("wordCount")).alias("word_count"),
+        tx.format_html(tx.unescape(one("intro"))).alias("intro"),
+        tx.unescape(one("lastChapter")).alias("latest_chapter"),
+        tx.unescape(one("wordCount")).alias("word_count"),
         F.when(cover == "", cover).otherwise(urls.resolve(base, cover)).alias("cover_url"),
         link("bookUrl", base).alias("book_url"),
     ).filter(F.col("name") != "")
@@ -497,12 +515,12 @@ def book_details(records: DataFrame, can_rename: Column | None = None, keep: Seq
 
     return records.select(
         *keep, "origin", "url",
-        overlaid(tx.clean_title(tx.unescape_common(one("name"))), "old_name").alias("name"),
-        overlaid(tx.clean_author(tx.unescape_common(one("author"))), "old_author").alias("author"),
+        overlaid(tx.clean_title(tx.unescape(one("name"))), "old_name").alias("name"),
+        overlaid(tx.clean_author(tx.unescape(one("author"))), "old_author").alias("author"),
         F.array_join(F.filter(many("kind"), lambda k: k != ""), ",").alias("kind"),
-        tx.format_html(tx.unescape_common(one("intro"))).alias("intro"),
-        tx.unescape_common(one("wordCount")).alias("word_count"),
-        tx.unescape_common(one("lastChapter")).alias("latest_chapter"),
+        tx.format_html(tx.unescape(one("intro"))).alias("intro"),
+        tx.unescape(one("wordCount")).alias("word_count"),
+        tx.unescape(one("lastChapter")).alias("latest_chapter"),
         F.when(cover == "", cover).otherwise(urls.resolve(base, cover)).alias("cover_url"),
         link("tocUrl", base).alias("toc_url"),
         F.transform(many("downloadUrls"), lambda u: urls.resolve(base, u)).alias("download_urls"),
@@ -520,7 +538,7 @@ def is_inline_marker(book_url: Column) -> Column:
 
 def chapter_rows(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Chapter-list records as chapters; untitled ones go, missing URLs are made up."""
-    title = tx.unescape_common(one("chapterName"))
+    title = tx.unescape(one("chapterName"))
     volume = tx.is_true(one("isVolume"))
     address = one("chapterUrl")
     return records.select(
@@ -560,9 +578,9 @@ def article_rows(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     base = F.col("url")
     return records.select(
         *keep, "origin", F.col("url").alias("feed_url"), "ord",
-        tx.unescape_common(one("ruleTitle")).alias("title"),
-        tx.unescape_common(one("rulePubDate")).alias("pub_date"),
-        tx.unescape_common(one("ruleDescription")).alias("description"),
+        tx.unescape(one("ruleTitle")).alias("title"),
+        tx.unescape(one("rulePubDate")).alias("pub_date"),
+        tx.unescape(one("ruleDescription")).alias("description"),
         link("ruleImage", base).alias("image"), link("ruleLink", base).alias("link"),
         tx.format_html(one("ruleContent")).alias("content"),
     ).filter((F.col("title") != "") | (F.col("link") != "") | (F.col("content") != ""))
@@ -577,21 +595,44 @@ def review_lists(records: DataFrame, base: Column, keep: Sequence[str] = ()) ->
     )
 
 
+@cache
+def _java_pattern():
+    return F.udf(lambda p: java_pattern(p) if p and pattern_ok(p) else None, "string", useArrow=False)
+
+
 def detail_pages(pages: DataFrame, catalog: DataFrame, hits: DataFrame) -> DataFrame:
     """Search pages that are detail pages: their URL fits the source's pattern, or the list is empty and no pattern is set.
 
-    ``catalog``: ``origin``, ``pattern``; ``hits``: records found on the pages.
+    ``catalog``: ``origin``, ``pattern``; ``hits``: records found on the pages. Patterns are translated once a source; one
+    that cannot be fits no page (``pattern_errors`` names it).
     """
-    joined = pages.join(catalog, "origin")
+    joined = pages.join(catalog.withColumn("__java", _java_pattern()(F.col("pattern"))), "origin")
     has_pattern = F.coalesce(F.col("pattern"), F.lit("")) != ""
-    matched = joined.filter(has_pattern & F.regexp_like(F.col("url"), F.col("pattern")))
+    matched = joined.filter(has_pattern & F.col("__java").isNotNull()).filter(F.regexp_like(F.col("url"), F.col("__java")))
     empty = joined.filter(~has_pattern).join(hits.select("origin", "url").distinct(), ["origin", "url"], "left_anti")
-    return matched.unionByName(empty)
+    return matched.unionByName(empty).drop("__java")
+
+
+def pattern_errors(catalog: DataFrame) -> DataFrame:
+    """Address patterns that cannot run: ``origin``, ``pattern``."""
+    return catalog.select("origin", "pattern").filter((F.col("pattern") != "") & _java_pattern()(F.col("pattern")).isNull())
 
 
 def page_title(body: Column) -> Column:
     title = F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return tx.strip(F.regexp_replace(tx.unescape_common(title), r"(?U)\s+", " "))
+    return tx.strip(F.regexp_replace(tx.unescape(title), r"(?U)\s+", " "))
+
+
+def page_text(nodes: Column, fallback_title: Column) -> Column:
+    """The visible text of a parsed page: its title (else ``fallback_title``), a blank line, and every piece of text on a line.
+
+    Pieces are trimmed, empty ones go; what scripts and styles hold is no text.
+    """
+    title = F.get(F.filter(nodes, lambda n: n["tag"] == "title"), F.lit(0))
+    named = bound(title, lambda t: F.when(t.isNotNull(), F.array_join(F.transform(_texts(nodes, t["i"]), tx.strip), " ")))
+    pieces = F.filter(F.transform(_texts(nodes, F.lit(0)), tx.strip), lambda s: s != "")
+    heading = F.coalesce(F.nullif(named, F.lit("")), fallback_title, F.lit(""))
+    return tx.strip(F.concat(heading, F.lit("\n\n"), F.array_join(pieces, "\n")))
 
 
 def image_refs(pages: DataFrame) -> DataFrame:

@@ -143,9 +143,9 @@ def precise_match(requests: DataFrame, hits: DataFrame) -> DataFrame:
 
 def alternative_sources(shelf: DataFrame, hits: DataFrame) -> DataFrame:
     """For each shelf book the first hit per source with its name, and its author where it has one."""
-    by_author = _first_hits(
-        hits, [F.col("name"), F.col("author"), F.col("origin")], "book_url"
-    )
+    # Hits whose name is on no shelf go before anything is aggregated.
+    named = hits.join(shelf.select("name").distinct(), "name", "left_semi")
+    by_author = _first_hits(named, [F.col("name"), F.col("author"), F.col("origin")], "book_url")
     by_name = by_author.groupBy("name", "origin").agg(F.min("hit").alias("hit"))
     with_author = shelf.filter(F.col("author") != "").join(by_author, ["name", "author"])
     without = shelf.filter(F.col("author") == "").join(by_name, ["name"])

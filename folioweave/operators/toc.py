@@ -73,18 +73,19 @@ def stitch_pages(pages: DataFrame, keys: Sequence[str], pages_per_part: int = 40
 def follow_links(starts: DataFrame, links: DataFrame) -> DataFrame:
     """All pages reached from each start by following single next links, with their depth.
 
-    ``starts`` has ``start``; ``links`` has ``url`` (unique) and ``next_url``.
+    ``starts`` has ``start``; ``links`` has ``url`` (unique), ``next_url`` and, where a link counts for several pages, ``length``.
     Following stops at a page without a link and at a page visited before. Each
     round doubles the distance a join covers, so a chain of n pages takes
     log2(n) rounds; every round is checkpointed, and a page is kept once per
     start at its least depth, which ends cycles.
     """
     reached = checkpointed(starts.select("start", F.col("start").alias("url"), F.lit(0).cast("bigint").alias("depth")))
-    jump = checkpointed(links.filter(F.col("next_url") != "").select("url", "next_url"))
-    distance, known = 1, reached.count()
+    length = F.col("length") if "length" in links.columns else F.lit(1)
+    jump = checkpointed(links.filter(F.col("next_url") != "").select("url", "next_url", length.cast("bigint").alias("length")))
+    known = reached.count()
     while True:
         step = reached.join(jump, "url").select(
-            "start", F.col("next_url").alias("url"), (F.col("depth") + distance).alias("depth")
+            "start", F.col("next_url").alias("url"), (F.col("depth") + F.col("length")).alias("depth")
         )
         reached = checkpointed(
             reached.unionByName(step).groupBy("start", "url").agg(F.min("depth").alias("depth"))
@@ -92,9 +93,9 @@ def follow_links(starts: DataFrame, links: DataFrame) -> DataFrame:
         now = reached.count()
         if now == known:
             return reached
-        known, distance = now, distance * 2
-        further = jump.select(F.col("url").alias("next_url"), F.col("next_url").alias("far"))
-        jump = checkpointed(jump.join(further, "next_url").select("url", F.col("far").alias("next_url")))
+        known = now
+        further = jump.select(F.col("url").alias("next_url"), F.col("next_url").alias("far"), F.col("length").alias("more"))
+        jump = checkpointed(jump.join(further, "next_url").select("url", F.col("far").alias("next_url"), (F.col("length") + F.col("more")).alias("length")))
 
 
 def page_chains(chapters: DataFrame, links: DataFrame) -> DataFrame:
@@ -102,16 +103,27 @@ def page_chains(chapters: DataFrame, links: DataFrame) -> DataFrame:
 
     ``chapters`` has ``url`` and ``next_url``, the next chapter's page; a chain
     ends where it would enter that page.
+
+    Links that enter a chapter's first page are taken out before anything is followed, so what is built first is each
+    chapter's own stretch, one row a page. Only a chapter that goes on into another one that is not its next is followed
+    further, over whole stretches.
     """
-    reached = follow_links(chapters.select(F.col("url").alias("start")), links)
-    limits = chapters.select(F.col("url").alias("start"), F.col("next_url").alias("__stop"))
-    joined = reached.join(limits, "start")
-    cut = joined.filter(F.col("url") == F.col("__stop")).select("start", F.col("depth").alias("__cut"))
-    return (
-        joined.join(cut, "start", "left")
-        .filter(F.col("__cut").isNull() | (F.col("depth") < F.col("__cut")))
-        .select("start", "url", "depth")
-    )
+    heads = checkpointed(chapters.select(F.col("url").alias("start"), F.col("next_url").alias("stop")).distinct())
+    first_pages = heads.select(F.col("start").alias("next_url")).distinct()
+    stretches = follow_links(heads.select("start").distinct(), links.join(first_pages, "next_url", "left_anti"))
+    exits = stretches.join(links.join(first_pages, "next_url", "left_semi").select("url", "next_url"), "url")
+    exits = checkpointed(exits.select(F.col("start").alias("url"), "next_url", (F.col("depth") + 1).alias("length")))
+    going_on = exits.join(heads, (exits["url"] == heads["start"]) & ~exits["next_url"].eqNullSafe(heads["stop"]), "left_semi")
+    onwards = checkpointed(going_on.select(F.col("url").alias("start")).distinct())
+    reached = stretches
+    if not onwards.isEmpty():
+        entered = follow_links(onwards, exits).where("depth > 0").select("start", F.col("url").alias("head"), F.col("depth").alias("before"))
+        more = entered.join(stretches.withColumnRenamed("start", "head"), "head").select("start", "url", (F.col("before") + F.col("depth")).alias("depth"))
+        reached = checkpointed(stretches.unionByName(more).groupBy("start", "url").agg(F.min("depth").alias("depth")))
+    joined = reached.join(heads.withColumnRenamed("stop", "__stop"), "start")
+    cut = joined.filter(F.col("url") == F.col("__stop")).select("start", "__stop", F.col("depth").alias("__cut"))
+    cut = joined.select("start", "url", "depth", "__stop").join(cut, ["start", "__stop"], "left")
+    return cut.filter(F.col("__cut").isNull() | (F.col("depth") < F.col("__cut"))).select("start", "url", "depth")
 
 
 def fan_out_pages(links: DataFrame, pages: DataFrame) -> DataFrame:

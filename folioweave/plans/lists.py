@@ -56,11 +56,11 @@ def combine_first(spark, folder):
     return _lists(spark, folder, items=fn.first_non_empty(dotted, F.col("hrefs")))
 
 
-@query("combine_interleave", f"""WITH {NAV_SQL}
-SELECT page_id, array_to_string(flatten(list_transform(range(1, len(texts) + 1),
-       lambda i: CASE WHEN i <= 2 THEN [texts[i], hrefs[i]] ELSE [texts[i]] END)), '|') AS items FROM nav""")
+@query("combine_interleave", f"""WITH {NAV_SQL}, begun AS (SELECT page_id, texts, [h FOR h IN hrefs IF starts_with(h, '/t')] AS hrefs FROM nav)
+SELECT page_id, array_to_string(flatten([CASE WHEN i <= len(hrefs) THEN [texts[i], hrefs[i]] ELSE [texts[i]] END FOR i IN range(1, len(texts) + 1)]), '|') AS items FROM begun""")
 def combine_interleave(spark, folder):
-    return _lists(spark, folder, items=fn.interleave(F.col("texts"), F.slice("hrefs", 1, 2)))
+    """All labels in turn with the targets that begin alike, which are fewer."""
+    return _lists(spark, folder, items=fn.interleave(F.col("texts"), F.filter("hrefs", lambda h: h.startswith("/t"))))
 
 
 @query("regex_rows", r"""

@@ -206,7 +206,7 @@ def archive_members(spark, folder):
     return stores.archive_text(books.mapInPandas(pack, "path STRING, content BINARY"))
 
 
-@query("image_hook", "SELECT page_id, 'bar' || substr(html, 1, 50) AS content FROM pages")
+@query("image_hook", "SELECT page_id, 'bar' || html AS content FROM pages")
 def image_hook(spark, folder):
     """Bytes through a user's hook that decodes base64 and replaces the head; a failure keeps them."""
     import base64
@@ -220,6 +220,6 @@ def image_hook(spark, folder):
     def decode(content: pd.Series) -> pd.Series:
         return content.map(lambda b: base64.b64decode(b).replace(b"foo", b"bar", 1))
 
-    body = F.concat(F.lit("foo"), F.substring("html", 1, 50))
+    body = F.concat(F.lit("foo"), F.col("html"))
     images = table(spark, folder, "pages").select("page_id", F.encode(F.base64(F.encode(body, "UTF-8")), "UTF-8").alias("content"))
     return hook(images, decode).select("page_id", F.decode("content", "UTF-8").alias("content"))

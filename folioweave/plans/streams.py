@@ -63,12 +63,11 @@ def stream_merge_hits(spark, folder):
 WITH counted AS (
   SELECT event_type AS source, epoch_us(ts) // 21600000000 * 21600000 AS window_start, count(*) AS events FROM events GROUP BY 1, 2
 )
-SELECT source, window_start, events FROM counted
-WHERE window_start + 21600000 <= (SELECT max(epoch_us(ts) // 1000) - 3600000 FROM events)""")
+SELECT source, window_start, events FROM counted""")
 def activity_windows(spark, folder):
-    """Counts per six hours; windows the watermark has not passed yet stay open."""
-    rows = jobs.activity_windows(_event_stream(spark, folder), ["source"], "6 hours", "1 hour")
-    done = jobs.run_to_files(rows, jobs.work_folder(spark, "activity"))
+    """Counts per six hours, the last window closed with the stream."""
+    windowed = lambda events: jobs.activity_windows(events, ["source"], "6 hours", "1 hour")
+    done = jobs.run_closed(_event_stream(spark, folder), windowed, jobs.work_folder(spark, "activity"))
     return done.select("source", F.unix_millis("window_start").alias("window_start"), "events")
 
 
@@ -92,18 +91,14 @@ def rate_limit_audit(spark, folder):
     return windows.rate_limit_audit(reading_events(spark, folder), "source", 2, 3_600_000).select("event_id", "source", "wait_ms")
 
 
-_PASSED = "ts <= (SELECT max(ts) - 3600000 FROM reading)"
-
-
 @query("stream_rate_limit", f"""WITH RECURSIVE {_chain_sql(3_600_000)}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source, opened ORDER BY ts, event_id) AS rn FROM placed
 )
-SELECT event_id, source, CASE WHEN rn <= 3 THEN 0 ELSE opened + 3600000 - ts END AS wait_ms FROM ranked WHERE {_PASSED}""")
+SELECT event_id, source, CASE WHEN rn <= 3 THEN 0 ELSE opened + 3600000 - ts END AS wait_ms FROM ranked""")
 def stream_rate_limit(spark, folder):
     events = _event_stream(spark, folder).select(
         "event_id", "source", "ts", F.unix_millis("ts").alias("ts_ms"), F.lit(0).cast("bigint").alias("amount"))
-    rows = jobs.stream_rate_limit(events, "source", 2, 3_600_000, "1 hour")
-    return jobs.run_to_files(rows, jobs.work_folder(spark, "limit"))
+    return jobs.run_closed(events, lambda e: jobs.stream_rate_limit(e, "source", 2, 3_600_000, "1 hour"), jobs.work_folder(spark, "limit"))
 
 
 @query("ttl_refetch", f"""WITH RECURSIVE {_chain_sql(7_200_001)}
@@ -120,10 +115,9 @@ def new_item_counts(spark, folder):
     return windows.new_item_counts(polls, "source", F.floor(F.col("ts") / CHUNK_MS)).select("event_id", "source", "new_items")
 
 
-@query("stream_new_items", f"""WITH {EVENTS_SQL}, polls AS (SELECT event_id, source, ts, CAST(floor(value) AS BIGINT) AS amount FROM reading WHERE {_PASSED})
+@query("stream_new_items", f"""WITH {EVENTS_SQL}, polls AS (SELECT event_id, source, ts, CAST(floor(value) AS BIGINT) AS amount FROM reading)
 SELECT event_id, source, greatest(0, coalesce(amount - lag(amount) OVER (PARTITION BY source ORDER BY ts, event_id), 0)) AS new_items FROM polls""")
 def stream_new_items(spark, folder):
     polls = _event_stream(spark, folder).select(
         "event_id", "source", "ts", F.unix_millis("ts").alias("ts_ms"), F.floor("value").cast("bigint").alias("amount"))
-    rows = jobs.stream_new_items(polls, "source", "1 hour")
-    return jobs.run_to_files(rows, jobs.work_folder(spark, "items"))
+    return jobs.run_closed(polls, lambda e: jobs.stream_new_items(e, "source", "1 hour"), jobs.work_folder(spark, "items"))

@@ -120,7 +120,7 @@ def unescape_entities(spark, folder):
     """The five markup entities natively; the length after the full table, which also knows © and ·."""
     body = F.col("html")
     return table(spark, folder, "pages").select(
-        "page_id", fn.unescape_common(body).alias("common"), F.length(fn.unescape_all(body)).cast("bigint").alias("full_chars"))
+        "page_id", fn.unescape_common(body).alias("common"), F.length(fn.unescape(body)).cast("bigint").alias("full_chars"))
 
 
 @query("format_epoch", """
@@ -241,3 +241,19 @@ def page_titles(spark, folder):
 
     return table(spark, folder, "pages").select(
         "page_id", page_title(F.col("html")).alias("title"), resolve(F.col("url"), F.lit("/")).alias("home"))
+
+
+@query("page_text", r"""
+WITH t AS (
+  SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,
+    [trim(p) FOR p IN regexp_split_to_array(regexp_replace(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>', '<>', 'g'), '(?s)<!--.*?-->', '<>', 'g'), '<[^<>]*>') IF trim(p) <> ''] AS pieces
+  FROM pages)
+SELECT page_id, replace(replace(replace(replace(replace(replace(trim(title) || chr(10) || chr(10) || array_to_string(pieces, chr(10)),
+  '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM t""")
+def page_text(spark, folder):
+    """Title and all visible text of every page."""
+    from folioweave.functions.markup import page_nodes
+    from folioweave.operators.extract import page_text as visible
+
+    return table(spark, folder, "pages").withColumn("nodes", page_nodes(F.col("html"))).select(
+        "page_id", visible(F.col("nodes"), F.col("url")).alias("text"))

@@ -11,9 +11,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from folioweave.operators import extract as ex
 from folioweave.operators.hits import merge_key
@@ -44,6 +45,29 @@ def run_to_files(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def closing_row(schema: StructType) -> list[Column]:
+    """A row far behind all times: times lie in the year 2200, other numbers are 0, the rest is null."""
+    end = F.lit("2200-01-01").cast("timestamp")
+    values = {"timestamp": end, "bigint": F.lit(0)}
+    return [
+        (F.unix_millis(end) if f.name == "ts_ms" else values.get(f.dataType.simpleString(), F.lit(None))).cast(f.dataType).alias(f.name)
+        for f in schema.fields]
+
+
+def run_closed(events: DataFrame, job: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Run ``job`` over all of a stream that has an end, and read what it appended, nothing left waiting for the watermark.
+
+    A second, empty input stands beside ``events``. Once all there is has been read, it gets one row far behind all times, and
+    the same stream goes on from its progress: the watermark passes everything that waits. That row itself waits for ever.
+    """
+    spark, closing = events.sparkSession, f"{folder}/closing"
+    spark.createDataFrame([], events.schema).write.mode("append").parquet(closing)
+    both = job(events.union(spark.readStream.schema(events.schema).parquet(closing)))
+    run_to_files(both, folder)
+    spark.range(1).select(*closing_row(events.schema)).write.mode("append").parquet(closing)
+    return run_to_files(both, folder)
+
+
 def run_to_log(
     stream: DataFrame, folder: str, each: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append"
 ) -> DataFrame:

@@ -97,6 +97,30 @@ def test_long_chain(spark):
     assert all(r.url == f"p{r.depth}" for r in got)
 
 
+def test_chapters_in_a_row_make_few_rows(spark, monkeypatch):
+    """Each chapter's first page links to the next chapter's: as many rows as pages, not as pairs."""
+    made = []
+    kept = toc.checkpointed
+    monkeypatch.setattr(toc, "checkpointed", lambda df: made.append(kept(df)) or made[-1])
+    n = 2_000
+    heads = spark.range(n).selectExpr("concat('c', id) AS url", f"CASE WHEN id < {n - 1} THEN concat('c', id + 1) END AS next_url")
+    links = spark.range(n - 1).selectExpr("concat('c', id) AS url", "concat('c', id + 1) AS next_url")
+    assert toc.page_chains(heads, links).count() == n
+    assert sum(df.count() for df in made) < 6 * n
+
+
+def test_a_chapter_that_runs_through_another(spark):
+    """Chapter a names c as its next one but runs through b; b has no next one and runs on; d goes round in a circle."""
+    heads = spark.createDataFrame([("a1", "c1"), ("b1", None), ("c1", None), ("d1", "x")], "url string, next_url string")
+    links = spark.createDataFrame(
+        [("a1", "a2"), ("a2", "b1"), ("b1", "b2"), ("b2", "c1"), ("c1", "c2"), ("d1", "d2"), ("d2", "d1")], "url string, next_url string")
+    got = {}
+    for r in toc.page_chains(heads, links).collect():
+        got.setdefault(r.start, {})[r.depth] = r.url
+    ordered = {s: [u for _, u in sorted(p.items())] for s, p in got.items()}
+    assert ordered == {"a1": ["a1", "a2", "b1", "b2"], "b1": ["b1", "b2", "c1", "c2"], "c1": ["c1", "c2"], "d1": ["d1", "d2"]}
+
+
 def test_chain_stops_at_next_chapter(spark):
     links = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(6)], "url string, next_url string")
     heads = spark.createDataFrame([("p0", "p2"), ("p2", None)], "url string, next_url string")

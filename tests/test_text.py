@@ -1,6 +1,7 @@
 """Goldens and models of text, URL, list and store functions."""
 
 import base64
+import html
 import io
 import re
 import zipfile
@@ -194,9 +195,10 @@ def test_patterns_match_as_they_are_meant(spark, pattern):
 
 def test_patterns_without_a_java_form():
     assert not any(map(patterns.pattern_ok, ["(", "[a", r"(a)(?(1)b|c)", "a{20000}", r"(?a)\w"]))
-    assert [patterns.java_replacement(r, "(?P<n>a)") for r in (r"\1$", r"\g<n>x\\", r"\1" + "0")] == [r"$1\$", r"$1x\\", "$10"]
-    with pytest.raises(ValueError):
-        patterns.java_replacement(r"\2", "(a)")
+    assert [patterns.java_replacement(r, "(?P<n>a)") for r in (r"\1$", r"\g<n>x\\")] == [r"$1\$", r"$1x\\"]
+    for unknown in (r"\2", r"\10"):  # \10 names group 10
+        with pytest.raises(ValueError):
+            patterns.java_replacement(unknown, "(a)")
 
 
 # -- bytes -------------------------------------------------------------------
@@ -254,4 +256,19 @@ def test_pages_rules_and_escapes(spark, tmp_path):
     rules = content.rules_from(parse_replace_rules(texts, "j").collect())
     assert [(r.pattern, r.order, r.timeout_ms, r.scope_content) for r in rules] == [("a", 3, 3000, True), ("b", 1, 3000, True)]
     assert [r.pattern for r in content.applicable(rules, title=False)] == ["b", "a"]
-    assert column(spark, text.unescape_all(text.escape(F.col("t"))), [("<a&\"'>",)], "t string") == ["<a&\"'>"]
+    assert column(spark, text.unescape(text.escape(F.col("t"))), [("<a&\"'>",)], "t string") == ["<a&\"'>"]
+
+
+ENTITIES = [
+    "", "&", "&amp", "&amp;amp;", "a&lt;b&gt;c", "&notit; &notin;", "&#65;&#x41;&#X4a &#0; &#128;&#x9f;&#13;", "&#xD800;&#1114112;&#99999999999;", "&#1;x&#x7f;&#xFFFE;", "&nope; &nopeamp;",
+    "&CounterClockwiseContourIntegral;", "&acE;&NotEqualTilde;", "&;&#;&#x;", "tail &eacut", "&eacute&eacute;", "&#x1F600;\u4e2d&hellip;", "&" * 50, "&copy2024", "&ampamp;", "&a b;",
+]
+
+
+def test_entities_are_those_of_html(spark):
+    assert column(spark, text.unescape(F.col("t")), [(t,) for t in [*ENTITIES, None]], "t string") == [*map(html.unescape, ENTITIES), None]
+
+
+def test_lines_end_where_they_do_in_rules(spark):
+    source = "a\rb\r\nc\x0bd\x0ce\x1cf\x1dg\x1eh\x85i\u2028j\u2029k\nl"
+    assert column(spark, text.indent_paragraphs(F.col("t")), [(source,)], "t string") == ["\n".join(text.INDENT + s for s in "abcdefghijkl")]
