@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioweave.llm.merging import joined
 from folioweave.llm.pretokens import BYTE_PATTERN, byte_alphabet, cutter, read_tokenizer
 from folioweave.llm.words import chunks
 
@@ -57,21 +58,7 @@ def model_parts(path: str) -> dict:
 
 def merged(word: bytes, ids: dict, pairs: dict) -> list[int]:
     """The exact encoding: join the pair of least rank, leftmost first, until none is left."""
-    out = [ids[word[i : i + 1]] for i in range(len(word))]
-    while len(out) > 1:
-        best = min((pairs[p] for p in zip(out, out[1:]) if p in pairs), default=None)
-        if best is None:
-            break
-        joined, i = [], 0
-        while i < len(out):
-            if i + 1 < len(out) and pairs.get((out[i], out[i + 1])) == best:
-                joined.append(best[1])
-                i += 2
-            else:
-                joined.append(out[i])
-                i += 1
-        out = joined
-    return out
+    return joined([ids[word[i : i + 1]] for i in range(len(word))], lambda a, b: pairs.get((a, b)))
 
 
 def proposed(word: bytes, ids: dict, longest: int) -> list[int]:

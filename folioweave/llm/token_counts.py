@@ -15,7 +15,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.normalizers import Lowercase
 
+from folioweave.llm.merging import joined as merged_pieces
 from folioweave.llm.pretokens import byte_alphabet, read_tokenizer
 from folioweave.llm.tables import written
 from folioweave.llm.words import chunks, text_hashes
@@ -42,11 +44,18 @@ def word_parts(path: str) -> dict:
     model = parsed["model"]
     merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
     return {
-        "classes": character_classes(), "specials": [t["content"] for t in parsed["added_tokens"]],
+        "classes": character_classes(), "lower": lower_case(), "specials": [t["content"] for t in parsed["added_tokens"]],
         "ranks": {m: r for r, m in enumerate(merges)}, "end": model["end_of_word_suffix"] or "",
     }
 
 
+def lower_case() -> dict[int, str]:
+    """What the tokenizer library lower-cases, by code point: tasks may run other versions of Unicode than it does."""
+    points = [c for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000]
+    lowered = Lowercase().normalize_str("\n".join(map(chr, points))).split("\n")
+    return {**{c: chr(c + 32) for c in range(65, 91)}, **{c: low for c, low in zip(points, lowered, strict=True) if low != chr(c)}}
+
+
 def character_classes() -> np.ndarray:
     """0 for white space, 1 for letters, 2 for numbers, 3 for the rest, by code point."""
     every = "".join(map(chr, range(0x110000)))
@@ -57,11 +66,9 @@ def character_classes() -> np.ndarray:
     return out
 
 
-def _folded(text: str) -> str:
+def _folded(text: str, lower: dict[int, str]) -> str:
     """Composed (NFC) and lower-cased, character by character."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return text.lower()
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).translate(lower)
 
 
 def pretokens(texts: list[str | None], parts: dict) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +85,7 @@ def pretokens(texts: list[str | None], parts: dict) -> tuple[str, np.ndarray, np
             if special in text:
                 specials[i] += text.count(special)
                 text = text.replace(special, " ")
-        folded.append(_folded(text))
+        folded.append(_folded(text, parts["lower"]))
     joined = " ".join([*folded, ""])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = parts["classes"][points]
@@ -104,20 +111,12 @@ def pretokens(texts: list[str | None], parts: dict) -> tuple[str, np.ndarray, np
 
 def piece_count(symbols: list[str], ranks: dict) -> int:
     """Number of pieces left when the pair of least rank is joined until no pair has a rule."""
-    while len(symbols) > 1:
-        best = min(zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, len(ranks)))
-        if best not in ranks:
-            break
-        out, i = [], 0
-        while i < len(symbols):
-            if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best:
-                out.append(symbols[i] + symbols[i + 1])
-                i += 2
-            else:
-                out.append(symbols[i])
-                i += 1
-        symbols = out
-    return len(symbols)
+
+    def rule(a: str, b: str) -> tuple | None:
+        rank = ranks.get((a, b))
+        return None if rank is None else (rank, a + b)
+
+    return len(merged_pieces(symbols, rule))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], parts: dict) -> Iterator[pa.RecordBatch]:

@@ -7,10 +7,12 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
-from folioweave.llm import divergence, fuzzy_lines, ranked, tables, topk
+from folioweave.llm import bpe, divergence, fuzzy_lines, merging, ranked, tables, token_counts, topk
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -38,9 +40,9 @@ def test_scopes_delete_what_they_made_but_for_results(spark, tmp_path):
 
     total, rows = outer()
     assert total.first()[0] == 6 and rows.count() == 3
-    for gone in made:
-        with pytest.raises(Exception, match="(?i)exist"):
-            spark.read.parquet(*gone.inputFiles()).count()
+    assert rows.written_to == made[1].written_to  # a result that is written already is not written again
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(made[0].written_to).count()
 
 
 def test_a_failed_job_leaves_nothing_open(spark):
@@ -309,3 +311,55 @@ def test_ranked_search_scores_few_documents():
     shard.search(np.array([40, 50, 59]), top)
     assert len(top.ids) == 10 and sum(scored) < chosen[:, [40, 50, 59]].any(axis=1).sum()
     assert pa.array(top.scores).to_pylist() == sorted(top.scores, reverse=True)
+
+
+# --- merging
+
+
+def joined_plainly(symbols, ranks):
+    while True:
+        best = min((ranks[p], p) for p in zip(symbols, symbols[1:], strict=False) if p in ranks) if any(p in ranks for p in zip(symbols, symbols[1:], strict=False)) else None
+        if best is None:
+            return symbols
+        out, i = [], 0
+        while i < len(symbols):
+            if tuple(symbols[i:i + 2]) == best[1]:
+                out.append("".join(best[1]))
+                i += 2
+            else:
+                out.append(symbols[i])
+                i += 1
+        symbols = out
+
+
+def test_merging_against_rounds():
+    rng = random.Random(8)
+    for _ in range(300):
+        known, ranks = list("abc"), {}
+        for rank in range(rng.randint(0, 8)):
+            pair = (rng.choice(known), rng.choice(known))
+            if pair not in ranks and "".join(pair) not in known:
+                ranks[pair] = rank
+                known.append("".join(pair))
+        symbols = rng.choices("abc", k=rng.randint(0, 30))
+        assert merging.joined(symbols, lambda a, b, r=ranks: (r[a, b], a + b) if (a, b) in r else None) == joined_plainly(symbols, ranks)
+
+
+def test_long_words_are_counted_and_encoded_as_the_library_does():
+    rng = random.Random(9)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300_000))
+    word, byte = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    began = time.perf_counter()
+    parts = token_counts.word_parts(word)
+    symbols = [*letters[:-1], letters[-1] + parts["end"]]
+    assert token_counts.piece_count(symbols, parts["ranks"]) == len(Tokenizer.from_file(word).encode(letters, add_special_tokens=False).ids)
+    model = bpe.model_parts(byte)
+    assert bpe.merged(letters.encode(), model["ids"], model["pairs"]) == Tokenizer.from_file(byte).encode(letters, add_special_tokens=False).ids
+    assert time.perf_counter() - began < 60
+
+
+def test_every_code_point_is_lowered_as_the_library_does():
+    lower = token_counts.lower_case()
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).normalizer
+    for c in [0x41, 0x130, 0x3A3, 0xA7CB, 0xA7DC, 0x1E9E, 0x10400, *range(0xC0, 0x600)]:
+        assert token_counts._folded(chr(c) + "é", lower) == library.normalize_str(chr(c) + "é")
