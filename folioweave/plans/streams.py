@@ -101,6 +101,33 @@ def stream_rate_limit(spark, folder):
     return jobs.run_closed(events, lambda e: jobs.stream_rate_limit(e, "source", 2, 3_600_000, "1 hour"), jobs.work_folder(spark, "limit"))
 
 
+_RATE_SQL = """CASE length(source) % 3 WHEN 0 THEN 1800000 WHEN 1 THEN 3600000 ELSE 0 END"""
+
+
+@query("rate_limit_by_source", f"""WITH RECURSIVE {_chain_sql(0).replace('+ 0', '+ ' + _RATE_SQL.replace('source', 'o.source'))}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source, opened ORDER BY ts, event_id) AS rn FROM placed
+)
+SELECT event_id, source, CASE WHEN length(source) % 3 = 2 OR rn <= 1 + (CASE length(source) % 3 WHEN 1 THEN 3 ELSE 0 END) THEN 0
+  ELSE opened + {_RATE_SQL} - ts END AS wait_ms FROM ranked""".replace("r.ts >= o.opened + ", "length(o.source) % 3 <> 2 AND r.ts >= o.opened + "))
+def rate_limit_by_source(spark, folder):
+    """Rate strings by source: a least gap, so many in a window, and what is no rate."""
+    events = reading_events(spark, folder)
+    kind = F.length("source") % 3
+    rate = F.when(kind == 0, " 1800000").when(kind == 1, "3/3600000").otherwise("often")
+    rates = events.select("source").distinct().select("source", rate.alias("rate"))
+    return windows.rate_limit_by_source(events, "source", rates).select("event_id", "source", "wait_ms")
+
+
+@query("ttl_by_entry", f"""WITH RECURSIVE {_chain_sql(0).replace('+ 0', '+ ' + _RATE_SQL.replace('source', 'o.source') + ' + 1')}
+SELECT event_id, source, event_id = min(event_id) OVER (PARTITION BY source, ts) AND opened = ts AS refetch FROM placed""".replace(
+    "r.ts >= o.opened + ", "length(o.source) % 3 <> 2 AND r.ts >= o.opened + "))
+def ttl_by_entry(spark, folder):
+    """Each entry has a life time of its own; some never end."""
+    kind = F.length("source") % 3
+    ttl = F.when(kind == 0, 1_800_000).when(kind == 1, 3_600_000).otherwise(0)
+    return windows.ttl_refetch(reading_events(spark, folder), "source", ttl).select("event_id", "source", "refetch")
+
+
 @query("ttl_refetch", f"""WITH RECURSIVE {_chain_sql(7_200_001)}
 SELECT event_id, source, event_id = min(event_id) OVER (PARTITION BY source, ts) AND opened = ts AS refetch FROM placed""")
 def ttl_refetch(spark, folder):

@@ -157,6 +157,18 @@ def test_fixed_window_golden(spark):
     assert [r.wait_ms for r in got] == [0, 0, 0, 970]
 
 
+def test_rates_by_source(spark):
+    rates = spark.createDataFrame([("a", "3/37"), ("b", "50"), ("c", "0"), ("d", "x/9"), ("e", None), ("f", " 7 "), ("g", "2/0")], "source string, rate string")
+    rng = random.Random(6)
+    rows = [(i, rng.choice("abcdefgh"), rng.randrange(3000)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "event_id long, source string, ts long")
+    got = {r.event_id: r.wait_ms for r in windows.rate_limit_by_source(df, "source", rates).collect()}
+    want = {}
+    for source, limit, span in (("a", 3, 37), ("b", 0, 50), ("f", 0, 7)):
+        want |= model_audit([r for r in rows if r[1] == source], limit, span)
+    assert got == {**{r[0]: 0 for r in rows}, **want}
+
+
 @pytest.mark.parametrize("seed, horizon, chunk", [(1, 4000, None), (2, 60_000, None), (3, 700, 40), (4, 20_000, 130)])
 def test_windows_against_model(spark, monkeypatch, seed, horizon, chunk):
     rng = random.Random(seed)
