@@ -153,6 +153,29 @@ def java_replacement(replacement: str, pattern: str = "") -> str:
     return "".join(out) + _quoted(replacement[at:])
 
 
+def required_text(pattern: str) -> str:
+    """The longest run of characters that stands in every match; empty where none is sure, as without regard to case."""
+    parsed = parser.parse(pattern)
+    if parsed.state.flags & re.IGNORECASE:
+        return ""
+    runs = [""]
+
+    def read(nodes) -> None:
+        for kind, value in nodes:
+            if kind is op.LITERAL:
+                runs[-1] += chr(value)
+            elif kind is op.SUBPATTERN and not value[1] and not value[2]:
+                read(value[3])
+            elif kind is not op.AT:
+                runs.append("")
+                if kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[0] > 0:
+                    read(value[2])
+                    runs.append("")
+
+    read(parsed)
+    return max(runs, key=len)
+
+
 def _quoted(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 

@@ -9,7 +9,7 @@ neither the body nor the node array is exploded or shuffled.
 from __future__ import annotations
 
 import json
-import re
+from collections import Counter
 from collections.abc import Sequence
 from functools import cache
 
@@ -24,7 +24,7 @@ from folioweave.functions import urls
 from folioweave.functions.binding import bound
 from folioweave.functions.lists import positions_of
 from folioweave.functions.markup import NODES, page_nodes
-from folioweave.functions.patterns import java_pattern, pattern_ok
+from folioweave.functions.patterns import java_pattern, pattern_ok, required_text
 from folioweave.functions.rules import PUT, compile_group
 
 _STRINGS = "array<string>"
@@ -645,31 +645,43 @@ def image_refs(pages: DataFrame) -> DataFrame:
 
 # -- sources by address ------------------------------------------------------
 
-_ANCHORED_HOST = re.compile(r"^\^?https?\??://((?:[\w-]|\\\.)+)(?:/|\\/|$)")
+#: Characters of the pieces of an address by which patterns are found.
+GRAM = 3
+
+
+def _grams(text: str) -> set[str]:
+    return {text[i:i + GRAM] for i in range(len(text) - GRAM + 1)}
+
+
+def fetched_patterns(addresses: DataFrame, patterns: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """(url, source, pattern) to try: ``patterns`` are (source, Java pattern, text in every match).
+
+    A pattern is filed under the piece of its text that the fewest other patterns have; the pieces of an address fetch what is
+    filed under them, by an equi-join, and the text itself has to stand in the address.
+    """
+    spark = addresses.sparkSession
+    common = Counter(g for _, _, text in patterns for g in _grams(text))
+    filed = [(s, p, text, min(_grams(text), key=lambda g: (common[g], g))) for s, p, text in patterns]
+    index = spark.createDataFrame(filed, "source string, pattern string, __text string, __gram string")
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("url") - GRAM + 1))
+    pieces = F.array_distinct(F.transform(places, lambda i: F.substring("url", i, F.lit(GRAM))))
+    cut = addresses.select("url", F.explode(pieces).alias("__gram"))
+    return cut.join(index, "__gram").filter(F.contains("url", "__text")).select("url", "source", "pattern")
 
 
 def pages_by_pattern(pages: DataFrame, patterns: Sequence[tuple[str, str]]) -> DataFrame:
     """(page, source) pairs where the source's pattern is found in the page's URL.
 
-    A pattern anchored at a host joins by that host first. The others are an
-    array of data, tested on each page where it stands. Patterns that Java can't
-    run as they are meant are left out; ``functions.patterns`` says which.
+    Each address tries only the patterns that its pieces fetch; those without any sure text are an array of data, tested on
+    each page where it stands. Patterns that Java can't run as they are meant are left out; ``functions.patterns`` says which.
     """
-    anchored, loose = [], []
-    for source, pattern in patterns:
-        if not pattern_ok(pattern):
-            continue
-        host = _ANCHORED_HOST.match(pattern) if pattern.startswith("^") else None
-        (anchored if host else loose).append((source, java_pattern(pattern), host[1].replace("\\", "") if host else None))
-    tests = F.from_json(F.lit(json.dumps([{"source": s, "pattern": p} for s, p, _ in loose])), "array<struct<source:string,pattern:string>>")
+    usable = [(source, java_pattern(pattern), required_text(pattern)) for source, pattern in patterns if pattern_ok(pattern)]
+    loose = [{"source": s, "pattern": p} for s, p, text in usable if len(text) < GRAM]
+    tests = F.from_json(F.lit(json.dumps(loose)), "array<struct<source:string,pattern:string>>")
     found = F.transform(F.filter(tests, lambda t: F.regexp_like(F.col("url"), t["pattern"])), lambda t: t["source"])
     rows = pages.withColumn("source", F.explode(found))
-    if not anchored:
+    indexed = [u for u in usable if len(u[2]) >= GRAM]
+    if not indexed:
         return rows
-    hosts = pages.sparkSession.createDataFrame(
-        anchored, "source string, __pattern string, __host string"
-    )
-    by_host = pages.withColumn("__host", urls.authority(F.col("url"))).join(hosts, "__host")
-    fitting = by_host.filter(F.regexp_like(F.col("url"), F.col("__pattern"))).select(*pages.columns, "source")
-    return rows.unionByName(fitting)
-
+    fitting = fetched_patterns(pages.select("url").distinct(), indexed).filter(F.regexp_like("url", F.col("pattern")))
+    return rows.unionByName(pages.join(fitting.select("url", "source"), "url").select(*pages.columns, "source"))

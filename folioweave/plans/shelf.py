@@ -176,11 +176,25 @@ def scan_pages(spark, folder):
 
 @query("text_files", "SELECT doc_id, text FROM documents")
 def text_files(spark, folder):
-    """Texts as bytes, of which those that can be are in GBK and some have a mark in front, decoded again."""
+    """Texts as bytes, some with a mark in front, some in GBK where it has all their characters, decoded again."""
+    import pandas as pd
+    from pyspark.sql.types import BinaryType
+
+    @F.pandas_udf(BinaryType())
+    def gbk(texts: pd.Series) -> pd.Series:
+        def encoded(text):
+            try:
+                return text.encode("gbk")
+            except UnicodeEncodeError:
+                return text.encode()
+
+        return texts.map(encoded, na_action="ignore")
+
     mark = F.unhex(F.lit("EFBBBF"))
     raw = F.encode("text", "UTF-8")
+    turn = F.col("doc_id") % 3
     files = table(spark, folder, "documents").select(
-        "doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(mark, raw)).otherwise(raw).alias("content"))
+        "doc_id", F.when(turn == 0, F.concat(mark, raw)).when(turn == 1, gbk("text")).otherwise(raw).alias("content"))
     return stores.decode_text_files(files).select("doc_id", "text")
 
 

@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from folioweave.functions import patterns
+from folioweave.operators import extract as ex
 from folioweave.operators import hits as op
 from folioweave.operators import toc, windows
 from folioweave.operators.ordered import first_per_key, numbered, with_next, with_previous
@@ -277,10 +279,26 @@ def test_small_scans_are_dealt_out(spark, tmp_path, monkeypatch):
 
 
 def test_url_patterns(spark):
-    from folioweave.operators import extract as ex
-
     pages = spark.createDataFrame([("https://a.org/x/1",), ("http://b.net/y",), ("https://a.org/",)], "url string")
-    patterns = [("host", r"^https?://a\.org/x/"), ("loose", r"/y$"), ("all", r"org|net")]
-    want = sorted(map(tuple, ex.pages_by_pattern(pages, patterns).collect()))
+    listed = [("host", r"^https?://a\.org/x/"), ("loose", r"/y$"), ("all", r"org|net")]
+    want = sorted(map(tuple, ex.pages_by_pattern(pages, listed).collect()))
     assert [s for _, s in want] == ["all", "loose", "all", "all", "host"]
     assert ex.pages_by_pattern(pages, [("bad", "[a"), ("odd", "(?(1)a)")]).count() == 0
+
+
+def test_many_patterns_are_fetched_not_tried(spark):
+    """Ten thousand patterns: an address tries only those whose text stands in it."""
+    listed = [(f"s{i}", rf"^https?://[a-z]+\.test/shelf{i:05}/\d+") for i in range(10_000)]
+    rows = [(f"http{'s' * (i % 2)}://{'ab'[i % 2]}.test/shelf{37 * i:05}/{i}",) for i in range(200)] + [("http://a.test/shelf00000/x",), ("",), (None,)]
+    pages = spark.createDataFrame(rows, "url string").withColumn("pattern", F.lit("clash"))
+    usable = [(s, patterns.java_pattern(p), patterns.required_text(p)) for s, p in listed]
+    assert usable[7][2] == ".test/shelf00007/"
+    tried = ex.fetched_patterns(pages.select("url"), usable)
+    assert tried.count() == 201  # one each, and the address without a number
+    got = {(r.url, r.source) for r in ex.pages_by_pattern(pages, [*listed, ("loose", "/[0-9]$")]).collect()}
+    assert got == {(u, f"s{37 * i}") for i, (u,) in enumerate(rows[:200])} | {(u, "loose") for u, in rows[:10]}
+
+
+def test_text_in_every_match():
+    cases = {"a(bc)d": "abcd", "ab?cde": "cde", "(x|yy)zz": "zz", "(abc)+d": "abc", "(?i)abc": "", "[a]bc": "abc", "^ab$": "ab", "(?:ab){2}": "ab", r"\.x.": ".x", "(ab|cd)": ""}
+    assert {p: patterns.required_text(p) for p in cases} == cases
