@@ -227,6 +227,56 @@ def test_contamination(spark, monkeypatch, block):
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(i) for i, t in rows if not brute_leaks(t, items)[1])
 
 
+def brute_longest(docs, items, window=10):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    best = {}
+    for item, t in items:
+        w = cut(t)
+        for doc, text in docs:
+            words = cut(text)
+            for i, p in ((i, p) for i in range(len(w)) for p in range(len(words))):
+                n = 0
+                while i + n < len(w) and p + n < len(words) and w[i + n] == words[p + n]:
+                    n += 1
+                if n >= min(window, len(w)):
+                    best[item] = min(best.get(item, (0,)), (-n, doc, p, i))
+    return {item: (-n, *rest) for item, (n, *rest) in best.items()}
+
+
+@pytest.mark.parametrize("block, shards", [(2_000_000, 1), (30, 5)])
+def test_longest_matches(spark, monkeypatch, block, shards):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcd") + rng.choice(["", "é"])
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([45, 30, 10, 3, 1, 11, 64])] + [(7, None), (8, "?!"), (8, "q w e r t z u i o p a s d")]
+    items += [(9, items[1][1]), (10, "a " * 40), (11, "never seen anywhere")]
+    docs = [(40, "a " * 25), (41, None), (42, ""), (43, items[6][1])]
+    for n in range(25):
+        parts = [" ".join(word() for _ in range(rng.randrange(20)))]
+        for _ in range(rng.randrange(3)):
+            source = (rng.choice(items)[1] or "").split()
+            at = rng.randrange(max(1, len(source)))
+            parts += [", ".join(source[at : at + rng.randrange(5, 40)]).upper().replace("É", "é"), word()]
+        docs.append((n // 2, " ".join(parts)))
+    table = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, words int").repartition(shards)
+    nobody = spark.createDataFrame([(None, items[0][1], 1)], table.schema)
+    tests = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
+    found = decontam.longest_matches(table.union(nobody), tests).collect()
+    assert {r["item_id"]: tuple(r)[1:] for r in found} == brute_longest(docs, items) and len(found) == len({r["item_id"] for r in found})
+    assert decontam.longest_matches(table.limit(0), tests).count() == decontam.longest_matches(table, tests.limit(0)).count() == 0
+
+
+def test_suffix_arrays_are_sorted_whole(spark):
+    rng = np.random.default_rng(3)
+    words, firsts = rng.integers(0, 4, 3000).astype(np.uint64), np.array([0, 700, 700, 701, 2000, 3000])
+    tests = decontam.Suffixes(np.arange(2), np.concatenate([words[100:170], words[1990:2010]]), np.array([0, 70, 90]), 10)
+    shard = decontam.Shard(words, firsts, tests)
+    text = np.concatenate([np.append(words[a:b].astype(int) + 1, 0) for a, b in zip(firsts, firsts[1:])])
+    assert sorted(shard.order) == list(range(len(text)))
+    keys = [tuple(text[i : i + 64]) for i in shard.order]
+    assert keys == sorted(keys)
+
+
 def test_contamination_odd(spark, odd, nothing):
     tests = spark.createDataFrame([(1, "same text twice over and over again")], "item_id long, text string")
     got = decontam.contamination(odd, tests, name="f").collect()
