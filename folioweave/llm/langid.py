@@ -25,7 +25,8 @@ EVIDENCE = 30
 SMOOTHING = 0.5
 UNKNOWN = "und"
 
-#: Text bytes scored at once: their n-grams take some hundred times as much memory.
+#: Text bytes scored at once: their n-grams take some hundred times as much memory. A longer text is cut into slices of as many
+#: characters, whose sums are added.
 CHUNK_BYTES = 1 << 19
 
 #: Odd multipliers of the characters of an n-gram.
@@ -37,19 +38,29 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, n-grams of each text, whether it has a letter): n-grams of lower-cased text, with blanks for all but letters.
+def sliced(texts: list[str | None], size: int = CHUNK_BYTES) -> Iterator[tuple[list[str], int | None]]:
+    """Lower-cased texts between blanks; a text that is alone and longer than ``size`` in slices, each with the first two characters
+    of the next one, so that every n-gram begins in ``size`` characters of one slice only."""
+    parts = [f" {(t or '').lower()} " for t in texts]
+    if len(parts) == 1 and len(parts[0]) > size:
+        more = max(ORDERS) - 1
+        yield from (([parts[0][at : at + size + more]], size) for at in range(0, len(parts[0]), size))
+    else:
+        yield parts, None
 
-    n-grams of blanks alone do not count, nor do those that cross the border of two texts.
+
+def grams(parts: list[str], starts: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, n-grams of each part, whether it has a letter): n-grams of ``sliced`` parts, with blanks for all but letters.
+
+    n-grams of blanks alone do not count, nor do those that cross the border of two parts or begin behind ``starts`` characters.
     """
-    parts = [(" " + (t or "").lower() + " ") for t in texts]
     points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[points]
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     value = np.where(letter, points, np.uint32(32)).astype(np.uint32)
     value = (value ^ (value << np.uint32(7))) * np.uint32(0x165667B1)
     out, owners = [], []
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(bounds))
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), np.diff(bounds))
     inside = letter
     acc = np.zeros(len(points), np.uint32)
     for order in range(max(ORDERS)):
@@ -58,13 +69,15 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         acc = acc + value[order:] * _FACTORS[order]
         if order + 1 in ORDERS:
             keep = inside & (owner[: len(acc)] == owner[order:])
+            if starts is not None:
+                keep[starts:] = False
             mixed = (acc[keep] ^ (acc[keep] >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * order)
             out.append(mixed >> np.uint32(32 - BUCKET_BITS))
             owners.append(owner[: len(acc)][keep])
-    has = np.bincount(owner[letter], minlength=len(texts)) > 0
+    has = np.bincount(owner[letter], minlength=len(parts)) > 0
     which = np.concatenate(owners)
     place = np.argsort(which, kind="stable")
-    return np.concatenate(out)[place], np.bincount(which, minlength=len(texts)), has
+    return np.concatenate(out)[place], np.bincount(which, minlength=len(parts)), has
 
 
 def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,16 +87,18 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, last, *_ in chunks(batch.column("text"), CHUNK_BYTES):
             texts = batch.column("text").slice(first, last - first).to_pylist()
             langs = batch.column("lang").slice(first, last - first).to_pylist()
-            buckets, counts, _ = grams(texts)
-            bounds = np.concatenate([[0], np.cumsum(counts)])
-            for i, lang in enumerate(langs):
-                total = totals.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
-                own = buckets[bounds[i] : bounds[i + 1]]
-                if len(own) < 4096:
-                    np.add.at(total, own, 1)
-                else:
-                    total += np.bincount(own, minlength=len(total))
+            for lang in langs:
                 rows[lang] = rows.get(lang, 0) + 1
+            for parts, starts in sliced(texts):
+                buckets, counts, _ = grams(parts, starts)
+                bounds = np.concatenate([[0], np.cumsum(counts)])
+                for i, lang in enumerate(langs):
+                    total = totals.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
+                    own = buckets[bounds[i] : bounds[i + 1]]
+                    if len(own) < 4096:
+                        np.add.at(total, own, 1)
+                    else:
+                        total += np.bincount(own, minlength=len(total))
     for lang, total in totals.items():
         used = np.flatnonzero(total)
         n = len(used) + 1  # the bucket -1 counts the documents
@@ -118,13 +133,16 @@ def _scored(batches: Iterator[pa.RecordBatch], langs: list[str], matrix: np.ndar
     table = np.ascontiguousarray(matrix[:-1].T.astype(np.float32))
     for batch in batches:
         for first, last, *_ in chunks(batch.column("text"), CHUNK_BYTES):
-            buckets, counts, has = grams(batch.column("text").slice(first, last - first).to_pylist())
-            bounds = np.cumsum(counts) - counts
-            some = counts > 0
-            sums = np.zeros((len(counts), max(1, len(langs))))
-            for k in range(len(langs)):
-                if some.any():
-                    sums[some, k] = np.add.reduceat(table[k][buckets].astype(np.float64), bounds[some])
+            n = last - first
+            sums, counts, has = np.zeros((n, max(1, len(langs)))), np.zeros(n, np.int64), np.zeros(n, bool)
+            for parts, starts in sliced(batch.column("text").slice(first, n).to_pylist()):
+                buckets, found, letters = grams(parts, starts)
+                bounds, some = np.cumsum(found) - found, found > 0
+                for k in range(len(langs)):
+                    if some.any():
+                        sums[some, k] += np.add.reduceat(table[k][buckets].astype(np.float64), bounds[some])
+                counts += found
+                has |= letters
             shrunk = np.minimum(1, EVIDENCE / np.maximum(counts, 1))[:, None] * sums + (matrix[-1] if langs else 0)
             best = shrunk.argmax(axis=1)
             score = 1 / np.exp(shrunk - shrunk.max(axis=1, keepdims=True)).sum(axis=1)

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -349,6 +350,60 @@ def test_language(spark, docs, odd, nothing):
     assert {r["lang_pred"] for r in langid.predict(odd, langid.train(nothing), score="s").collect()} == {"und"}
 
 
+def test_language_equals_plain_counting(spark, docs, monkeypatch):
+    """Buckets and scores against dictionaries of n-grams, with texts cut into slices of 50 characters and without."""
+    def plain(text):
+        s = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+        return Counter(s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1) if s[i : i + n].strip())
+
+    def bucket(gram):
+        value = lambda c: ((ord(c) ^ (ord(c) << 7) & 0xFFFFFFFF) * 0x165667B1) & 0xFFFFFFFF
+        acc = sum(value(c) * int(f) for c, f in zip(gram, langid._FACTORS)) & 0xFFFFFFFF
+        return ((acc ^ (acc >> 15)) * (0x2C1B3C6D + 2 * (len(gram) - 1)) & 0xFFFFFFFF) >> 32 - langid.BUCKET_BITS
+
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.where("text is not null and lang is not null").orderBy("doc_id").limit(60).collect()]
+    odd = [(1000 + i, t) for i, (_, t) in enumerate(ODD) if len(t or "") < 2000] + [(2000, "ΑΣ ΟΔΟΣ İı ß " * 40), (2001, "a"), (2002, "x" * 149)]
+    counts, prior = {}, Counter(lang for *_, lang in rows)
+    for _, text, lang in rows:
+        into = counts.setdefault(lang, Counter())
+        for gram, n in plain(text).items():
+            into[bucket(gram)] += n
+    size = 1 << langid.BUCKET_BITS
+    log = lambda lang, b: np.log((counts[lang][b] + langid.SMOOTHING) / (counts[lang].total() + size * langid.SMOOTHING))
+    wanted = {}
+    for i, text in [r[:2] for r in rows] + odd:
+        own = plain(text)
+        if not any(c.isalpha() for c in (text or "").lower()):
+            wanted[i] = ("und", 0.0)
+            continue
+        share = min(1, langid.EVIDENCE / own.total())
+        points = {lang: share * sum(n * log(lang, bucket(g)) for g, n in own.items()) + np.log(prior[lang] / len(rows)) for lang in prior}
+        best = max(sorted(points), key=points.get)
+        wanted[i] = (best, 1 / sum(np.exp(p - points[best]) for p in points.values()))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([r[:2] for r in rows] + odd, "doc_id long, text string")
+    model = langid.train(table)
+    cut = lambda texts: [x for t in texts for x in langid.sliced([t], 50)]
+    for _, text in odd:
+        whole, slices = langid.grams(*next(langid.sliced([text]))), [langid.grams(*part) for part in cut([text])]
+        assert sorted(whole[0]) == sorted(np.concatenate([b for b, *_ in slices])) == sorted(bucket(g) for g in plain(text).elements())
+        assert whole[1].sum() == sum(n.sum() for _, n, _ in slices) and whole[2].any() == any(h.any() for *_, h in slices)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(asked, model).collect()}
+    assert got.keys() == wanted.keys()
+    for i, (lang, score) in wanted.items():
+        assert got[i] == (lang, pytest.approx(score, abs=1e-4)), i
+
+
+def test_very_long_text_has_bounded_memory():
+    import tracemalloc
+    text = "ab cdé " * 3_000_000
+    tracemalloc.start()
+    total = sum(int(langid.grams(*part)[1].sum()) for part in langid.sliced([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total > 3 * len(text) / 2 and peak < 16 * len(text)
+
+
 def test_same_text_same_language(spark, docs):
     model = langid.train(docs.limit(100))
     rows = [(r["text"],) for r in docs.limit(20).collect()]
