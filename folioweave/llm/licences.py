@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.llm.tables import written
-from folioweave.llm.words import chunks, word_hashes
+from folioweave.llm.words import chunks, shingle_hashes, word_hashes
 
 # Notices by which the licences ask to be named.
 TEMPLATES = [
@@ -65,9 +65,11 @@ TAGS = [(name, f"SPDX-License-Identifier: {name}") for name in (
 #: Least cosine of a unit to a template.
 THRESHOLD = 0.75
 
-#: Runs of words are compared with templates of at most LONGEST words; of a longer licence text with its first HEAD words. Of a
-#: template of fewer than SHORT words, of which one word may be the name, a run must have nearly all.
-LONGEST, HEAD, SHORT, NEARLY = 300, 150, 12, 0.95
+#: Runs of words are compared with whole templates of at most LONGEST words; longer licence texts are compared block by block, with
+#: BLOCK words from every STEP-th on, so a quoted passage of BLOCK + STEP words holds a whole block. A block is compared with the
+#: documents that hold PASSAGE of its words in a row; the first block of a text with all. Of a template of fewer than SHORT words, of
+#: which one word may be the name, a run must have nearly all.
+LONGEST, BLOCK, STEP, PASSAGE, SHORT, NEARLY = 300, 150, 75, 5, 12, 0.95
 
 
 def licence_texts() -> list[tuple[str, str]]:
@@ -77,14 +79,22 @@ def licence_texts() -> list[tuple[str, str]]:
     return [*texts.items(), ("AGPL-3.0", affero)]
 
 
-def _run_templates(templates: list[tuple[str, str]], threshold: float) -> tuple[list[tuple[str, str]], list[float]]:
-    """The templates of runs, longest first, and the least cosine to each."""
-    n_words = lambda text: len(re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text))
-    head = lambda text: " ".join(re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text)[:HEAD])
-    every = [(n, t if n_words(t) <= LONGEST else head(t), max(threshold, NEARLY) if n_words(t) < SHORT else threshold) for n, t in templates]
-    every += [(n, t, 1 - 1e-9) for n, t in TAGS]
-    every.sort(key=lambda x: -n_words(x[1]))
-    return [x[:2] for x in every], [x[2] for x in every]
+def _run_templates(templates: list[tuple[str, str]], threshold: float) -> tuple[list[tuple[str, str]], list[float], list[bool]]:
+    """The templates of runs, longest first, the least cosine to each, and whether it is compared only where a passage of it stands.
+
+    Of blocks of equal length those that stand in one licence only come first, so that they name a text before shared ones do.
+    """
+    cut = [(name, re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text)) for name, text in templates]
+    every = [(n, w, max(threshold, NEARLY) if len(w) < SHORT else threshold, False) for n, w in cut if len(w) <= LONGEST]
+    texts = [(name, words) for name, words in cut if len(words) > LONGEST]
+    joined = [(name, f" {' '.join(words).lower()} ") for name, words in texts]
+    for name, words in texts:
+        starts = sorted({*range(0, len(words) - BLOCK, STEP), len(words) - BLOCK})
+        every += [(name, words[i : i + BLOCK], threshold, i > 0) for i in starts]
+    shared = lambda n, w: len(w) == BLOCK and any(n != other and f" {' '.join(w).lower()} " in text for other, text in joined)
+    every += [(n, re.findall(r"[0-9A-Za-z]+", t), 1 - 1e-9, False) for n, t in TAGS]
+    every.sort(key=lambda x: (-len(x[1]), shared(x[0], x[1])))
+    return [(n, " ".join(w)) for n, w, *_ in every], [least for _, _, least, _ in every], [by_passage for *_, by_passage in every]
 
 
 def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +121,8 @@ def template_parts(templates: list[tuple[str, str]]) -> dict:
     vocabulary, at = np.unique(words, return_inverse=True)
     counts = np.zeros((len(templates), len(vocabulary)))
     np.add.at(counts, (np.repeat(np.arange(len(templates)), np.diff(firsts)), at), 1)
-    return {"names": [n for n, _ in templates], "vocabulary": vocabulary, "counts": counts}
+    passages, begin = shingle_hashes(words, firsts, PASSAGE)
+    return {"names": [n for n, _ in templates], "vocabulary": vocabulary, "counts": counts, "passages": passages, "begin": begin}
 
 
 def _ranks(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -151,44 +162,83 @@ def cosines(words: np.ndarray, unit: np.ndarray, n_units: int, parts: dict) -> t
     number = np.cumsum(open_) - 1
     mine = open_[unit]
     words, rank, unit = words[mine], rank[mine], number[unit[mine]]
-    inside = rank >= 0
-    weights = np.zeros((int(open_.sum()), len(vocabulary)))
-    np.add.at(weights, (unit[inside], rank[inside]), 1)
-    weights *= idf
-    norm = (weights**2).sum(axis=1)
+    inside, n = rank >= 0, int(open_.sum())
+    cell, times = np.unique(unit[inside] * len(vocabulary) + rank[inside], return_counts=True)
+    mine, rank = np.divmod(cell, len(vocabulary))
+    weights = times * idf[rank]
     other, times = np.unique(np.stack([unit[~inside].astype(np.uint64), words[~inside]], axis=1), axis=0, return_counts=True)
-    norm += np.bincount(other[:, 0].astype(np.int64), (times * rarest) ** 2.0, minlength=len(norm))
-    cosine = weights @ parts["units"].T / np.sqrt(norm)[:, None]
-    best[open_], which[open_] = cosine.max(axis=1), cosine.argmax(axis=1)
+    norm = np.bincount(mine, weights**2, minlength=n) + np.bincount(other[:, 0].astype(np.int64), (times * rarest) ** 2.0, minlength=n)
+    top, top_which = np.full(n, -1.0), np.zeros(n, np.int64)
+    for t, template in enumerate(parts["units"]):
+        cosine = np.bincount(mine, weights * template[rank], minlength=n) / np.sqrt(norm)
+        better = cosine > top
+        top[better], top_which[better] = cosine[better], t
+    best[open_], which[open_] = top, top_which
     return best, which
 
 
+def _holders(words: np.ndarray, doc: np.ndarray, n_docs: int, parts: dict) -> dict[int, np.ndarray]:
+    """The documents with a passage of each template that is compared by passages, for those that have any."""
+    by_passage = np.flatnonzero(parts["by_passage"])
+    if not len(by_passage):
+        return {}
+    template = np.repeat(np.arange(len(parts["names"])), np.diff(parts["begin"]))
+    mine = np.isin(template, by_passage)
+    known, of = np.unique(parts["passages"][mine], return_inverse=True)
+    firsts = np.searchsorted(doc, np.arange(n_docs + 1))
+    found, begin = shingle_hashes(words, firsts, PASSAGE)
+    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    hit = np.flatnonzero(known[at] == found)
+    held = np.unique(np.stack([at[hit], np.searchsorted(begin, hit, "right") - 1], axis=1), axis=0) if len(hit) else np.empty((0, 2), np.int64)
+    out: dict[int, list[np.ndarray]] = {}
+    order = np.argsort(of.reshape(-1), kind="stable")
+    bounds = np.searchsorted(of.reshape(-1)[order], np.arange(len(known) + 1))
+    for passage in np.unique(held[:, 0]):
+        docs = held[np.searchsorted(held[:, 0], passage) : np.searchsorted(held[:, 0], passage, "right"), 1]
+        for t in np.unique(template[mine][order[bounds[passage] : bounds[passage + 1]]]):
+            out.setdefault(int(t), []).append(docs)
+    return {t: np.unique(np.concatenate(docs)) for t, docs in out.items()}
+
+
 def run_cosines(words: np.ndarray, doc: np.ndarray, n_docs: int, parts: dict) -> tuple[np.ndarray, np.ndarray]:
     """(best cosine, its template) of every document's runs of as many words as a template has, where the template's least is reached.
 
     ``doc`` ascends. A run's norm is at least that of its words counted once each, so sums of words bound its cosine; terms are
-    counted for runs whose bound is above what their document has reached.
+    counted for runs whose bound is above what their document has reached. Templates that are compared by passages read the
+    documents that hold one.
     """
     best, which = np.zeros(n_docs), np.full(n_docs, -1)
     vocabulary, idf, rarest = parts["vocabulary"], parts["idf"], parts["rarest"]
-    rank = _ranks(words, vocabulary)
-    weight = np.append(idf, rarest)[rank]
-    squares = np.concatenate([[0.0], np.cumsum(weight**2)])
+    every = _ranks(words, vocabulary), words, doc
+    every += (np.concatenate([[0.0], np.cumsum(np.append(idf, rarest)[every[0]] ** 2)]),)
+    holders = _holders(words, doc, n_docs, parts)
+    narrowed: dict[bytes, tuple] = {}  # neighbouring blocks mostly have the same documents
     for t, least in enumerate(parts["least"]):
+        if not parts["by_passage"][t]:
+            rank, own, of, squares = every
+        elif t in holders:
+            key = holders[t].tobytes()
+            if key not in narrowed:
+                mine = np.isin(doc, holders[t])
+                narrowed = {key: (every[0][mine], words[mine], doc[mine], np.concatenate([[0.0], np.cumsum(np.append(idf, rarest)[every[0][mine]] ** 2)]))}
+            rank, own, of, squares = narrowed[key]
+        else:
+            continue
         length = int(parts["counts"][t].sum())
-        if len(words) < length:
+        if len(own) < length:
             continue
         dots = np.concatenate([[0.0], np.cumsum(np.append(parts["units"][t] * idf, 0.0)[rank])])
         bounds = (dots[length:] - dots[:-length]) / np.sqrt(squares[length:] - squares[:-length])
-        starts = np.flatnonzero((bounds >= least - 1e-6) & (doc[: len(bounds)] == doc[length - 1 :]))
+        starts = np.flatnonzero((bounds >= least - 1e-6) & (of[: len(bounds)] == of[length - 1 :]))
         for start in starts[np.argsort(-bounds[starts], kind="stable")]:
-            if bounds[start] + 1e-6 <= best[doc[start]]:
+            if bounds[start] + 1e-6 <= best[of[start]]:
                 continue
             run = slice(start, start + length)
-            _, first, times = np.unique(words[run], return_index=True, return_counts=True)
-            cosine = (dots[start + length] - dots[start]) / np.sqrt(((times * weight[run][first]) ** 2).sum())
-            if cosine >= least - 1e-6 and cosine > best[doc[start]] + 1e-6:
-                best[doc[start]], which[doc[start]] = min(cosine, 1.0), t
+            _, first, times = np.unique(own[run], return_index=True, return_counts=True)
+            weight = np.append(idf, rarest)[rank[run][first]]
+            cosine = (dots[start + length] - dots[start]) / np.sqrt(((times * weight) ** 2).sum())
+            if cosine >= least - 1e-6 and cosine > best[of[start]] + 1e-6:
+                best[of[start]], which[of[start]] = min(cosine, 1.0), t
     return best, which
 
 
@@ -196,7 +246,7 @@ def _scanned(batches: Iterator[pa.RecordBatch], parts: dict) -> Iterator[pa.Reco
     runs, wholes = parts["runs"], parts["wholes"]
     parts = parts["lines"]
     names, run_names, whole_names = (np.array(p["names"], dtype=object) for p in (parts, runs, wholes))
-    long = wholes["counts"].sum(axis=1) >= HEAD
+    long = wholes["counts"].sum(axis=1) >= BLOCK
     for batch in batches:
         for first, last, data, offsets in chunks(batch.column("text")):
             n = last - first
@@ -230,7 +280,7 @@ def scan_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
 
     A file's licence is the template with the largest cosine, at least ``threshold``, among its lines and runs of words (origin
     ``header``) and its whole text (origin ``file``). Runs are compared with ``templates``, header blocks, tags and licence texts,
-    of the longest the beginning; whole texts with all but the tags. A directory's licence comes from the files in it that are licences as a whole or are
+    of the longest all blocks of BLOCK words; whole texts with all but the tags. A directory's licence comes from the files in it that are licences as a whole or are
     called LICENSE, LICENCE or COPYING; the best score counts, then the first name. Files without a licence of their own get
     that of their nearest directory that has one (origin ``inherited``); others have a null licence and score 0.
 
@@ -239,8 +289,8 @@ def scan_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     """
     spark = files.sparkSession
     wholes = templates + HEADERS + licence_texts()
-    run_templates, least = _run_templates(wholes, threshold)
-    sides = {"lines": template_parts(templates), "runs": template_parts(run_templates) | {"least": least}, "wholes": template_parts(wholes)}
+    run_templates, least, by_passage = _run_templates(wholes, threshold)
+    sides = {"lines": template_parts(templates), "runs": template_parts(run_templates) | {"least": least, "by_passage": by_passage}, "wholes": template_parts(wholes)}
     vocabulary = np.unique(np.concatenate([side["vocabulary"] for side in sides.values()]))
     rows = files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     sent = spark.sparkContext.broadcast(vocabulary)

@@ -592,6 +592,38 @@ def test_licence_texts_header_blocks_tags_and_notices_inside_lines(spark):
     assert got == {path: licence for path, _, licence in rows + filler}
 
 
+def test_licences_quoted_from_their_middle(spark):
+    texts = dict(licences.licence_texts())
+    prose = " ".join(f"river{i % 97} hill{i % 89} and the road" for i in range(120))
+    rows = []
+    for name, text in texts.items():
+        words = text.split()
+        if len(words) > licences.LONGEST:
+            rows.append((f"opening/{name}", f"{prose}\n{'other opening words ' * 60}{' '.join(words[170:])}\n{prose}", name))
+    gpl = texts["GPL-3.0"].split()
+    middle = next(i for i in range(400, 4000) if "GNU General Public License" in " ".join(gpl[i + 75 : i + 150]))
+    rows += [("quote/x", f"{prose} {' '.join(gpl[middle : middle + 300])} {prose}", "GPL-3.0"), ("prose/x", prose * 5, None)]
+    filler = [(f"z/{i}/f.py", f"line {i} of the plain text\nunder and this work in {i}", None) for i in range(60)]
+    table = spark.createDataFrame([r[:2] for r in rows + filler], "path string, text string")
+    got = {r["path"]: r["licence"] for r in licences.scan_licences(table).collect()}
+    assert got == {path: licence for path, _, licence in rows + filler}
+
+
+def test_cosines_of_a_long_text_have_bounded_memory():
+    import tracemalloc
+    parts = licences.template_parts(licences.TEMPLATES + licences.licence_texts())
+    parts |= {"idf": np.linspace(1, 4, len(parts["vocabulary"])), "rarest": 5.0, "threshold": 0.75}
+    units = parts["counts"] * parts["idf"]
+    parts["units"] = units / np.linalg.norm(units, axis=1, keepdims=True)
+    data = np.frombuffer(b"Licensed under the work\n" * 100_000, np.uint8)
+    words, unit, doc = licences._units(data, np.array([0, len(data)]))
+    tracemalloc.start()
+    licences.cosines(words, unit, len(doc), parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(data)
+
+
 def test_licence_cosines_equal_plain_counting(spark):
     parts = licences.template_parts(licences.TEMPLATES)
     parts |= {"idf": np.linspace(1, 4, len(parts["vocabulary"])), "rarest": 5.0, "threshold": 0.3}
