@@ -482,6 +482,29 @@ def test_more_personal_data_is_selected_and_redacted(spark):
     assert {r["doc_id"]: r["text"] for r in shown.collect()}[5] == "call me: [phone] today"
 
 
+def test_disguised_personal_data_is_added(spark):
+    rows = [(i, f"write to mary.{i}@mail.example.org or call +49 30 123-4{i:03d} now, lot 12.{i}.999.7 of batch 1234 5678 {i:04d}") for i in range(120)]
+    more = {
+        200: ("write to john (at) example (dot) org now", "email:9:36"), 201: ("ask ann [at] site.example [dot] net please", "email:4:35"),
+        202: ("tel. (030) 123-4567 at any time", "phone:5:19"), 203: ("server 10 . 20 . 30 . 40 is down", "ip:7:24"),
+        204: ("the years 2019 2020 2021 were good", ""), 205: ("numbers 1, 2, 3, 4 and 900, 800, 700, 600", ""), 206: ("card 4111.1111.1111.1111 was lost", "card:5:24"),
+        207: ("version 300.400.500.600 of it", ""), 208: ("host fe80:0:0:0:1:2:3:4 answers", "ip:5:23"),
+    }
+    table = spark.createDataFrame(rows + [(i, t) for i, (t, _) in more.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["spans"], r["base"]) for r in pii.personal_data(table).select("doc_id", pii.shown("spans").alias("spans"), pii.shown("base").alias("base")).collect()}
+    assert {i: got[i][0] for i in more} == {i: spans for i, (_, spans) in more.items()}
+    assert {i: got[i] for i, _ in rows if got[i][0] != got[i][1]} == {}
+    assert all("email:" in got[i][1] and "phone:" in got[i][1] and "ip:" not in got[i][1] for i, _ in rows)
+
+
+def test_places_of_many_matches_in_one_text(spark):
+    text = "".join(f"{'é' * (i % 5)} a{i}@b.example, 300.1.1.{i % 300} 10.0.0.{i % 300};" for i in range(700))
+    got, = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    places = [(m.start(), "email", m.end()) for m in re.finditer(r"a[0-9]+@b\.example", text)]
+    places += [(m.start(), "ip", m.end()) for m in re.finditer(r"(?<![0-9])10\.0\.0\.([0-9]+)", text) if int(m[1]) < 256]
+    assert [(s["start"], s["kind"], s["end"]) for s in got["base"]] == sorted(places)
+
+
 # --- 7: fuzzy lines
 
 
