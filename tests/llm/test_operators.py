@@ -1,6 +1,7 @@
 """The dealt operators against brute force, public libraries and edge cases on small tables."""
 
 import itertools
+import pathlib
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folioweave.llm import (
@@ -544,6 +546,31 @@ def test_fuzzy_lines(spark, docs):
     assert fuzzy_lines.repeated_lines(table.limit(0)).count() == 0
 
 
+def test_fuzzy_lines_leave_their_signatures_before_they_link(spark, docs, monkeypatch):
+    """The signatures and their shuffle are off the disk when lines are linked, and buckets are found for some bands at a time."""
+    asked, link = [], fuzzy_lines.linked_components
+
+    def linked(buckets, *rest):
+        root = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+        asked.append((list(root.glob("line-signatures-*")), buckets.columns))
+        return link(buckets, *rest)
+
+    monkeypatch.setattr(fuzzy_lines, "linked_components", linked)
+    rows = [(i, f"The first line of document {i} goes on for a while.\nEach has this common line in it, more or less {i % 3}.") for i in range(30)]
+    fuzzy_lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert asked == [([], ["bucket", "id", "sketch", "sketch2", "size"])]
+
+
+def test_fine_sketches_tell_half_like_sets_apart(spark):
+    """A bucket of two sets of which half the MinHash values agree is done; one of like sets is not."""
+    least = [(0, 1, [*range(30)]), (0, 2, [*range(15), *range(100, 115)]), (1, 3, [*range(30)]), (1, 4, [*range(25), *range(200, 205)])]
+    found = spark.createDataFrame(least, "bucket long, id long, m array<long>")
+    fine = found.select("bucket", "id", *linking.fine_sketches([F.col("m")[i] for i in range(30)]))
+    coarse = found.select("bucket", "id", linking.sketch([F.col("m")[i] for i in range(30)]).alias("sketch"))
+    assert {r.id for r in linking.shared_buckets(fine).collect()} == {3, 4}
+    assert {r.id for r in linking.shared_buckets(coarse).collect()} == {1, 2, 3, 4}
+
+
 def test_fuzzy_lines_of_documents(spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.limit(60).collect()]
     got = {r["doc_id"]: r["dropped"] for r in fuzzy_lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
