@@ -88,12 +88,12 @@ def event_windows(events: DataFrame, key: str, span_ms: int | Column, chunk_ms:
         _openings, "key STRING, ts BIGINT, opened BIGINT")
 
 
-def rate_limit_audit(requests: DataFrame, key: str, limit: int | Column, window_ms: int | Column) -> DataFrame:
+def rate_limit_audit(requests: DataFrame, key: str, limit: int | Column, window_ms: int | Column, opened: str | None = None) -> DataFrame:
     """Wait of each request (0 is admitted) under ``limit`` per window; ``limit + 1`` pass in each.
 
     ``requests``: ``event_id``, ``ts`` (ms) and the key; limit and window may be columns, the same in all rows of a key. Ranks
     inside a window come from counts per millisecond; requests of one millisecond are told apart by a bounded number of first
-    ones.
+    ones. ``opened`` names a column for the time at which a request's window opened.
     """
     as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
     rows = requests.withColumns({"key": F.col(key).cast("string"), "__limit": as_column(limit).cast("bigint"), "__span": as_column(window_ms).cast("bigint")})
@@ -104,11 +104,11 @@ def rate_limit_audit(requests: DataFrame, key: str, limit: int | Column, window_
     first = F.row_number().over(Window.partitionBy("key", "ts").orderBy("event_id"))
     leading = rows.select("key", "ts", "event_id", "__limit").withColumn("rn", first).filter(F.col("rn") <= F.col("__limit") + 1)
     admitted = leading.join(room, ["key", "ts"]).filter(F.col("rn") <= F.col("room")).select("event_id", F.lit(True).alias("admitted"))
-    return (
+    waits = (
         rows.join(windows, ["key", "ts"]).join(admitted, "event_id", "left")
         .withColumn("wait_ms", F.when(F.col("admitted"), 0).otherwise(F.col("opened") + F.col("__span") - F.col("ts")).cast("bigint"))
-        .drop("key", "admitted", "opened", "__limit", "__span")
     )
+    return (waits.withColumnRenamed("opened", opened) if opened else waits.drop("opened")).drop("key", "admitted", "__limit", "__span")
 
 
 def parsed_rate(rate: Column) -> Column:

@@ -229,6 +229,26 @@ def test_stream_new_items(spark, event_files):
     assert {r.event_id: r.new_items for r in out.collect() if r.event_id != 9999} == {r.event_id: r.new_items for r in batch.collect()}
 
 
+def test_streams_in_order_hold_no_key_in_a_task(spark, event_files):
+    """What waits and what is carried are tables: nothing hands a key's rows to one Python function, null keys and repeats included."""
+    folder, rows = event_files
+    odd = spark.createDataFrame([(7001, None, 0, 2000, 5), (7001, None, 0, 2000, 5), (7002, None, 0, 3000, 9)], "event_id long, source string, reader long, ts_ms long, amount long")
+    odd.withColumn("ts", F.timestamp_millis("ts_ms")).coalesce(1).write.mode("append").parquet(folder)
+    sizes = []
+    job = jobs.stream_new_items(jobs.read_stream(spark, folder, "*.parquet", spark.read.parquet(folder).schema), "source", "1 minute")
+
+    def seen(due, carried):
+        sizes.append((due.count(), carried.count()))
+        return job.decide(due, carried)
+
+    out = jobs.run_to_files(job._replace(decide=seen), jobs.work_folder(spark, "t")).collect()
+    assert sizes == [(603, 0)]
+    assert sorted((r.event_id, r.new_items) for r in out if r.source is None) == [(7001, 0), (7001, 0), (7002, 4)]
+    limited = jobs.stream_rate_limit(jobs.read_stream(spark, folder, "*.parquet", spark.read.parquet(folder).schema), "source", 0, 20_000, "1 minute")
+    out = jobs.run_to_files(limited, jobs.work_folder(spark, "t")).collect()
+    assert sorted((r.event_id, r.wait_ms) for r in out if r.source is None) == [(7001, 0), (7001, 20_000), (7002, 19_000)]
+
+
 def test_stream_latest_state_and_dedupe(spark, event_files):
     folder, _ = event_files
     table = spark.read.parquet(folder).withColumn("ts", F.col("ts_ms"))
