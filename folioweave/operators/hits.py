@@ -45,13 +45,14 @@ def merge_hits(hits: DataFrame) -> DataFrame:
         *[_first_filled(f) for f in _LATER_FIELDS],
     )
     first_seen = keyed.groupBy(*item, "origin").agg(F.min("ord").alias("ord"))
-    origins = first_seen.groupBy(*item).agg(F.array_sort(F.collect_list(F.struct("ord", "origin"))).alias("seen"))
+    # Where only the count is asked for, Spark drops the lists, and the step before is a plain distinct.
+    origins = first_seen.groupBy(*item).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("ord", "origin"))).alias("seen"))
     return best.join(origins, item).select(
         F.col("rep.ord").alias("ord"),
         "rep.name", "rep.author", "rep.kind", "rep.book_url",
         *[F.coalesce(F.col(f)[f], F.lit("")).alias(f) for f in _LATER_FIELDS],
         F.transform("seen", lambda s: s["origin"]).alias("origins"),
-        F.greatest(F.lit(1), F.size("seen")).cast("bigint").alias("origin_count"),
+        F.greatest(F.lit(1), "n").cast("bigint").alias("origin_count"),
     )
 
 

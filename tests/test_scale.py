@@ -190,6 +190,16 @@ def test_windows_against_model(spark, monkeypatch, seed, horizon, chunk):
     assert fetched == expected
 
 
+def test_ranking_counts_sources_without_lists(spark):
+    """Ranked hits that ask for no source lists gather none; the counts are those of the lists."""
+    rows = [(i, f"s{i % 7}", f"Name {i % 3} ", "A", "k", f"u{i}", "", "", "") for i in range(60)] + [(99, None, "name 0", "a", "k", "u", "", "", "")]
+    merged = op.merge_hits(spark.createDataFrame(rows, "ord int, origin string, name string, author string, kind string, book_url string, intro string, cover_url string, latest_chapter string"))
+    ranked = op.rank_hits(merged, "name 0").select("name", "origin_count")
+    assert "collect_list" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.origin_count for r in ranked.collect()] == [8, 7, 7]
+    assert all(len(r.origins) == r.origin_count for r in merged.collect())
+
+
 # -- streams -----------------------------------------------------------------
 
 EVENTS = "event_id long, source string, reader long, ts timestamp, ts_ms long, amount long"
