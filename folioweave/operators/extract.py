@@ -383,7 +383,7 @@ def extract_records(pages: DataFrame, compiled: DataFrame, keep: Sequence[str] =
     the only element. A list rule with ``-`` turns the order.
     """
     found, records = _record_columns("variables" in pages.columns, nesting(compiled))
-    joined = parsed_pages(pages).join(compiled, "origin")
+    joined = parsed_pages(pages).join(sent(compiled), "origin")
     return (
         joined.withColumn("__found", found)
         .select("origin", *keep, F.explode(records).alias("r"))
@@ -391,6 +391,19 @@ def extract_records(pages: DataFrame, compiled: DataFrame, keep: Sequence[str] =
     )
 
 
+# Up to this many sources, their rules are sent to all tasks.
+_SENT = 50_000
+
+
+def sent(sources: DataFrame) -> DataFrame:
+    """A table of sources, to be broadcast unless it has very many rows.
+
+    Its size is unknown to the planner, as its rows come from Python. Left alone it sends the pages instead, with their
+    nodes, to the one task that holds the sources, or puts all pages of a source into one task.
+    """
+    return F.broadcast(sources) if sources.limit(_SENT + 1).count() <= _SENT else sources
+
+
 def nesting(compiled: DataFrame) -> int:
     """How deep tests nest in any of the compiled rules: the expression that runs them is half as large where none do.
 
@@ -606,7 +619,7 @@ def detail_pages(pages: DataFrame, catalog: DataFrame, hits: DataFrame) -> DataF
     ``catalog``: ``origin``, ``pattern``; ``hits``: records found on the pages. Patterns are translated once a source; one
     that cannot be fits no page (``pattern_errors`` names it).
     """
-    joined = pages.join(catalog.withColumn("__java", _java_pattern()(F.col("pattern"))), "origin")
+    joined = pages.join(sent(catalog.withColumn("__java", _java_pattern()(F.col("pattern")))), "origin")
     has_pattern = F.coalesce(F.col("pattern"), F.lit("")) != ""
     matched = joined.filter(has_pattern & F.col("__java").isNotNull()).filter(F.regexp_like(F.col("url"), F.col("__java")))
     empty = joined.filter(~has_pattern).join(hits.select("origin", "url").distinct(), ["origin", "url"], "left_anti")

@@ -332,3 +332,18 @@ def test_many_patterns_are_fetched_not_tried(spark):
 def test_text_in_every_match():
     cases = {"a(bc)d": "abcd", "ab?cde": "cde", "(x|yy)zz": "zz", "(abc)+d": "abc", "(?i)abc": "", "[a]bc": "abc", "^ab$": "ab", "(?:ab){2}": "ab", r"\.x.": ".x", "(ab|cd)": ""}
     assert {p: patterns.required_text(p) for p in cases} == cases
+
+
+def test_pages_are_never_sent_to_the_rules(spark):
+    """Rules go to the pages: neither are pages broadcast nor are all pages of a source put into one task."""
+    catalog = spark.createDataFrame([("s", ("li", "a@text")), ("t", ("p", "a@text"))], "origin string, g struct<list: string, name: string>")
+    pages = spark.createDataFrame([(str(i), "st"[i % 2], "<li><a>x</a></li>") for i in range(20)], "url string, origin string, body string").repartition(5)
+    compiled = ex.compile_stage(catalog, "origin", "g", "list")
+    records = ex.extract_records(pages, compiled)
+    found = records.select("origin", "url")
+    patterns = spark.createDataFrame([("s", ""), ("t", None)], "origin string, pattern string")
+    details = ex.detail_pages(pages.select("origin", "url"), patterns, found)
+    for df in (records, details):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
+    assert records.count() == 10 and {r.origin for r in details.collect()} == {"t"}
