@@ -40,13 +40,15 @@ def merge_hits(hits: DataFrame) -> DataFrame:
     """
     item = ["__name", "__author"]
     keyed = hits.withColumn("__name", merge_key(F.col("name"))).withColumn("__author", merge_key(F.col("author")))
-    best = keyed.groupBy(*item).agg(
+    # Rows are sorted to be aggregated; a checksum first makes that a comparison of numbers.
+    best = keyed.groupBy(F.xxhash64(*item).alias("__sum"), *item).agg(
         F.min(F.struct("ord", "name", "author", "kind", "book_url")).alias("rep"),
         *[_first_filled(f) for f in _LATER_FIELDS],
     )
-    first_seen = keyed.groupBy(*item, "origin").agg(F.min("ord").alias("ord"))
-    # Where only the count is asked for, Spark drops the lists, and the step before is a plain distinct.
-    origins = first_seen.groupBy(*item).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("ord", "origin"))).alias("seen"))
+    first_seen = keyed.groupBy(F.xxhash64(*item, "origin").alias("__sum"), *item, "origin").agg(F.min("ord").alias("ord"))
+    # Where only the count is asked for, Spark drops the lists, and the step before is a plain distinct. ``sort_array`` compares
+    # rows as such; the comparison of ``array_sort`` is an expression, run anew for every pair.
+    origins = first_seen.groupBy(*item).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("ord", "origin"))).alias("seen"))
     return best.join(origins, item).select(
         F.col("rep.ord").alias("ord"),
         "rep.name", "rep.author", "rep.kind", "rep.book_url",

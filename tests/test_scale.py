@@ -347,3 +347,15 @@ def test_pages_are_never_sent_to_the_rules(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
     assert records.count() == 10 and {r.origin for r in details.collect()} == {"t"}
+
+
+def test_many_origins_of_an_item(spark):
+    """Origins in order of arrival, equal arrivals by origin; rows are compared by checksum first, lists without an expression."""
+    seen = list(range(3000))
+    random.Random(5).shuffle(seen)
+    rows = [(o // 2, None if o == 8 else f"s{o:04}", " Sun" if o % 3 else "sun ", "A", "") for o in seen] + [(5000, "s0001", "sun", "a", "late")]
+    merged = op.merge_hits(hit_rows(spark, rows).repartition(9))
+    row, = merged.collect()
+    assert row.origins == [f"s{o:04}" if o != 8 else None for o in range(3000)] and row.origin_count == 3000 and row.intro == "late"
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and plan.count("xxhash64") >= 2
