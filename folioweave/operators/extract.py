@@ -380,14 +380,17 @@ def extract_records(pages: DataFrame, compiled: DataFrame, keep: Sequence[str] =
 
     ``pages``: ``origin``, ``url``, ``body`` and optionally ``variables``.
     ``compiled``: ``origin``, ``rules``. Without a list rule the page itself is
-    the only element. A list rule with ``-`` turns the order.
+    the only element. A list rule with ``-`` turns the order. ``stored`` has the
+    values of ``@put``, for ``variables``.
     """
     found, records = _record_columns("variables" in pages.columns, nesting(compiled))
     joined = parsed_pages(pages).join(sent(compiled), "origin")
     return (
         joined.withColumn("__found", found)
         .select("origin", *keep, F.explode(records).alias("r"))
-        .select("origin", *keep, "r.ord", "r.fields")
+        .select(
+            "origin", *keep, "r.ord", F.map_filter("r.fields", lambda name, _: ~name.startswith(PUT)).alias("fields"),
+            F.map_filter("r.fields", lambda name, _: name.startswith(PUT)).alias("stored"))
     )
 
 
@@ -460,7 +463,7 @@ def many(name: str) -> Column:
 
 def variables(inner: Column | None = None) -> Column:
     """The variables that a record's rules set (``@put``), laid over those that came with its page; empty ones cover nothing."""
-    put = F.transform(F.filter(F.map_entries("fields"), lambda e: e["key"].startswith(PUT)), lambda e: F.struct(
+    put = F.transform(F.map_entries("stored"), lambda e: F.struct(
         F.substring(e["key"], len(PUT) + 1, F.length(e["key"])).alias("key"), F.array_join(e["value"], "\n").alias("value")))
     set_here = F.map_from_entries(F.filter(put, lambda e: e["value"] != ""))
     return set_here if inner is None else F.map_concat(F.coalesce(inner, F.create_map().cast("map<string,string>")), set_here)
