@@ -571,6 +571,48 @@ def test_fine_sketches_tell_unlike_sets_apart(spark):
     assert {r.id for r in linking.shared_buckets(coarse).collect()} == {1, 2, 3, 4}
 
 
+def test_groups_of_alike_lines_are_not_compared_in_full(spark, monkeypatch):
+    """Variants of one line that are mostly alike but not linked: all links are found, with far fewer than all pairs compared."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("aeiobdlnrt") for _ in range(rng.randrange(2, 9)))
+    base = [word() for _ in range(60)]
+    change = lambda words, p: [word() if rng.random() < p else w for w in words if rng.random() > p / 4]
+    variants = [change(base, rng.choice([0.03, 0.08, 0.12, 0.15])) for _ in range(220)]
+    variants += [change(v, 0.03) for v in variants[:80]] + [base[:i] for i in range(44, 60, 2)]
+    rows = [(i, " ".join(words)) for i, words in enumerate(variants)]
+    compared, link = [], fuzzy_lines.linked_components
+
+    def linked(buckets, sets, ratio, verify, *more):
+        def counted(pairs):
+            compared.append(pairs.count())
+            return verify(pairs)
+        return link(buckets, sets, ratio, counted, *more)
+
+    monkeypatch.setattr(fuzzy_lines, "linked_components", linked)
+    found = fuzzy_lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["dropped"] for r in found.collect()} == brute_lines(rows)
+    assert compared[-1] < 10 * len(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_differing_pairs_lose_no_similar_pair(spark, seed):
+    rng = random.Random(seed)
+    centre = set(range(60))
+    sets = {0: centre}
+    for i in range(1, 120):
+        near = sets[rng.randrange(i)] if rng.random() < 0.6 else centre
+        sets[i] = {x for x in near if rng.random() > rng.choice([0, 0.05, 0.15])} | {100 + rng.randrange(150) for _ in range(rng.randrange(14))}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+    links = {(a, b) for a, b in itertools.combinations(sets, 2) if alike(a, b)}
+    part = spread_components([p for p in links if 0 in p], sets)
+    rows = [(0, 0, i, part[i], 0, 0, len(s), sorted(s - centre), len(centre - s)) for i, s in sets.items()]
+    names = "c long, c_part long, id long, part long, sketch long, sketch2 long, size int, new array<long>, missing int"
+    got = {(r.a, r.b) for r in linking._differing_pairs(spark.createDataFrame(rows, names), 0.8).collect()}
+    apart = {(a, b) for a, b in links if part[a] != part[b]}
+    assert apart and apart <= got and all(part[a] != part[b] for a, b in got)
+    assert len(got) < 0.5 * sum(part[a] != part[b] for a, b in itertools.combinations(sets, 2))
+
+
 def test_fuzzy_lines_of_documents(spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.limit(60).collect()]
     got = {r["doc_id"]: r["dropped"] for r in fuzzy_lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
