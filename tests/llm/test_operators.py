@@ -571,27 +571,51 @@ def test_fine_sketches_tell_unlike_sets_apart(spark):
     assert {r.id for r in linking.shared_buckets(coarse).collect()} == {1, 2, 3, 4}
 
 
-def test_groups_of_alike_lines_are_not_compared_in_full(spark, monkeypatch):
-    """Variants of one line that are mostly alike but not linked: all links are found, with far fewer than all pairs compared."""
+def test_groups_of_alike_lines_lose_no_link(spark, monkeypatch):
+    """Variants of one line that are mostly alike but not linked, joined by their differences from one near the middle."""
     rng = random.Random(17)
     word = lambda: "".join(rng.choice("aeiobdlnrt") for _ in range(rng.randrange(2, 9)))
     base = [word() for _ in range(60)]
     change = lambda words, p: [word() if rng.random() < p else w for w in words if rng.random() > p / 4]
-    variants = [change(base, rng.choice([0.03, 0.08, 0.12, 0.15])) for _ in range(220)]
-    variants += [change(v, 0.03) for v in variants[:80]] + [base[:i] for i in range(44, 60, 2)]
+    variants = [change(base, rng.choice([0.03, 0.08, 0.12, 0.15])) for _ in range(90)]
+    variants += [change(v, 0.03) for v in variants[:30]] + [base[:i] for i in range(44, 60, 2)]
     rows = [(i, " ".join(words)) for i, words in enumerate(variants)]
-    compared, link = [], fuzzy_lines.linked_components
+    told, link = [], fuzzy_lines.linked_components
 
-    def linked(buckets, sets, ratio, verify, *more):
+    def linked(buckets, sets, ratio, verify, differences):
         def counted(pairs):
-            compared.append(pairs.count())
-            return verify(pairs)
-        return link(buckets, sets, ratio, counted, *more)
+            told.append(pairs.count())
+            return differences(pairs)
+        return link(buckets, sets, ratio, verify, counted)
 
     monkeypatch.setattr(fuzzy_lines, "linked_components", linked)
+    monkeypatch.setattr(linking, "COMPARED_IN_FULL", 2)
     found = fuzzy_lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"]: r["dropped"] for r in found.collect()} == brute_lines(rows)
-    assert compared[-1] < 10 * len(rows)
+    assert told and told[0] > 0
+
+
+def test_a_large_bucket_is_not_compared_in_full(spark):
+    """One bucket of sets that are all near by their sketches, most of them not linked."""
+    rng = random.Random(5)
+    centre = set(range(60))
+    sets = {i: {x for x in centre if rng.random() > rng.choice([0.02, 0.1, 0.2])} | {100 + rng.randrange(900) for _ in range(rng.randrange(14))} for i in range(150)}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    similar = spark.createDataFrame(links, "a long, b long")
+    whole = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, elements array<long>")
+    of = whole.select(F.col("id").alias("c"), F.col("elements").alias("of_c"))
+    told = [F.size("elements").alias("size"), F.array_except("elements", "of_c").alias("new"), F.size(F.array_except("of_c", "elements")).alias("missing")]
+    compared = []
+
+    def verify(pairs):
+        compared.append(pairs.count())
+        return pairs.join(similar, ["a", "b"])
+
+    table = spark.createDataFrame([(1, i, 1, 0, 0) for i in sets], "bucket long, id long, size int, sketch long, sketch2 long")
+    found, _ = linking.linked_components(table, None, 0.8, verify, lambda pairs: pairs.join(whole, "id").join(of, "c").select("c", "id", *told))
+    got = {r["id"]: r["component"] for r in found.collect()}
+    assert all(got.get(n, n) == c for n, c in spread_components(links, sets).items())
+    assert compared[-1] < 4500  # 9,030 pairs of the bucket are of different components
 
 
 @pytest.mark.parametrize("seed", range(3))
